@@ -5,14 +5,16 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagewright import settings as S
 
 # Fixed value: the characters counted as white space (spelled out because Java's \s is ASCII only).
-SPACE = (
-    r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+_NARROW = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x{85}\x{A0}"
+_WIDE = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE_RE2 = _NARROW + _WIDE
+# Java tests the range guard first, so Latin text pays one table lookup per character.
+SPACE = _NARROW + r"[\x{1680}-\x{3000}&&[" + _WIDE + "]]"
 # Patterns that define results.
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 NUMBER = r"\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?%?"
@@ -21,16 +23,23 @@ PAGE_NUMBER = rf"^[{SPACE}]*(?:-[{SPACE}]*)?\p{{Nd}}{{1,4}}(?:[{SPACE}]*-)?[{SPA
 CAPTION = rf"(?i)^[{SPACE}]*(그림|표|figure|fig\.?|table)[{SPACE}]*[.{SPACE}]?\p{{Nd}}"
 SENTENCE_BREAK = rf"(?<=[.!?])[{SPACE}]+"
 POPULATION_BREAK = rf"(?<=[.!?。\n])[{SPACE}]+"
-MEASUREMENT = "|".join(
-    (
-        rf"(?:\p{{Nd}}+(?:\.\p{{Nd}}+)?[{SPACE}]?%)",
-        rf"(?:\p{{Nd}}+(?:\.\p{{Nd}}+)?[{SPACE}]?(?:{S.MEASURE_UNITS}))",
-        rf"(?:\p{{Nd}}+[{SPACE}]?(?:세|살))",
-        rf"(?:\p{{Nd}}+(?:\.\p{{Nd}}+)?[{SPACE}]?(?:년|개월|주|일|시간|분))",
-        rf"(?:\p{{Nd}}+[{SPACE}]?[-~][{SPACE}]?\p{{Nd}}+(?:\.\p{{Nd}}+)?)",
-        rf"(?:[Nn][{SPACE}]?=[{SPACE}]?\p{{Nd}}+)",
+
+
+def measurement_pattern(space: str) -> str:
+    """Percentages, values with units, ages, durations, ranges and N=..., in this order."""
+    return "|".join(
+        (
+            rf"(?:\p{{Nd}}+(?:\.\p{{Nd}}+)?[{space}]?%)",
+            rf"(?:\p{{Nd}}+(?:\.\p{{Nd}}+)?[{space}]?(?:{S.MEASURE_UNITS}))",
+            rf"(?:\p{{Nd}}+[{space}]?(?:세|살))",
+            rf"(?:\p{{Nd}}+(?:\.\p{{Nd}}+)?[{space}]?(?:년|개월|주|일|시간|분))",
+            rf"(?:\p{{Nd}}+[{space}]?[-~][{space}]?\p{{Nd}}+(?:\.\p{{Nd}}+)?)",
+            rf"(?:[Nn][{space}]?=[{space}]?\p{{Nd}}+)",
+        )
     )
-)
+
+
+MEASUREMENT = measurement_pattern(SPACE)
 
 
 def col(c) -> Column:
@@ -38,8 +47,8 @@ def col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.regexp_replace(col(c), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    """Trim every kind of white space at both ends (the look-behind keeps long runs linear)."""
+    return F.regexp_replace(col(c), rf"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
 
 
 def collapse_space(c, to: str = " ") -> Column:
@@ -50,7 +59,7 @@ def is_blank(c) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
@@ -180,7 +189,7 @@ def padded_lower(c) -> Column:
 
 def negation_markers(c, markers=S.NEGATION_MARKERS) -> Column:
     hay = padded_lower(c)
-    return F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: hay.contains(m))
+    return F.array_compact(F.array(*[F.when(hay.contains(m), F.lit(m)) for m in markers]))
 
 
 def has_negation(c, markers=S.NEGATION_MARKERS) -> Column:

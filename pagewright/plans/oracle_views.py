@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pagewright import settings as S
-from pagewright.functions.text import CONTROL_CHARS, SPACE
+from pagewright.functions.text import CONTROL_CHARS
+from pagewright.functions.text import SPACE_RE2 as SPACE
 from pagewright.sources.corpus import DATA_HINTS, DATA_MARKERS
 
 
@@ -64,7 +65,7 @@ def number_found(hay: str, num: str, mode: str) -> str:
     core = rf"replace(regexp_replace({num}, '[,%]', '', 'g'), '.', '\.')"
     h = f"replace({hay}, ',', '')"
     if mode == "claim":
-        tail = r"'(%?([^0-9%]|$)|%[^0-9])'" if False else r"'%?([^0-9]|$)'"
+        tail = r"'%?([^0-9]|$)'"
         return (
             f"CASE WHEN ends_with({num}, '%') THEN regexp_matches({h}, '(^|[^0-9])' || {core} || {tail}) "
             f"ELSE regexp_matches({h}, '(^|[^0-9])' || {core} || '([^0-9]|$)') END"

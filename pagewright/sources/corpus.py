@@ -26,6 +26,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Document rows.  An input with fewer splits than cores (one small file) is spread out;
+    a large folder already has more splits than that and is read as it is."""
+    df = read(spark, folder, "documents").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(c) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), T.col(c))
@@ -41,7 +49,7 @@ def page_shard(page_number="page_number") -> Column:
 
 
 def line_rows(spark, folder) -> DataFrame:
-    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    docs = documents(spark, folder, "doc_id", "text").withColumnRenamed("doc_id", "document_id")
     return docs.select("document_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
 
 
@@ -83,7 +91,7 @@ def v_tables(spark, folder) -> DataFrame:
 
 
 def v_pages(spark, folder) -> DataFrame:
-    docs = read(spark, folder, "documents").select(
+    docs = documents(spark, folder, "doc_id", "text").select(
         F.col("doc_id").alias("document_id"), F.split("text", "\n", -1).alias("lines")
     )
     pages = docs.select(
@@ -134,7 +142,7 @@ def v_ocr_words(spark, folder) -> DataFrame:
 
 def v_documents(spark, folder) -> DataFrame:
     d = F.col("document_id")
-    docs = read(spark, folder, "documents").withColumnRenamed("doc_id", "document_id")
+    docs = documents(spark, folder, "doc_id", "lang", "source", "text").withColumnRenamed("doc_id", "document_id")
     created = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(document_id as int), 0)")
     return (
         docs.select(
