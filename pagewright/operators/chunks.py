@@ -18,21 +18,23 @@ from pagewright.operators.layout import PAGE
 ORDER = ["page_number", "reading_order"]
 
 
-def select_chunk_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks that may enter chunks: no bands, no blanks, and digital text before OCR text."""
-    page = Window.partitionBy(*PAGE)
-    kept = blocks.filter(~(F.col("is_header") | F.col("is_footer")))
-    kept = kept.withColumn("page_has_digital", F.max(F.col("source_method") == "digital").over(page))
-    return kept.filter(
-        ~(F.col("page_has_digital") & (F.col("source_method") == "ocr")) & (F.col("is_table") | ~T.is_blank("text"))
-    ).drop("page_has_digital")
-
-
-def match_table_markdown(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+def select_chunk_blocks(page_sheet: DataFrame) -> DataFrame:
+    """Blocks that may enter chunks: no bands, no blanks, and digital text before OCR text.
+    Table rows of the sheet stay for `match_table_markdown`."""
+    is_block = F.col("role") == "block"
+    kept = page_sheet.filter(F.col("role").isin("block", "table") & ~(F.col("is_header") | F.col("is_footer")))
+    digital = F.max(F.when(is_block, F.col("source_method") == "digital")).over(Window.partitionBy(*PAGE))
+    kept = kept.withColumn("page_has_digital", digital)
+    usable = ~(F.col("page_has_digital") & (F.col("source_method") == "ocr")) & (F.col("is_table") | ~T.is_blank("text"))
+    return kept.filter(~is_block | usable).drop("page_has_digital")
+
+
+def match_table_markdown(page_sheet: DataFrame) -> DataFrame:
     """Text of every block; a table block takes the markdown of the table it overlaps most."""
-    per_page = tables.groupBy(*PAGE).agg(
-        F.collect_list(F.struct("x0", "y0", "x1", "y1", "table_index", "markdown_text")).alias("page_tables")
-    )
+    table = F.struct("x0", "y0", "x1", "y1", "table_index", "markdown_text")
+    df = page_sheet.withColumn(
+        "page_tables", F.collect_list(F.when(F.col("role") == "table", table)).over(Window.partitionBy(*PAGE))
+    ).filter("role = 'block'")
     scored = F.transform(
         "page_tables",
         lambda t: F.struct(
@@ -42,11 +44,9 @@ def match_table_markdown(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     )
     best = F.array_max(F.filter(scored, lambda s: s["ratio"] >= S.TABLE_MATCH_OVERLAP))["markdown"]
     plain = T.strip(F.coalesce("text", F.lit("")))
-    return (
-        blocks.join(per_page, PAGE, "left")
-        .withColumn("chunk_text", F.when(F.col("is_table") & ~T.is_blank(best), best).otherwise(plain))
-        .drop("page_tables")
-    )
+    return df.withColumn(
+        "chunk_text", F.when(F.col("is_table") & ~T.is_blank(best), best).otherwise(plain)
+    ).drop("page_tables", "role", "table_index", "markdown_text")
 
 
 def pack_chunks(blocks: DataFrame, wide: bool = True) -> DataFrame:
@@ -70,7 +70,8 @@ def pack_chunks(blocks: DataFrame, wide: bool = True) -> DataFrame:
         )
         .drop("chunk_text", "is_title", "is_long")
     )
-    packed = folds.fold(items, ORDER, folds.PackChunks(S.CHUNK_TARGET_CHARS), "first_draft", "section_title", wide=wide)
+    packed = folds.fold(items, ORDER, folds.PackChunks(S.CHUNK_TARGET_CHARS), "first_draft", "section_title",
+                        wide=wide, clustered=True)
     rest = [c for c in packed.columns if c not in ("parts", "first_draft", "shard", "text")]
     return packed.select(*rest, "first_draft", F.posexplode("parts").alias("part_no", "part_text")).withColumn(
         "draft_no", F.col("first_draft") + F.col("part_no")
@@ -79,7 +80,8 @@ def pack_chunks(blocks: DataFrame, wide: bool = True) -> DataFrame:
 
 def merge_short_chunks(parts: DataFrame, wide: bool = True) -> DataFrame:
     """Adds `chunk_index`: short neighbouring drafts of one section share it."""
-    df = parts.withColumn("shard", F.floor(F.col("draft_no") / S.DRAFTS_PER_SHARD)).repartition("document_id", "shard")
+    shard = F.floor(F.col("draft_no") / S.DRAFTS_PER_SHARD) if wide else F.col("page_shard")
+    df = parts.withColumn("shard", shard).repartition("document_id", "shard")
     draft = Window.partitionBy("document_id", "shard", "draft_no")
     df = df.withColumns(
         {
@@ -100,17 +102,18 @@ def merge_short_chunks(parts: DataFrame, wide: bool = True) -> DataFrame:
 
 def assemble_chunks(parts: DataFrame) -> DataFrame:
     """Text, hash and page range of every merged draft; blank ones are dropped."""
-    piece = F.struct("draft_no", *ORDER, "part_no", "part_text")
+    piece = F.struct("draft_no", *ORDER, "part_no", "part_text", "section_title")
     rows = parts.groupBy("document_id", "chunk_index").agg(
         F.array_sort(F.collect_list(piece)).alias("pieces"),
-        F.min_by("section_title", F.struct("draft_no", *ORDER, "part_no")).alias("section_title"),
-        F.max("is_table").alias("is_table"),
+        F.bool_or("is_table").alias("is_table"),
         F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"),
         F.count(F.lit(1)).alias("n_refs"),
     )
     text = T.normalize_text(F.array_join(F.transform("pieces", lambda p: p["part_text"]), "\n\n"))
     return (
-        rows.withColumn("normalized_text", text).drop("pieces").filter("normalized_text <> ''")
+        rows.withColumn("normalized_text", text)
+        .withColumn("section_title", F.col("pieces")[0]["section_title"])
+        .drop("pieces").filter("normalized_text <> ''")
         .withColumn("content_hash", T.content_hash("normalized_text"))
     )
 
@@ -145,14 +148,14 @@ def spans_shards(pages: DataFrame) -> bool:
     return not pages.filter(F.col("page_number") >= S.PAGES_PER_SHARD).isEmpty()
 
 
-def draft_chunks(blocks: DataFrame, tables: DataFrame, wide: bool = True) -> DataFrame:
-    """Marked blocks to numbered chunk parts (rows of blocks with `chunk_index`)."""
-    return merge_short_chunks(pack_chunks(match_table_markdown(select_chunk_blocks(blocks), tables), wide), wide)
+def draft_chunks(page_sheet: DataFrame, wide: bool = True) -> DataFrame:
+    """A marked sheet to numbered chunk parts (rows of blocks with `chunk_index`)."""
+    return merge_short_chunks(pack_chunks(match_table_markdown(select_chunk_blocks(page_sheet)), wide), wide)
 
 
-def build_chunks(blocks: DataFrame, tables: DataFrame, documents: DataFrame, wide: bool = True) -> DataFrame:
-    """The chunk table: built from marked blocks, stamped with the document's content revision."""
-    chunks = dedupe_chunks(assemble_chunks(draft_chunks(blocks, tables, wide)))
+def build_chunks(page_sheet: DataFrame, documents: DataFrame, wide: bool = True) -> DataFrame:
+    """The chunk table: built from a marked sheet, stamped with the document's content revision."""
+    chunks = dedupe_chunks(assemble_chunks(draft_chunks(page_sheet, wide)))
     revision = documents.select("document_id", F.col("content_revision").alias("chunk_revision"))
     chunk_id = F.sha2(F.concat_ws("\u001f", "document_id", "chunk_revision", "chunk_index"), 256)
     return chunks.join(revision, "document_id").withColumns(

@@ -1,8 +1,11 @@
 """Layout reconstruction: columns, reading order, tables, captions, repeated bands, page text.
 
-Page-level steps cluster rows by PAGE = (document_id, page_shard, page_number).  A page holds a
-physically bounded number of blocks, so page windows and page arrays stay small whatever the size
-of the document; document-level steps aggregate per shard before they combine shards.
+Blocks, tables and images of a page meet as rows of one *sheet*, clustered by SHARD =
+(document_id, page_shard), a fixed run of pages.  Every page-level step is a window over
+PAGE = (document_id, page_shard, page_number), which that one shuffle already satisfies, so a whole
+layout pass shuffles once and joins nothing.  A page holds a physically bounded number of blocks and
+a shard a fixed number of pages, so no task depends on how long a document is; document-level
+counts are combined from shard counts.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from pagewright import settings as S
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
 
-PAGE = ["document_id", "page_shard", "page_number"]
+SHARD = ["document_id", "page_shard"]
+PAGE = [*SHARD, "page_number"]
 
 
 def _is_text():
@@ -23,27 +27,54 @@ def _is_text():
 
 # --- page measures -----------------------------------------------------------------------
 
-def page_coverage(pages: DataFrame, images: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Image and text area of every page, from one grouping over images and blocks together."""
-    zero = F.lit(0.0)
-    parts = images.select(*PAGE, G.bbox_area(G.box()).alias("image_area"), zero.alias("text_area"), F.lit(1).alias("image")).unionByName(
-        blocks.filter("block_type = 'text'").select(
-            *PAGE, zero.alias("image_area"), G.bbox_area(G.box()).alias("text_area"), F.lit(0).alias("image")
-        )
+def _measures(pages: DataFrame, images: DataFrame, blocks: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Page measures from one grouping over pages, images, blocks and words together."""
+    names = {
+        "width": "double", "height": "double", "char_count": "bigint", "valid_ratio": "double",
+        "image_area": "double", "text_area": "double", "text_block": "boolean", "word": "bigint",
+    }
+
+    def rows(df, **values):
+        cols = [values.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()]
+        return df.select(*PAGE, *cols)
+
+    parts = rows(
+        pages, width=F.col("width"), height=F.col("height"),
+        char_count=T.nonspace_char_count("raw_text"), valid_ratio=T.valid_char_ratio("raw_text"),
     )
+    parts = parts.unionByName(rows(images, image_area=G.bbox_area(G.box())))
+    is_block = F.col("block_type") == "text"
+    parts = parts.unionByName(rows(blocks, text_area=F.when(is_block, G.bbox_area(G.box())), text_block=_is_text()))
+    if words is not None:
+        parts = parts.unionByName(rows(words, word=F.lit(1)))
+    area = F.greatest(F.col("width") * F.col("height"), F.lit(1.0))
     sums = parts.groupBy(*PAGE).agg(
-        F.sum("image_area").alias("image_area"), F.sum("text_area").alias("text_area"),
-        F.max("image_area").alias("largest_image"), F.sum("image").alias("images"),
+        *[F.max(n).alias(n) for n in ("width", "height", "char_count", "valid_ratio")],
+        F.coalesce(F.sum("image_area"), F.lit(0.0)).alias("image_area"),
+        F.coalesce(F.max("image_area"), F.lit(0.0)).alias("largest_image"),
+        F.count("image_area").alias("images"),
+        F.coalesce(F.sum("text_area"), F.lit(0.0)).alias("text_area"),
+        F.coalesce(F.bool_or("text_block"), F.lit(False)).alias("has_text_blocks"),
+        F.count("word").alias("word_count"),
     )
-    area = F.greatest(F.col("width") * F.col("height"), F.lit(1.0))
-    return pages.join(sums, PAGE, "left").withColumns(
+    return sums.filter("width is not null").withColumns(
         {
-            "image_area_ratio": F.least(F.lit(1.0), F.coalesce(F.col("image_area") / area, zero)),
-            "full_page_image": F.coalesce(F.col("largest_image") / area >= S.FULL_PAGE_IMAGE_RATIO, F.lit(False)),
-            "has_images": F.coalesce(F.col("images") > 0, F.lit(False)),
-            "text_area_ratio": F.least(F.lit(1.0), F.coalesce(F.col("text_area") / area, zero)),
+            "image_area_ratio": F.least(F.lit(1.0), F.col("image_area") / area),
+            "full_page_image": F.col("largest_image") / area >= S.FULL_PAGE_IMAGE_RATIO,
+            "has_images": F.col("images") > 0,
+            "text_area_ratio": F.least(F.lit(1.0), F.col("text_area") / area),
         }
-    ).drop("image_area", "text_area", "largest_image", "images")
+    ).drop("image_area", "largest_image", "images", "text_area")
+
+
+def page_coverage(pages: DataFrame, images: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Share of every page under images and under text."""
+    return _measures(pages, images, blocks).drop("word_count")
+
+
+def measure_pages(pages: DataFrame, images: DataFrame, blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """Everything `classify_pages` needs."""
+    return _measures(pages, images, blocks, words)
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
@@ -63,7 +94,7 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     verdict = (
         F.when(no_text & F.col("has_images"), result("scanned", True, F.when(sure, 0.9).otherwise(0.6)))
         .when(no_text, result("unknown", False, 0.5))
-        .when(T.valid_char_ratio("raw_text") < S.SCAN_VALID_CHAR_RATIO, result("unknown", True, 0.5))
+        .when(F.col("valid_ratio") < S.SCAN_VALID_CHAR_RATIO, result("unknown", True, 0.5))
         .when(sparse & (chars < S.SCAN_DIGITAL_MIN_CHARS), result("scanned", True, 0.7))
         .when(F.col("image_area_ratio") >= S.SCAN_IMAGE_RATIO_MIXED, result("mixed", chars <= S.OCR_MIXED_MAX_CHARS, 0.8))
         .otherwise(result("digital", False, 0.95))
@@ -74,35 +105,21 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     ).drop("scan")
 
 
-def measure_pages(pages: DataFrame, images: DataFrame, blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """Everything `classify_pages` needs: coverage, character and word counts, text blocks."""
-    counted = words.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("word_count"))
-    texts = blocks.groupBy(*PAGE).agg(F.bool_or(_is_text()).alias("has_text_blocks"))
-    return (
-        page_coverage(pages, images, blocks)
-        .join(counted, PAGE, "left").join(texts, PAGE, "left")
-        .withColumn("word_count", F.coalesce("word_count", F.lit(0).cast("bigint")))
-        .withColumn("has_text_blocks", F.coalesce("has_text_blocks", F.lit(False)))
-        .withColumn("char_count", T.nonspace_char_count("raw_text"))
-    )
-
-
 # --- reading order -------------------------------------------------------------------------
 
-def classify_columns(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+def classify_columns(blocks: DataFrame) -> DataFrame:
     """Column kind of every text block, from the extent of the text on its page."""
     page = Window.partitionBy(*PAGE)
-    text = _is_text()
-    df = blocks.join(pages.select(*PAGE, "width", "height"), PAGE).withColumn("is_text", text)
+    df = blocks.withColumn("is_text", F.coalesce(_is_text(), F.lit(False)))
     df = df.withColumn("content_x0", F.min(F.when(F.col("is_text"), F.col("x0"))).over(page)).withColumn(
         "content_x1", F.max(F.when(F.col("is_text"), F.col("x1"))).over(page)
     )
     content = F.greatest(F.col("content_x1") - F.col("content_x0"), F.lit(1.0))
     middle = F.col("content_x0") + content / 2
-    slack = F.col("width") * S.STRADDLE_TOLERANCE
+    slack = F.col("page_width") * S.STRADDLE_TOLERANCE
     kind = (
         F.when(~F.col("is_text"), F.lit(None).cast("string"))
-        .when(F.col("y0") >= F.col("height") * S.FOOTNOTE_ZONE, "footnote")
+        .when(F.col("y0") >= F.col("page_height") * S.FOOTNOTE_ZONE, "footnote")
         .when(F.col("x1") - F.col("x0") >= content * S.FULL_WIDTH_RATIO, "separator")
         .when(F.col("x1") <= middle + slack, "left")
         .when(F.col("x0") >= middle - slack, "right")
@@ -127,10 +144,10 @@ def detect_two_column(kinds: DataFrame) -> DataFrame:
     )
 
 
-def reading_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+def reading_order(blocks: DataFrame) -> DataFrame:
     """Zero-based visual order of the blocks of every page, with its confidence."""
     page = Window.partitionBy(*PAGE)
-    df = detect_two_column(classify_columns(blocks, pages))
+    df = detect_two_column(classify_columns(blocks))
     divides = F.col("column_kind").isin("separator", "straddler")
     df = df.withColumn("bottoms", F.collect_list(F.when(divides, F.col("y1"))).over(page))
     band = F.size(F.filter("bottoms", lambda y: y <= F.col("y0") + S.BAND_EPSILON))
@@ -166,44 +183,48 @@ def reading_order_confidence():
 
 # --- tables and captions ------------------------------------------------------------------------
 
-def _page_boxes(*frames: DataFrame) -> DataFrame:
-    """All boxes of a page in one array (bounded by the page)."""
-    rows = frames[0].select(*PAGE, F.struct("x0", "y0", "x1", "y1").alias("b"))
-    for f in frames[1:]:
-        rows = rows.unionByName(f.select(*PAGE, F.struct("x0", "y0", "x1", "y1").alias("b")))
-    return rows.groupBy(*PAGE).agg(F.collect_list("b").alias("boxes"))
+def sheet(blocks: DataFrame, tables: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """Rows of blocks, tables and images together, clustered by shard; `role` tells them apart."""
+    df = blocks.withColumn("role", F.lit("block"))
+    for role, boxes in (("table", tables), ("image", images)):
+        if boxes is not None:
+            df = df.unionByName(boxes.withColumn("role", F.lit(role)), allowMissingColumns=True)
+    return df.repartition(*SHARD)
+
+
+def only_blocks(df: DataFrame) -> DataFrame:
+    extra = [c for c in ("role", "table_index", "markdown_text") if c in df.columns]
+    return df.filter("role = 'block'").drop(*extra)
+
+
+def _page_boxes(*roles: str):
+    """All boxes of the given roles on the page of a row, in one array (bounded by the page)."""
+    box = F.struct("x0", "y0", "x1", "y1")
+    return F.collect_list(F.when(F.col("role").isin(*roles), box)).over(Window.partitionBy(*PAGE))
 
 
 def _fields(b):
     return b["x0"], b["y0"], b["x1"], b["y1"]
 
 
-def mark_table_blocks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+def mark_table_blocks(page_sheet: DataFrame) -> DataFrame:
     """Flag text blocks that lie inside a table of their page."""
+    df = page_sheet.withColumn("boxes", _page_boxes("table"))
     inside = F.exists("boxes", lambda b: G.overlap_ratio(G.box(), _fields(b)) >= S.TABLE_BLOCK_OVERLAP)
-    return (
-        blocks.join(_page_boxes(tables), PAGE, "left")
-        .withColumn("is_table", F.coalesce((F.col("block_type") == "text") & inside, F.lit(False)))
-        .drop("boxes")
-    )
+    return df.withColumn("is_table", F.coalesce((F.col("block_type") == "text") & inside, F.lit(False))).drop("boxes")
 
 
-def mark_captions(blocks: DataFrame, images: DataFrame, tables: DataFrame) -> DataFrame:
+def mark_captions(page_sheet: DataFrame) -> DataFrame:
     """Flag numbered figure and table captions close to an image or table of their page."""
+    df = page_sheet.withColumn("boxes", _page_boxes("table", "image"))
     near = F.exists("boxes", lambda b: G.vertical_distance(G.box(), _fields(b)) <= S.CAPTION_MAX_DISTANCE)
-    return (
-        blocks.join(_page_boxes(images, tables), PAGE, "left")
-        .withColumn(
-            "is_caption",
-            F.coalesce((F.col("block_type") == "text") & F.col("text").rlike(T.CAPTION) & near, F.lit(False)),
-        )
-        .drop("boxes")
-    )
+    flag = (F.col("block_type") == "text") & F.col("text").rlike(T.CAPTION) & near
+    return df.withColumn("is_caption", F.coalesce(flag, F.lit(False))).drop("boxes")
 
 
 # --- repeated headers and footers ------------------------------------------------------------------
 
-def band_zone(y0="y0", y1="y1", height="height"):
+def band_zone(y0="y0", y1="y1", height="page_height"):
     y0, y1, h = T.col(y0), T.col(y1), T.col(height)
     top = h * S.HEADER_ZONE
     return F.when((y1 <= top * S.HEADER_ZONE_BOTTOM_FACTOR) & (y0 <= top), "header").when(
@@ -211,47 +232,43 @@ def band_zone(y0="y0", y1="y1", height="height"):
     )
 
 
-def detect_bands(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+def detect_bands(blocks: DataFrame, wide: bool = True) -> DataFrame:
     """Flag repeated headers and footers, and lone page numbers in those zones.
 
-    Counts are taken per (document, shard) first and then combined; the repeated keys return to the
-    blocks per shard as well, so a single huge document is neither counted nor joined in one task.
+    `blocks` are clustered by shard.  Pages and keys are counted inside each shard; when a document
+    spans shards (`wide`) the shard counts are summed per document and looked up again per shard,
+    so a single huge document is neither counted nor joined in one task.
     """
-    df = blocks.join(pages.select(*PAGE, "height"), PAGE)
+    real = F.coalesce((F.col("block_type") != "image") & (F.col("role") == "block"), F.lit(False))
     body = T.strip(F.coalesce("text", F.lit("")))
-    df = df.withColumn("band_text", body).withColumn(
-        "zone", F.when((F.col("band_text") != "") & (F.col("height") > 0) & (F.col("block_type") != "image"), band_zone())
-    ).withColumn("fp", F.when(F.col("zone").isNotNull(), T.band_fingerprint("band_text")))
+    df = blocks.withColumn("band_text", body)
+    df = df.withColumn("zone", F.when(real & (F.col("band_text") != "") & (F.col("page_height") > 0), band_zone()))
+    df = df.withColumn("fp", F.when(F.col("zone").isNotNull(), T.band_fingerprint("band_text")))
 
     # the length limit applies to counting only; longer texts are still marked by their truncated key
-    counted_page = F.when(F.length("band_text") <= S.BAND_MAX_CHARS, F.col("page_number"))
-    shard_keys = (
-        df.filter(F.col("zone").isNotNull())
-        .groupBy("document_id", "page_shard", "zone", "fp")
-        .agg(F.count_distinct(counted_page).alias("pages"))
-    )
-    totals = (
-        blocks.filter("block_type <> 'image'")
-        .groupBy("document_id", "page_shard").agg(F.count_distinct("page_number").alias("pages"))
-        .groupBy("document_id").agg(F.sum("pages").alias("total_pages"))
-    )
+    counted = F.col("zone").isNotNull() & (F.length("band_text") <= S.BAND_MAX_CHARS)
+    key_page = Window.partitionBy(*SHARD, "zone", "fp", "page_number").orderBy((~counted).cast("int"))
+    df = df.withColumn("key_page", (F.row_number().over(key_page) == 1) & counted)
+    df = df.withColumn("key_pages", F.count(F.when(F.col("key_page"), 1)).over(Window.partitionBy(*SHARD, "zone", "fp")))
+    first = Window.partitionBy(*PAGE).orderBy((~real).cast("int"))
+    df = df.withColumn("page_mark", (F.row_number().over(first) == 1) & real)
+    df = df.withColumn("total_pages", F.count(F.when(F.col("page_mark"), 1)).over(Window.partitionBy(*SHARD)))
+    if wide:
+        keys = df.filter("zone is not null").groupBy(*SHARD, "zone", "fp").agg(F.max("key_pages").alias("n"))
+        totals = df.groupBy(*SHARD).agg(F.max("total_pages").alias("n")).groupBy("document_id").agg(F.sum("n").alias("doc_pages"))
+        sums = keys.groupBy("document_id", "zone", "fp").agg(F.sum("n").alias("doc_key_pages"))
+        known = keys.drop("n").join(sums, ["document_id", "zone", "fp"]).join(totals, "document_id")
+        df = df.join(known, [*SHARD, "zone", "fp"], "left")
+        df = df.withColumns({"key_pages": F.col("doc_key_pages"), "total_pages": F.col("doc_pages")}).drop("doc_key_pages", "doc_pages")
     needed = F.greatest(F.lit(S.REPEAT_MIN_PAGES), F.floor(F.col("total_pages") * S.REPEAT_MIN_FRACTION))
-    repeated = (
-        shard_keys.groupBy("document_id", "zone", "fp").agg(F.sum("pages").alias("n"))
-        .join(totals, "document_id").filter(F.col("n") >= needed).select("document_id", "zone", "fp")
-    )
-    keys = shard_keys.join(repeated, ["document_id", "zone", "fp"], "left_semi").select(
-        "document_id", "page_shard", "zone", "fp", F.lit(True).alias("repeated")
-    )
-    marked = df.join(keys, ["document_id", "page_shard", "zone", "fp"], "left")
     lone = (F.length("band_text") <= S.PAGE_NUMBER_MAX_CHARS) & T.is_page_number_line("band_text")
-    is_band = F.col("zone").isNotNull() & (F.coalesce("repeated", F.lit(False)) | lone)
-    return marked.withColumns(
+    is_band = F.col("zone").isNotNull() & (F.coalesce(F.col("key_pages") >= needed, F.lit(False)) | lone)
+    return df.withColumns(
         {
             "is_header": F.coalesce(is_band & (F.col("zone") == "header"), F.lit(False)),
             "is_footer": F.coalesce(is_band & (F.col("zone") == "footer"), F.lit(False)),
         }
-    ).drop("band_text", "zone", "fp", "repeated", "height")
+    ).drop("band_text", "zone", "fp", "key_page", "key_pages", "page_mark", "total_pages")
 
 
 # --- page text and document status --------------------------------------------------------------------
@@ -304,7 +321,8 @@ def extraction_rollup(pages: DataFrame) -> DataFrame:
     return counts.withColumn("processing_status", status)
 
 
-def lay_out(blocks: DataFrame, pages: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
-    """All block-level marks together."""
-    ordered = reading_order(blocks, pages).drop("width", "height", "is_text", "band", "n_left", "n_right", "n_straddlers")
-    return detect_bands(mark_captions(mark_table_blocks(ordered, tables), images, tables), pages)
+def lay_out(blocks: DataFrame, tables: DataFrame, images: DataFrame, wide: bool = True) -> DataFrame:
+    """All block-level marks, on a sheet that still holds the table rows."""
+    df = mark_captions(mark_table_blocks(sheet(blocks, tables, images)))
+    df = reading_order(df).drop("is_text", "band", "n_left", "n_right", "n_straddlers")
+    return detect_bands(df, wide)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pagewright import settings as S
 from pagewright.operators import chunks as K
 from pagewright.plans import oracle_views as V
-from pagewright.plans.layout_queries import laid_out
+from pagewright.plans.layout_queries import laid_out, wide
 from pagewright.plans.registry import query
 from pagewright.plans.text_queries import LONG_SQL
+from pagewright.session import per_folder
 from pagewright.sources import corpus as C
 
 VIEWS = V.VIEWS
@@ -71,30 +72,30 @@ SELECT c.*, d.content_revision AS chunk_revision, sha256(c.document_id||chr(31)|
   greatest(1, round_even(length(normalized_text)/4.0, 0))::BIGINT AS token_count FROM o_dedup c JOIN v_documents d USING (document_id)"""
 
 
-def wide(spark, folder):
-    return K.spans_shards(C.v_pages(spark, folder))
-
-
+@per_folder
 def selected(spark, folder):
-    return K.match_table_markdown(K.select_chunk_blocks(laid_out(spark, folder)), C.v_tables(spark, folder))
+    return K.match_table_markdown(K.select_chunk_blocks(laid_out(spark, folder)))
 
 
+@per_folder
 def packed(spark, folder):
     return K.pack_chunks(selected(spark, folder), wide(spark, folder))
 
 
+@per_folder
 def merged(spark, folder):
     w = wide(spark, folder)
     return K.merge_short_chunks(K.pack_chunks(selected(spark, folder), w), w)
 
 
+@per_folder
 def chunk_table(spark, folder):
-    return K.build_chunks(laid_out(spark, folder), C.v_tables(spark, folder), C.v_documents(spark, folder), wide(spark, folder))
+    return K.build_chunks(laid_out(spark, folder), C.v_documents(spark, folder), wide(spark, folder))
 
 
 @query("select_chunk_blocks", "SELECT document_id, page_number, block_index, reading_order, source_method FROM o_sel")
 def _select_chunk_blocks(spark, folder):
-    return K.select_chunk_blocks(laid_out(spark, folder)).select("document_id", "page_number", "block_index", "reading_order", "source_method")
+    return K.select_chunk_blocks(laid_out(spark, folder)).filter("role = 'block'").select("document_id", "page_number", "block_index", "reading_order", "source_method")
 
 
 @query("match_table_markdown", "SELECT document_id, page_number, block_index, chunk_text FROM o_md")

@@ -9,6 +9,7 @@ from pagewright.functions import text as T
 from pagewright.operators import layout as L
 from pagewright.plans import oracle_views as V
 from pagewright.plans.registry import query
+from pagewright.session import per_folder
 from pagewright.sources import corpus as C
 
 VIEWS = V.VIEWS
@@ -82,12 +83,20 @@ SELECT o.*, t.is_table, b.is_header, b.is_footer FROM o_order o JOIN o_tablemark
 JOIN o_bands b USING (document_id, page_number, block_index)"""
 
 
+@per_folder
 def measured(spark, folder):
     return L.measure_pages(C.v_pages(spark, folder), C.v_images(spark, folder), C.v_blocks(spark, folder), C.v_words(spark, folder))
 
 
+@per_folder
+def wide(spark, folder):
+    """Whether any document is longer than one shard (one boolean shapes the document-level steps)."""
+    return not C.v_pages(spark, folder).filter(F.col("page_number") >= S.PAGES_PER_SHARD).isEmpty()
+
+
+@per_folder
 def laid_out(spark, folder):
-    return L.lay_out(C.v_blocks(spark, folder), C.v_pages(spark, folder), C.v_tables(spark, folder), C.v_images(spark, folder))
+    return L.lay_out(C.v_blocks(spark, folder), C.v_tables(spark, folder), C.v_images(spark, folder), wide(spark, folder))
 
 
 @query("page_coverage", """SELECT document_id, page_number, round(image_area_ratio, 6) AS image_area_ratio, full_page_image, has_images,
@@ -109,29 +118,29 @@ def _classify_pages(spark, folder):
 
 @query("classify_columns", "SELECT document_id, page_number, block_index, column_kind FROM o_kinds")
 def _classify_columns(spark, folder):
-    return L.classify_columns(C.v_blocks(spark, folder), C.v_pages(spark, folder)).select(*KEY, "column_kind")
+    return L.classify_columns(C.v_blocks(spark, folder)).select(*KEY, "column_kind")
 
 
 @query("detect_two_column", "SELECT document_id, page_number, block_index, n_left, n_right, n_straddlers, two_column FROM o_cols")
 def _detect_two_column(spark, folder):
-    kinds = L.classify_columns(C.v_blocks(spark, folder), C.v_pages(spark, folder))
+    kinds = L.classify_columns(C.v_blocks(spark, folder))
     return L.detect_two_column(kinds).select(*KEY, "n_left", "n_right", "n_straddlers", "two_column")
 
 
 @query("reading_order", "SELECT document_id, page_number, block_index, reading_order FROM o_order")
 def _reading_order(spark, folder):
-    return L.reading_order(C.v_blocks(spark, folder), C.v_pages(spark, folder)).select(*KEY, "reading_order")
+    return L.reading_order(C.v_blocks(spark, folder)).select(*KEY, "reading_order")
 
 
 @query("reading_order_confidence", "SELECT DISTINCT document_id, page_number, two_column, order_confidence FROM o_order")
 def _reading_order_confidence(spark, folder):
-    df = L.detect_two_column(L.classify_columns(C.v_blocks(spark, folder), C.v_pages(spark, folder)))
+    df = L.detect_two_column(L.classify_columns(C.v_blocks(spark, folder)))
     return df.select("document_id", "page_number", "two_column", L.reading_order_confidence().alias("order_confidence")).distinct()
 
 
 @query("mark_table_blocks", "SELECT document_id, page_number, block_index, is_table FROM o_tablemark")
 def _mark_table_blocks(spark, folder):
-    return L.mark_table_blocks(C.v_blocks(spark, folder), C.v_tables(spark, folder)).select(*KEY, "is_table")
+    return L.only_blocks(L.mark_table_blocks(L.sheet(C.v_blocks(spark, folder), C.v_tables(spark, folder)))).select(*KEY, "is_table")
 
 
 @query("mark_captions", "SELECT document_id, page_number, block_index, is_caption FROM o_captions")
@@ -142,19 +151,19 @@ def _mark_captions(spark, folder):
         F.when(slot % 4 == 1, F.concat(F.lit("Figure "), slot.cast("string"), F.lit(". "), "text"))
         .when(slot % 4 == 2, F.concat(F.lit("tableau "), "text")).otherwise(F.col("text")),
     )
-    return L.mark_captions(b, C.v_images(spark, folder), C.v_tables(spark, folder)).select(*KEY, "is_caption")
+    return L.only_blocks(L.mark_captions(L.sheet(b, C.v_tables(spark, folder), C.v_images(spark, folder)))).select(*KEY, "is_caption")
 
 
 @query("detect_bands", "SELECT document_id, page_number, block_index, is_header, is_footer FROM o_bands")
 def _detect_bands(spark, folder):
-    return L.detect_bands(C.v_blocks(spark, folder), C.v_pages(spark, folder)).select(*KEY, "is_header", "is_footer")
+    return L.detect_bands(L.sheet(C.v_blocks(spark, folder)), wide(spark, folder)).select(*KEY, "is_header", "is_footer")
 
 
 @query("page_text", f"""SELECT document_id, page_number, coalesce(string_agg(clean, chr(10)||chr(10) ORDER BY reading_order), '') AS normalized_text
 FROM (SELECT document_id, page_number, reading_order, CASE WHEN NOT (is_table OR is_header OR is_footer) AND NOT ({V.blank('text')}) THEN nullif({V.normalize('text')}, '') END AS clean FROM o_layout)
 GROUP BY ALL""")
 def _page_text(spark, folder):
-    return L.page_text(laid_out(spark, folder)).select("document_id", "page_number", "normalized_text")
+    return L.page_text(L.only_blocks(laid_out(spark, folder))).select("document_id", "page_number", "normalized_text")
 
 
 ROLL_SQL = """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 
@@ -21,6 +22,7 @@ def local_session(cpus: int | str = "*", name: str = "pagewright", memory: str =
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,3 +40,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
         )
     return df.checkpoint(eager=True)
+
+
+def per_folder(fn):
+    """Build the (lazy) DataFrame of a session and folder once; queries share the plan object."""
+    built: dict = {}
+
+    @functools.wraps(fn)
+    def get(spark, folder):
+        key = (spark.sparkContext.applicationId, id(spark), folder)
+        if key not in built:
+            built[key] = fn(spark, folder)
+        return built[key]
+
+    return get

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagewright import settings as S
 from pagewright.functions import geometry as G
 from pagewright.functions import text as T
+from pagewright.session import per_folder
 
 LINES_PER_PAGE = 8
 PAGE_WIDTH = 612.0
@@ -48,11 +49,13 @@ def page_shard(page_number="page_number") -> Column:
     return F.floor(T.col(page_number) / S.PAGES_PER_SHARD).cast("bigint")
 
 
+@per_folder
 def line_rows(spark, folder) -> DataFrame:
     docs = documents(spark, folder, "doc_id", "text").withColumnRenamed("doc_id", "document_id")
     return docs.select("document_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
 
 
+@per_folder
 def v_blocks(spark, folder) -> DataFrame:
     slot = F.col("block_index")
     two = F.col("document_id") % 2 == 1
@@ -77,10 +80,13 @@ def v_blocks(spark, folder) -> DataFrame:
         .withColumn("y0", y0)
         .withColumn("y1", F.col("y0") + F.when(slot.isin(0, 7), 20.0).otherwise(40.0))
         .withColumn("block_type", F.lit("text"))
+        .withColumn("page_width", F.lit(PAGE_WIDTH))
+        .withColumn("page_height", F.lit(PAGE_HEIGHT))
         .withColumn("source_method", F.when(ocr, "ocr").otherwise("digital"))
     )
 
 
+@per_folder
 def v_tables(spark, folder) -> DataFrame:
     return v_blocks(spark, folder).filter(F.col("text").contains(" | ")).select(
         "document_id", "page_shard", "page_number", F.col("block_index").alias("table_index"),
@@ -90,6 +96,7 @@ def v_tables(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_pages(spark, folder) -> DataFrame:
     docs = documents(spark, folder, "doc_id", "text").select(
         F.col("doc_id").alias("document_id"), F.split("text", "\n", -1).alias("lines")
@@ -109,6 +116,7 @@ def v_pages(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_images(spark, folder) -> DataFrame:
     odd = F.col("page_number") % 2 == 1
     return v_pages(spark, folder).filter(F.col("document_id") % 7 == 0).select(
@@ -118,6 +126,7 @@ def v_images(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_words(spark, folder) -> DataFrame:
     blocks = v_blocks(spark, folder)
     words = blocks.select(
@@ -135,11 +144,13 @@ def v_words(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_ocr_words(spark, folder) -> DataFrame:
     """Recognised words: of OCR blocks, and of digital blocks in the same documents."""
     return v_words(spark, folder).filter(F.col("document_id") % 5 == 0).drop("source_method")
 
 
+@per_folder
 def v_documents(spark, folder) -> DataFrame:
     d = F.col("document_id")
     docs = documents(spark, folder, "doc_id", "lang", "source", "text").withColumnRenamed("doc_id", "document_id")
@@ -171,11 +182,13 @@ def v_documents(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_users(spark, folder) -> DataFrame:
     """One row per owner of documents; owner 1 has not allowed external models."""
     return v_documents(spark, folder).select("user_id").distinct().withColumn("external_ai_allowed", F.col("user_id") != 1)
 
 
+@per_folder
 def v_jobs(spark, folder) -> DataFrame:
     e = F.col("event_id")
     status = pick(e % 4, ("queued", "running", "succeeded", "failed"))
@@ -193,6 +206,7 @@ def v_jobs(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_lifecycle_events(spark, folder) -> DataFrame:
     t = F.col("event_type")
     new = (
@@ -204,6 +218,7 @@ def v_lifecycle_events(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_chunks(spark, folder) -> DataFrame:
     """One search chunk per non-blank line, titled by the first line of its page."""
     b = v_blocks(spark, folder)
@@ -224,6 +239,7 @@ def v_chunks(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_queries(spark, folder) -> DataFrame:
     d = F.col("document_id")
     docs = read(spark, folder, "documents").filter(F.col("doc_id") % 10 == 3).select(
@@ -243,6 +259,7 @@ def v_queries(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_chunk_vectors(spark, folder) -> DataFrame:
     return read(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("bigint").alias("document_id"),
@@ -250,6 +267,7 @@ def v_chunk_vectors(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_query_vectors(spark, folder) -> DataFrame:
     """One query vector per document (label): its first vector."""
     return v_chunk_vectors(spark, folder).groupBy("document_id").agg(
@@ -258,6 +276,7 @@ def v_query_vectors(spark, folder) -> DataFrame:
              F.lit(64).alias("embedding_dimension"), "vector")
 
 
+@per_folder
 def v_messages(spark, folder) -> DataFrame:
     c = F.col("conv_id")
     return read(spark, folder, "conversations").filter("role <> 'system'").select(
@@ -277,6 +296,7 @@ def message_id(document_id="document_id", page_number="page_number") -> Column:
     return T.col(document_id) * 1_000_000 + T.col(page_number)
 
 
+@per_folder
 def v_context(spark, folder) -> DataFrame:
     """Chunks retrieved for each answer: the non-blank lines of its page, in order."""
     return v_blocks(spark, folder).filter(~T.is_blank("text")).select(
@@ -286,6 +306,7 @@ def v_context(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_claims(spark, folder) -> DataFrame:
     """Six raw claims per line: exact, with an unknown number, without a known source, with
     foreign words, with an added negation, repeated under two sources."""
@@ -310,6 +331,7 @@ def v_claims(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
 def v_claim_events(spark, folder) -> DataFrame:
     """Ordered events of every answer; one answer in five ends without a final event."""
     claims = v_claims(spark, folder).select(
