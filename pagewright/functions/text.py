@@ -13,6 +13,11 @@ from pagewright import settings as S
 _NARROW = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x{85}\x{A0}"
 _WIDE = r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE_RE2 = _NARROW + _WIDE
+SPACE_CHARS = "".join(
+    [chr(c) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680)]
+    + [chr(c) for c in range(0x2000, 0x200B)]
+    + [chr(c) for c in (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+)
 # Java tests the range guard first, so Latin text pays one table lookup per character.
 SPACE = _NARROW + r"[\x{1680}-\x{3000}&&[" + _WIDE + "]]"
 # Patterns that define results.
@@ -46,17 +51,28 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn) -> Column:
+    """`fn(value)` with the value computed once however often `fn` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip(c) -> Column:
-    """Trim every kind of white space at both ends (the look-behind keeps long runs linear)."""
-    return F.regexp_replace(col(c), rf"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
+    """Trim every kind of white space at both ends."""
+    return F.btrim(col(c), F.lit(SPACE_CHARS))
+
 
+def collapse_space(c) -> Column:
+    """Every run of white space becomes one blank (single blanks are not touched)."""
+    return F.regexp_replace(col(c), rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]", " ")
 
-def collapse_space(c, to: str = " ") -> Column:
-    return F.regexp_replace(col(c), rf"[{SPACE}]+", to)
+
+def remove_space(c) -> Column:
+    return F.regexp_replace(col(c), rf"[{SPACE}]+", "")
 
 
 def is_blank(c) -> Column:
-    return F.coalesce(strip(c), F.lit("")) == ""
+    """Null, empty or white space only; stops at the first other character."""
+    return ~F.coalesce(col(c).rlike(rf"[^{SPACE}]"), F.lit(False))
 
 
 @F.pandas_udf(StringType())
@@ -72,15 +88,28 @@ def nfc(c) -> Column:
 
 
 def normalize_text(c, compose: bool = True) -> Column:
-    """Clean text without touching numbers, units or comparison signs."""
+    """Clean text without touching numbers, units or comparison signs.
+
+    Rare cases are guarded by a cheap test, so ordinary text is scanned only a few times.
+    """
     t = nfc(c) if compose else col(c)
-    t = F.regexp_replace(t, CONTROL_CHARS, "")
-    t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"([a-z])-\n([a-z])", "$1$2")
-    t = F.regexp_replace(t, r"[ \t\x{A0}]+", " ")
-    # strip every line: white space next to a line break, without eating the breaks themselves
-    t = F.array_join(F.transform(F.split(t, "\n", -1), strip), "\n")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    steps = (
+        (lambda x: x.rlike(r"[\x00-\x08\x0B-\x1F\x7F]"),
+         lambda x: F.regexp_replace(F.regexp_replace(x, CONTROL_CHARS, ""), r"\r\n?", "\n")),
+        (lambda x: x.contains("-\n"), lambda x: F.regexp_replace(x, r"([a-z])-\n([a-z])", "$1$2")),
+        (lambda x: x.rlike(r"[ \t\x{A0}]{2}|[\t\x{A0}]"),
+         lambda x: F.regexp_replace(x, r"[ \t\x{A0}]{2,}|[\t\x{A0}]", " ")),
+        # strip every line: white space next to a line break, but never the breaks themselves
+        (lambda x: x.contains("\n"),
+         lambda x: F.regexp_replace(x, rf"[{SPACE}&&[^\n]]*+\n[{SPACE}&&[^\n]]*+", "\n")),
+        (lambda x: x.contains("\n\n\n"), lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n")),
+    )
+
+    def where(rare, change):
+        return lambda x: F.when(rare(x), change(x)).otherwise(x)
+
+    for rare, change in steps:
+        t = let(t, where(rare, change))
     return strip(t)
 
 
@@ -89,12 +118,12 @@ def is_page_number_line(c) -> Column:
 
 
 def nonspace_char_count(c) -> Column:
-    return F.length(collapse_space(c, "")).cast("bigint")
+    return F.length(remove_space(c)).cast("bigint")
 
 
 def valid_char_ratio(c) -> Column:
     """Printable characters other than U+FFFD over non-space characters; 1.0 when there are none."""
-    solid = collapse_space(c, "")
+    solid = remove_space(c)
     good = F.length(F.regexp_replace(solid, r"[\p{C}\p{Z}\x{FFFD}]", ""))
     return F.when(F.length(solid) == 0, F.lit(1.0)).otherwise(good / F.length(solid))
 
@@ -114,7 +143,7 @@ def looks_like_section_title(c) -> Column:
 
 
 def split_sentences(c) -> Column:
-    return F.filter(F.split(col(c), SENTENCE_BREAK, -1), lambda s: strip(s) != "")
+    return F.filter(F.split(col(c), SENTENCE_BREAK, -1), lambda s: ~is_blank(s))
 
 
 def _slices(text: Column, limit: int) -> Column:
