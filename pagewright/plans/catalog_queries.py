@@ -37,12 +37,12 @@ def _duplicate_files(spark, folder):
         "file_id", "user_id", "existing_id", "first_in_batch", "duplicate")
 
 
-@query("list_documents", """SELECT document_id, title, epoch_us(created_at) AS created_us FROM v_documents WHERE user_id=1 AND deleted_at IS NULL AND processing_status='failed'
+@query("list_documents", """SELECT document_id, title, epoch_us(created_at) AS created_us FROM v_documents WHERE user_id=0 AND deleted_at IS NULL AND processing_status='failed'
  AND (title ILIKE '%SRC1%' OR original_filename ILIKE '%SRC1%') AND (created_at < TIMESTAMP '2024-01-01 02:30:00' OR (created_at = TIMESTAMP '2024-01-01 02:30:00' AND document_id < 150))
  ORDER BY created_at DESC, document_id DESC LIMIT 21""")
 def _list_documents(spark, folder):
     after = (F.expr("timestamp_ntz'2024-01-01 02:30:00'"), 150)
-    return A.list_documents(C.v_documents(spark, folder), 1, "failed", "SRC1", after, 20).select(
+    return A.list_documents(C.v_documents(spark, folder), 0, "failed", "SRC1", after, 20).select(
         "document_id", "title", C.micros("created_at").alias("created_us"))
 
 

@@ -10,7 +10,7 @@ from pagewright.plans import oracle_views as V
 from pagewright.plans.layout_queries import laid_out, wide
 from pagewright.plans.registry import query
 from pagewright.plans.text_queries import LONG_SQL
-from pagewright.session import per_folder
+from pagewright.session import cut_lineage, per_folder
 from pagewright.sources import corpus as C
 
 VIEWS = V.VIEWS
@@ -93,6 +93,12 @@ def chunk_table(spark, folder):
     return K.build_chunks(laid_out(spark, folder), C.v_documents(spark, folder), wide(spark, folder))
 
 
+@per_folder
+def stored_chunks(spark, folder):
+    """The chunk table as later steps read it: written once, then scanned."""
+    return cut_lineage(chunk_table(spark, folder))
+
+
 @query("select_chunk_blocks", "SELECT document_id, page_number, block_index, reading_order, source_method FROM o_sel")
 def _select_chunk_blocks(spark, folder):
     return K.select_chunk_blocks(laid_out(spark, folder)).filter("role = 'block'").select("document_id", "page_number", "block_index", "reading_order", "source_method")

@@ -153,7 +153,7 @@ FROM (SELECT *, unnest(range(len(w))) AS k FROM (
   SELECT document_id, page_shard, page_number, block_index, line_no, source_method, x0 AS bx, y0, y1,
     list_filter(string_split(text, ' '), lambda z: NOT ({blank('z')})) AS w FROM v_blocks))"""
 
-VIEWS["v_ocr_words"] = "SELECT * EXCLUDE (source_method) FROM v_words WHERE document_id % 5 = 0"
+VIEWS["v_ocr_words"] = "SELECT * EXCLUDE (source_method) FROM v_words"
 
 VIEWS["v_documents"] = f"""
 SELECT *, CASE WHEN document_id%4=0 THEN NULL WHEN document_id%4=3 THEN content_revision-1 ELSE content_revision END AS chunk_revision
@@ -191,12 +191,12 @@ SELECT b.document_id, b.document_id||':'||b.line_no AS chunk_id, b.line_no AS ch
 FROM v_blocks b JOIN v_pages p USING (document_id, page_number) WHERE NOT ({blank('b.text')})"""
 
 VIEWS["v_queries"] = f"""
-SELECT *, {pick('(document_id // 10) % 3', ("hybrid", "keyword", "vector"))} AS mode, (document_id // 10) % 12 + 4 AS "limit" FROM (
+SELECT *, {pick('document_id % 3', ("hybrid", "keyword", "vector"))} AS mode, document_id % 12 + 4 AS "limit" FROM (
   SELECT document_id AS query_id, document_id, array_to_string(list_filter(w, lambda z: length(z) >= 3)[1:2], ' ') AS query
-  FROM (SELECT document_id, string_split(text, ' ') AS w FROM v_lines WHERE line_no = 0 AND document_id % 10 = 3)
+  FROM (SELECT document_id, string_split(text, ' ') AS w FROM v_lines WHERE line_no = 0)
   UNION ALL
   SELECT document_id + 10000000, document_id, coalesce(list_filter(w, lambda z: length(z) = 2)[1], '')
-  FROM (SELECT document_id, string_split(text, ' ') AS w FROM v_lines WHERE line_no = 0 AND document_id % 10 = 3))
+  FROM (SELECT document_id, string_split(text, ' ') AS w FROM v_lines WHERE line_no = 0))
 WHERE query <> ''"""
 
 VIEWS["v_chunk_vectors"] = """

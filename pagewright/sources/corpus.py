@@ -146,8 +146,8 @@ def v_words(spark, folder) -> DataFrame:
 
 @per_folder
 def v_ocr_words(spark, folder) -> DataFrame:
-    """Recognised words: of OCR blocks, and of digital blocks in the same documents."""
-    return v_words(spark, folder).filter(F.col("document_id") % 5 == 0).drop("source_method")
+    """Recognised words of every page, over OCR blocks and digital blocks alike."""
+    return v_words(spark, folder).drop("source_method")
 
 
 @per_folder
@@ -221,28 +221,26 @@ def v_lifecycle_events(spark, folder) -> DataFrame:
 @per_folder
 def v_chunks(spark, folder) -> DataFrame:
     """One search chunk per non-blank line, titled by the first line of its page."""
-    b = v_blocks(spark, folder)
-    pages = v_pages(spark, folder).select(
-        "document_id", "page_shard", "page_number",
-        F.substring(F.substring_index("raw_text", "\n", 1), 1, S.TITLE_MAX_CHARS).alias("section_title"),
-    )
-    return (
-        b.join(pages, ["document_id", "page_shard", "page_number"])
-        .filter(~T.is_blank("text"))
-        .select(
-            "document_id", F.concat_ws(":", "document_id", "line_no").alias("chunk_id"),
-            F.col("line_no").alias("chunk_index"), "section_title", F.col("text").alias("normalized_text"),
-            F.col("page_number").alias("page_start"),
-            (F.col("page_number") + F.when(F.col("line_no") % 7 == 3, 1).otherwise(0)).alias("page_end"),
-            F.sha2("text", 256).alias("content_hash"),
-        )
+    docs = documents(spark, folder, "doc_id", "text").select(F.col("doc_id").alias("document_id"), F.split("text", "\n", -1).alias("lines"))
+    titled = F.transform("lines", lambda x, i: F.struct(
+        i.cast("bigint").alias("line_no"), x.alias("text"),
+        F.substring(F.get(F.col("lines"), i - i % LINES_PER_PAGE), 1, S.TITLE_MAX_CHARS).alias("title"),
+    ))
+    rows = docs.select("document_id", F.explode(titled).alias("r")).select("document_id", "r.*").filter(~T.is_blank("text"))
+    page = (F.floor(F.col("line_no") / LINES_PER_PAGE) + 1).cast("bigint")
+    return rows.select(
+        "document_id", F.concat_ws(":", "document_id", "line_no").alias("chunk_id"),
+        F.col("line_no").alias("chunk_index"), F.col("title").alias("section_title"), F.col("text").alias("normalized_text"),
+        page.alias("page_start"), (page + F.when(F.col("line_no") % 7 == 3, 1).otherwise(0)).alias("page_end"),
+        F.sha2("text", 256).alias("content_hash"),
     )
 
 
 @per_folder
 def v_queries(spark, folder) -> DataFrame:
+    """Two queries per document: its first two longer words, and its first two-letter word."""
     d = F.col("document_id")
-    docs = read(spark, folder, "documents").filter(F.col("doc_id") % 10 == 3).select(
+    docs = documents(spark, folder, "doc_id", "text").select(
         F.col("doc_id").alias("document_id"), F.split(F.substring_index("text", "\n", 1), " ", -1).alias("w")
     )
     long_words = docs.select(
@@ -253,10 +251,8 @@ def v_queries(spark, folder) -> DataFrame:
         (d + 10_000_000).alias("query_id"), "document_id",
         F.coalesce(F.get(F.filter("w", lambda x: F.length(x) == 2), F.lit(0)), F.lit("")).alias("query"),
     )
-    mode = pick(F.floor(d / 10) % 3, ("hybrid", "keyword", "vector"))
-    return long_words.unionByName(short_word).filter("query <> ''").withColumn("mode", mode).withColumn(
-        "limit", F.floor(d / 10) % 12 + 4
-    )
+    mode = pick(d % 3, ("hybrid", "keyword", "vector"))
+    return long_words.unionByName(short_word).filter("query <> ''").withColumn("mode", mode).withColumn("limit", d % 12 + 4)
 
 
 @per_folder
