@@ -69,7 +69,8 @@ def term_hits(terms: DataFrame, chunks: DataFrame, postings: DataFrame | None =
     """Chunks of the whole index that contain each term in text or title, with phrase counts.
 
     Candidates come from the rarest trigram of a term and are then verified on the text, so a term
-    is compared only with chunks that hold that trigram.
+    is compared only with chunks that hold that trigram.  `terms` holds (document_id, term); phrases
+    are counted only in chunks of a document that asks for the term, elsewhere `freq` is null.
     """
     postings = build_trigram_index(chunks) if postings is None else postings
     distinct_terms = terms.select("term").distinct()
@@ -80,7 +81,10 @@ def term_hits(terms: DataFrame, chunks: DataFrame, postings: DataFrame | None =
         pieces.join(counts, "trigram", "left")
         .groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "trigram")).getField("trigram").alias("trigram"))
     )
-    candidates = wanted.join(rarest, "trigram").select("chunk_id", "term")
+    asked = terms.select("document_id", "term").distinct().withColumn("asked", F.lit(True))
+    candidates = (
+        wanted.join(rarest, "trigram").join(asked, ["document_id", "term"], "left").select("chunk_id", "term", "asked")
+    )
     texts = chunks.select(
         "chunk_id", "document_id", "chunk_index", index_tokens().alias("tokens"),
         F.lower("normalized_text").alias("body"), F.lower(F.coalesce("section_title", F.lit(""))).alias("head"),
@@ -88,7 +92,11 @@ def term_hits(terms: DataFrame, chunks: DataFrame, postings: DataFrame | None =
     found = candidates.join(texts, "chunk_id").filter(F.col("body").contains(F.col("term")) | F.col("head").contains(F.col("term")))
     return found.select(
         "term", "chunk_id", "document_id", "chunk_index", "tokens",
-        (T.overlapping_occurrences("body", "term") * S.BODY_BM25_WEIGHT + T.overlapping_occurrences("head", "term") * S.TITLE_BM25_WEIGHT).alias("freq"),
+        F.when(
+            F.col("asked"),
+            T.overlapping_occurrences("body", "term") * S.BODY_BM25_WEIGHT
+            + T.overlapping_occurrences("head", "term") * S.TITLE_BM25_WEIGHT,
+        ).alias("freq"),
     )
 
 
@@ -108,7 +116,7 @@ def keyword_bm25(queries: DataFrame, chunks: DataFrame, match_all: bool = True,
     k1, b = S.BM25_K1, S.BM25_B
     part = idf * F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * (1 - b + b * F.col("tokens") / avgdl))
     scored = (
-        terms.join(hits, ["document_id", "term"]).join(per_term, "term")
+        terms.join(hits.filter("freq is not null"), ["document_id", "term"]).join(per_term, "term")
         .withColumn("part", part)
         .groupBy("query_id", "document_id", "chunk_id", "chunk_index", "limit", "n_terms")
         .agg(F.round(-F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("matched"))

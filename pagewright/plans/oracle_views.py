@@ -214,7 +214,7 @@ SELECT conv_id AS thread_id, turn+1 AS sequence_number, role, text AS content,
 
 VIEWS["v_context"] = f"""
 SELECT document_id*1000000+page_number AS message_id, document_id, block_id AS chunk_id, block_index AS rank,
-  substr(text, 1, {S.TITLE_MAX_CHARS}) AS section_title, text, sha256(text) AS content_hash
+  substr(text, 1, {S.TITLE_MAX_CHARS}) AS section_title, text, sha256(text) AS content_hash, source_method
 FROM v_blocks WHERE NOT ({blank('text')})"""
 
 VIEWS["v_claims"] = f"""

@@ -298,7 +298,7 @@ def v_context(spark, folder) -> DataFrame:
     return v_blocks(spark, folder).filter(~T.is_blank("text")).select(
         message_id().alias("message_id"), "document_id", F.col("block_id").alias("chunk_id"),
         F.col("block_index").alias("rank"), F.substring("text", 1, S.TITLE_MAX_CHARS).alias("section_title"),
-        "text", F.sha2("text", 256).alias("content_hash"),
+        "text", F.sha2("text", 256).alias("content_hash"), "source_method",
     )
 
 
