@@ -25,6 +25,17 @@ def grouped(spark, folder):
     return U.group_chunks(chunks, wide)
 
 
+# the test documents are short: smaller groups give their trees several levels
+SMALL_MAX, SMALL_MIN = 300, 250
+
+
+@per_folder
+def small_groups(spark, folder):
+    chunks = C.v_chunks(spark, folder)
+    wide = not chunks.filter(F.col("chunk_index") >= S.DRAFTS_PER_SHARD).isEmpty()
+    return U.group_chunks(chunks, wide, SMALL_MAX, SMALL_MIN)
+
+
 @per_folder
 def keys(spark, folder):
     hashes = Q.chunk_set_hash(C.v_chunks(spark, folder)).join(C.v_documents(spark, folder), "document_id")
@@ -36,7 +47,7 @@ def keys(spark, folder):
 
 @per_folder
 def level0(spark, folder):
-    return U.map_nodes(grouped(spark, folder), keys(spark, folder))
+    return U.map_nodes(small_groups(spark, folder), keys(spark, folder))
 
 
 @per_folder
@@ -45,16 +56,24 @@ def tree(spark, folder):
 
 
 VIEWS["o_gin"] = "SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS rn, length(normalized_text) AS n FROM v_chunks"
-VIEWS["o_gwalk"] = f"""RECURSIVE SELECT DISTINCT document_id, 0::BIGINT AS rn, NULL::BIGINT AS open, NULL::VARCHAR AS title, -1::BIGINT AS position FROM o_gin
+
+
+def group_walk(name, limit, minimum):
+    return f"""RECURSIVE SELECT DISTINCT document_id, 0::BIGINT AS rn, NULL::BIGINT AS open, NULL::VARCHAR AS title, -1::BIGINT AS position FROM o_gin
   UNION ALL SELECT g.document_id, g.rn, CASE WHEN st THEN n ELSE open+n END, CASE WHEN st THEN section_title ELSE title END, CASE WHEN st THEN position+1 ELSE position END
-  FROM o_gwalk w JOIN o_gin g ON g.document_id=w.document_id AND g.rn=w.rn+1
-  CROSS JOIN LATERAL (SELECT open IS NULL OR open+n > {S.GROUP_MAX_CHARS} OR (section_title IS DISTINCT FROM title AND open >= {S.GROUP_MIN_CHARS}) AS st) q"""
+  FROM {name} w JOIN o_gin g ON g.document_id=w.document_id AND g.rn=w.rn+1
+  CROSS JOIN LATERAL (SELECT open IS NULL OR open+n > {limit} OR (section_title IS DISTINCT FROM title AND open >= {minimum}) AS st) q"""
+
+
+VIEWS["o_gwalk"] = group_walk("o_gwalk", S.GROUP_MAX_CHARS, S.GROUP_MIN_CHARS)
+VIEWS["o_gsmall"] = group_walk("o_gsmall", SMALL_MAX, SMALL_MIN)
 VIEWS["o_grouped"] = "SELECT i.*, w.position FROM o_gin i JOIN o_gwalk w USING (document_id, rn)"
+VIEWS["o_smallgroups"] = "SELECT i.*, w.position FROM o_gin i JOIN o_gsmall w USING (document_id, rn)"
 VIEWS["o_key"] = f"""SELECT document_id, sha256(array_to_string(['deterministic','deterministic-test-v1','{S.PROMPT_VERSION}','{S.SCHEMA_VERSION}','nursing_student','ko',content_revision::VARCHAR,set_hash], chr(31))) AS context_key
 FROM o_sethash JOIN v_documents USING (document_id)"""
 VIEWS["o_n0"] = f"""SELECT document_id, position, 0 AS level, context_key, sha256(context_key||chr(31)||'L0'||chr(31)||string_agg(chunk_id||':'||sha256(normalized_text), chr(10) ORDER BY chunk_index)) AS input_hash,
  arg_min([section_title], chunk_index)[1] AS section_title, substr({V.strip("string_agg(normalized_text, ' ' ORDER BY chunk_index)")}, 1, 400) AS summary, count(*) AS n_sources
- FROM o_grouped JOIN o_key USING (document_id) GROUP BY document_id, position, context_key"""
+ FROM o_smallgroups JOIN o_key USING (document_id) GROUP BY document_id, position, context_key"""
 
 
 def next_level(k):
@@ -114,6 +133,12 @@ def _reduce_node_hash(spark, folder):
     return tree(spark, folder).filter("level > 0").select("document_id", F.col("level").cast("bigint"), "position", "input_hash")
 
 
+@query("node_sources", "SELECT t.document_id, t.level::BIGINT AS level, t.position, count(*) AS n, min(g.chunk_index) AS first_index, max(g.chunk_index) AS last_index FROM o_tree t JOIN o_smallgroups g ON g.document_id=t.document_id AND g.position // (8**t.level)::BIGINT = t.position GROUP BY ALL")
+def _node_sources(spark, folder):
+    return U.node_sources(small_groups(spark, folder), tree(spark, folder)).groupBy("document_id", F.col("level").cast("bigint").alias("level"), "position").agg(
+        F.count(F.lit(1)).alias("n"), F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"))
+
+
 @query("reuse_nodes", """SELECT document_id, position, CASE WHEN position%2=0 AND document_id%3<>0 THEN 'stored '||position ELSE summary END AS summary, position%2=0 AND document_id%3<>0 AS reused, CASE WHEN position%2=0 AND document_id%3<>0 THEN 0 ELSE 1 END::BIGINT AS attempts FROM o_n0""")
 def _reuse_nodes(spark, folder):
     plan = level0(spark, folder)
@@ -166,7 +191,7 @@ SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY kn, item_no) - 1
       CASE WHEN n<>'' AND length(n) <= CASE kind WHEN 'section_summary' THEN {S.SECTION_TITLE_MAX} ELSE {S.TERM_MAX_CHARS} END THEN n END AS name, list_position(['overview','section_summary','key_concept','prerequisite','learner_explanation'], kind) AS kn
     FROM (SELECT *, {V.strip('text')} AS t, {V.strip("coalesce(title,'')")} AS n FROM o_raw))
    WHERE CASE kind WHEN 'key_concept' THEN clean IS NOT NULL AND name IS NOT NULL WHEN 'prerequisite' THEN name IS NOT NULL AND source_type='document' ELSE clean IS NOT NULL END))
-  WHERE copy = 1 AND item_no % 13 <> 5))"""
+  WHERE copy = 1 AND item_no % 13 <> 5)"""
 
 
 @per_folder
