@@ -211,14 +211,18 @@ def category_rates(cases: DataFrame) -> DataFrame:
     return cases.groupBy("category").agg(F.round(F.avg(F.col("final_pass").cast("double")), 4).alias("pass_rate"))
 
 
-def _nearest_rank(counts: DataFrame, p: float) -> DataFrame:
-    """Nearest-rank percentile from (latency, n): latencies are rounded to milliseconds and limited by
-    the answer deadline, so their distinct values are few however many runs there are."""
+def _nearest_ranks(latencies: DataFrame, **ranks: float) -> DataFrame:
+    """Nearest-rank percentiles, one row.  Latencies are rounded to milliseconds and limited by the answer
+    deadline, so their distinct values stay few however many runs there are."""
+    counts = latencies.groupBy(F.round("latency", 3).alias("latency")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy("latency").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(everything)})
-    rank = F.bround(F.lit(p) * (F.col("total") - 1), 0) + 1
-    return df.filter(F.col("upto") >= F.least(rank, F.col("total"))).agg(F.min("latency").alias("v"))
+
+    def at(p):
+        return F.least(F.bround(F.lit(p) * (F.col("total") - 1), 0) + 1, F.col("total"))
+
+    return df.agg(*[F.min(F.when(F.col("upto") >= at(p), F.col("latency"))).alias(name) for name, p in ranks.items()])
 
 
 def eval_summary(results: DataFrame, cases: DataFrame) -> DataFrame:
@@ -245,11 +249,10 @@ def eval_summary(results: DataFrame, cases: DataFrame) -> DataFrame:
         n.alias("total_cases"), count(F.col("safety_failed")).alias("safety_failure_cases"), count(F.col("explicit")).alias("explicit_cases"),
         count(F.col("critical")).alias("critical_cases"), count(F.col("unstable")).alias("unstable_cases"), F.coalesce(F.min("runs"), F.lit(0)).alias("repeat"),
     )
-    latency = results.groupBy(F.round("latency", 3).alias("latency")).agg(n.alias("n"))
-    return rates.select(
-        "*", *[rolled.select(c).scalar().alias(c) for c in ("total_cases", "safety_failure_cases", "explicit_cases", "critical_cases", "unstable_cases", "repeat")],
-        _nearest_rank(latency, 0.5).scalar().alias("latency_p50"), _nearest_rank(latency, 0.95).scalar().alias("latency_p95"),
-    )
+    cases_row = rolled.select(F.struct("*").alias("r")).scalar()
+    latency_row = _nearest_ranks(results, latency_p50=0.5, latency_p95=0.95).select(F.struct("*").alias("r")).scalar()
+    both = rates.withColumns({"case_row": cases_row, "latency_row": latency_row})
+    return both.select("*", "case_row.*", "latency_row.*").drop("case_row", "latency_row")
 
 
 def release_gate(summary: DataFrame, rates: DataFrame, release_mode: bool = True, expected=S.EVAL_CATEGORIES) -> DataFrame:

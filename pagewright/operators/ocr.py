@@ -65,7 +65,7 @@ def ocr_quality(words: DataFrame) -> DataFrame:
     """Class and confidence figures of every page, over all recognised words."""
     c = F.col("confidence")
     stats = words.groupBy(*PAGE).agg(
-        F.count(F.lit(1)).alias("words"), F.round(F.avg(c), 4).alias("mean_confidence"), F.percentile(c, 0.5).alias("median"),
+        F.count(F.lit(1)).alias("words"), F.avg(c).alias("mean_confidence"), F.percentile(c, 0.5).alias("median"),
         F.avg((c < S.OCR_LOW_WORD_CONFIDENCE).cast("double")).alias("low"),
     )
     few = F.col("words") < S.OCR_EMPTY_MIN_WORDS

@@ -9,7 +9,7 @@ from pagewright.functions import text as T
 from pagewright.operators import evaluation as E
 from pagewright.plans import oracle_views as V
 from pagewright.plans.registry import query
-from pagewright.session import per_folder
+from pagewright.session import cut_lineage, per_folder
 from pagewright.sources import corpus as C
 
 VIEWS = V.VIEWS
@@ -131,14 +131,20 @@ def results(spark, folder):
     return E.evaluate_runs(cases(spark, folder), runs(spark, folder), claims(spark, folder), texts(spark, folder), C.v_blocks(spark, folder), M)
 
 
+@per_folder
+def stored_results(spark, folder):
+    """Run results as the roll-ups read them: written once, then scanned several times."""
+    return cut_lineage(results(spark, folder))
+
+
 @per_folder
 def rolled(spark, folder):
-    return E.aggregate_cases(results(spark, folder))
+    return E.aggregate_cases(stored_results(spark, folder))
 
 
 @per_folder
 def summary(spark, folder):
-    return E.eval_summary(results(spark, folder), rolled(spark, folder))
+    return E.eval_summary(stored_results(spark, folder), rolled(spark, folder))
 
 
 @per_folder

@@ -227,9 +227,9 @@ FROM (SELECT *, unnest(range(6)) AS v FROM (
   FROM v_blocks WHERE NOT ({blank('text')})))"""
 
 VIEWS["v_claim_events"] = f"""
-SELECT message_id, document_id, claim_no+1 AS seq, 'claim' AS type, text, source_chunk_ids, NULL AS answer_status FROM v_claims
+SELECT message_id, document_id, claim_no+1 AS seq, 'claim' AS type, text, source_chunk_ids, NULL::VARCHAR AS answer_status FROM v_claims
 UNION ALL
-SELECT document_id*1000000+page_number, document_id, 1000, 'final', NULL, NULL,
+SELECT document_id*1000000+page_number, document_id, 1000, 'final', NULL::VARCHAR, NULL::VARCHAR[],
   {pick('(document_id*1000000+page_number) % 4', ("answered", "conflicting_evidence", "answered", "not_found"))}
 FROM v_pages WHERE (document_id*1000000+page_number) % 5 <> 0"""
 

@@ -49,17 +49,24 @@ def page_shard(page_number="page_number") -> Column:
     return F.floor(T.col(page_number) / S.PAGES_PER_SHARD).cast("bigint")
 
 
-@per_folder
-def line_rows(spark, folder) -> DataFrame:
-    docs = documents(spark, folder, "doc_id", "text").withColumnRenamed("doc_id", "document_id")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Text lines of documents (document_id, text)."""
     return docs.select("document_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
 
 
+def _texts(spark, folder) -> DataFrame:
+    return documents(spark, folder, "doc_id", "text").withColumnRenamed("doc_id", "document_id")
+
+
 @per_folder
-def v_blocks(spark, folder) -> DataFrame:
+def line_rows(spark, folder) -> DataFrame:
+    return lines_of(_texts(spark, folder))
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
     slot = F.col("block_index")
     two = F.col("document_id") % 2 == 1
-    df = line_rows(spark, folder).select(
+    df = lines_of(docs).select(
         "document_id",
         F.col("line_no").cast("bigint").alias("line_no"),
         (F.floor(F.col("line_no") / LINES_PER_PAGE) + 1).cast("bigint").alias("page_number"),
@@ -87,8 +94,12 @@ def v_blocks(spark, folder) -> DataFrame:
 
 
 @per_folder
-def v_tables(spark, folder) -> DataFrame:
-    return v_blocks(spark, folder).filter(F.col("text").contains(" | ")).select(
+def v_blocks(spark, folder) -> DataFrame:
+    return blocks_of(_texts(spark, folder))
+
+
+def tables_of(blocks: DataFrame) -> DataFrame:
+    return blocks.filter(F.col("text").contains(" | ")).select(
         "document_id", "page_shard", "page_number", F.col("block_index").alias("table_index"),
         (F.col("x0") - 2).alias("x0"), (F.col("y0") - 2).alias("y0"),
         (F.col("x1") + 2).alias("x1"), (F.col("y1") + 2).alias("y1"),
@@ -97,11 +108,12 @@ def v_tables(spark, folder) -> DataFrame:
 
 
 @per_folder
-def v_pages(spark, folder) -> DataFrame:
-    docs = documents(spark, folder, "doc_id", "text").select(
-        F.col("doc_id").alias("document_id"), F.split("text", "\n", -1).alias("lines")
-    )
-    pages = docs.select(
+def v_tables(spark, folder) -> DataFrame:
+    return tables_of(v_blocks(spark, folder))
+
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    pages = docs.select("document_id", F.split("text", "\n", -1).alias("lines")).select(
         "document_id", "lines",
         F.explode(F.sequence(F.lit(1), F.ceil(F.size("lines") / LINES_PER_PAGE).cast("int"))).alias("p"),
     )
@@ -117,15 +129,25 @@ def v_pages(spark, folder) -> DataFrame:
 
 
 @per_folder
-def v_images(spark, folder) -> DataFrame:
+def v_pages(spark, folder) -> DataFrame:
+    return pages_of(_texts(spark, folder))
+
+
+def images_of(pages: DataFrame) -> DataFrame:
+    """Scanned originals: documents whose id is a multiple of seven carry one image per page."""
     odd = F.col("page_number") % 2 == 1
-    return v_pages(spark, folder).filter(F.col("document_id") % 7 == 0).select(
+    return pages.filter(F.col("document_id") % 7 == 0).select(
         "document_id", "page_shard", "page_number",
         F.when(odd, 0.0).otherwise(100.0).alias("x0"), F.when(odd, 0.0).otherwise(200.0).alias("y0"),
         F.when(odd, 612.0).otherwise(300.0).alias("x1"), F.when(odd, 720.0).otherwise(300.0).alias("y1"),
     )
 
 
+@per_folder
+def v_images(spark, folder) -> DataFrame:
+    return images_of(v_pages(spark, folder))
+
+
 @per_folder
 def v_words(spark, folder) -> DataFrame:
     blocks = v_blocks(spark, folder)
