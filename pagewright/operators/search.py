@@ -11,6 +11,7 @@ from pagewright.functions import vectors as X
 
 LARGEST_POOL = max(S.POOL_FACTOR * S.MAX_SEARCH_LIMIT, S.POOL_MIN)
 PAGES_PER_BUCKET = 256
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def validate_search(queries: DataFrame) -> DataFrame:
@@ -60,64 +61,70 @@ def build_trigram_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("document_id", "chunk_id", F.explode(pieces).alias("trigram"))
 
 
+def count_trigrams(chunks: DataFrame) -> DataFrame:
+    """Chunks per trigram (stored beside an index; computed when it is not given)."""
+    return build_trigram_index(chunks).groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
+
+
 def index_tokens():
     """Length of an index row: its trigrams in text and title."""
     return F.greatest(F.length("normalized_text") - 2, F.lit(0)) + F.greatest(F.length(F.coalesce("section_title", F.lit(""))) - 2, F.lit(0))
 
 
-def term_hits(terms: DataFrame, chunks: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-    """Chunks of the whole index that contain each term in text or title, with phrase counts.
+def term_counts(terms: DataFrame, chunks: DataFrame, trigram_counts: DataFrame | None = None) -> DataFrame:
+    """Number of chunks in the whole index that contain each term, in text or title.
 
-    Candidates come from the rarest trigram of a term and are then verified on the text, so a term
-    is compared only with chunks that hold that trigram.  `terms` holds (document_id, term); phrases
-    are counted only in chunks of a document that asks for the term, elsewhere `freq` is null.
+    A chunk is a candidate when it holds the rarest trigram of the term, by `trigram_counts`
+    (trigram, n), and is then verified on its text.  While the terms are
+    small they are broadcast: candidates are verified and counted inside the scan, and only counts are
+    shuffled.  Beyond that size candidates are found by a shuffle join and verified on chunk_id.
     """
-    postings = build_trigram_index(chunks) if postings is None else postings
-    distinct_terms = terms.select("term").distinct()
-    pieces = distinct_terms.select("term", F.explode(F.array_distinct(_trigrams(F.col("term")))).alias("trigram"))
-    wanted = postings.join(pieces.select("trigram").distinct(), "trigram", "left_semi")
-    counts = wanted.groupBy("trigram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (
-        pieces.join(counts, "trigram", "left")
-        .groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "trigram")).getField("trigram").alias("trigram"))
-    )
-    asked = terms.select("document_id", "term").distinct().withColumn("asked", F.lit(True))
-    candidates = (
-        wanted.join(rarest, "trigram").join(asked, ["document_id", "term"], "left").select("chunk_id", "term", "asked")
-    )
-    texts = chunks.select(
-        "chunk_id", "document_id", "chunk_index", index_tokens().alias("tokens"),
-        F.lower("normalized_text").alias("body"), F.lower(F.coalesce("section_title", F.lit(""))).alias("head"),
-    )
-    found = candidates.join(texts, "chunk_id").filter(F.col("body").contains(F.col("term")) | F.col("head").contains(F.col("term")))
-    return found.select(
-        "term", "chunk_id", "document_id", "chunk_index", "tokens",
-        F.when(
-            F.col("asked"),
-            T.overlapping_occurrences("body", "term") * S.BODY_BM25_WEIGHT
-            + T.overlapping_occurrences("head", "term") * S.TITLE_BM25_WEIGHT,
-        ).alias("freq"),
-    )
+    words = terms.select("term").distinct()
+    pieces = words.select("term", F.posexplode(F.array_distinct(_trigrams(F.col("term")))).alias("pos", "trigram"))
+    if trigram_counts is None:
+        trigram_counts = count_trigrams(chunks)
+    ranked = pieces.join(trigram_counts, "trigram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    chosen = ranked.groupBy("term").agg(F.min_by("trigram", F.struct("n", "pos")).alias("trigram"))
+    body, head = F.lower("normalized_text"), F.lower(F.coalesce("section_title", F.lit("")))
+    texts = chunks.select("chunk_id", body.alias("body"), head.alias("head"))
+    found = F.array_distinct(F.concat(_trigrams(F.col("body")), _trigrams(F.col("head"))))
+    holds = F.col("body").contains(F.col("term")) | F.col("head").contains(F.col("term"))
+    size = words.agg(F.sum(F.octet_length("term") + F.lit(64))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        # the lowered texts ride along as references, so they are computed once per chunk, not per candidate
+        rows = F.transform(found, lambda t: F.struct(t.alias("trigram"), F.col("body").alias("body"), F.col("head").alias("head")))
+        hits = texts.select(F.inline(rows)).join(F.broadcast(chosen), "trigram").filter(holds)
+    else:
+        candidates = texts.select("chunk_id", F.explode(found).alias("trigram")).join(chosen, "trigram").select("chunk_id", "term")
+        hits = candidates.join(texts, "chunk_id").filter(holds)
+    return hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def keyword_bm25(queries: DataFrame, chunks: DataFrame, match_all: bool = True, postings: DataFrame | None = None) -> DataFrame:
+def keyword_bm25(queries: DataFrame, chunks: DataFrame, match_all: bool = True, trigram_counts: DataFrame | None = None) -> DataFrame:
     """BM25 hits of queries whose terms all have three characters or more; lower is better.
 
     Statistics are over the whole index, hits are limited to the query's document.
     """
     long = _with_terms(queries).filter(~F.col("short") & (F.size("terms") > 0))
     terms = long.select("query_id", "document_id", "limit", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("pos", "term"))
-    hits = term_hits(terms, chunks, postings)
-    per_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    index = chunks.agg(F.count(F.lit(1)).alias("rows"), F.avg(index_tokens()).alias("avgdl"))
-    rows, avgdl = index.select("rows").scalar(), index.select("avgdl").scalar()
-    idf = F.log((rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, S.BM25_IDF_FLOOR).otherwise(idf)
+    counts = term_counts(terms, chunks, trigram_counts)
+    texts = chunks.select(
+        "document_id", "chunk_id", "chunk_index", index_tokens().alias("tokens"),
+        F.lower("normalized_text").alias("body"), F.lower(F.coalesce("section_title", F.lit(""))).alias("head"),
+    )
+    hits = terms.join(texts, "document_id").filter(F.col("body").contains(F.col("term")) | F.col("head").contains(F.col("term")))
+    freq = (
+        T.overlapping_occurrences("body", "term") * S.BODY_BM25_WEIGHT
+        + T.overlapping_occurrences("head", "term") * S.TITLE_BM25_WEIGHT
+    )
+    hits = hits.withColumn("freq", freq).drop("body", "head")
+    index = chunks.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.avg(index_tokens()).alias("avgdl")).alias("s")).scalar()
+    idf = F.log((F.col("s.rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     k1, b = S.BM25_K1, S.BM25_B
-    part = idf * F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * (1 - b + b * F.col("tokens") / avgdl))
+    part = F.col("idf") * F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * (1 - b + b * F.col("tokens") / F.col("s.avgdl")))
     scored = (
-        terms.join(hits.filter("freq is not null"), ["document_id", "term"]).join(per_term, "term")
-        .withColumn("part", part)
+        hits.join(counts, "term").withColumn("s", index)
+        .withColumn("idf", F.when(idf <= 0, S.BM25_IDF_FLOOR).otherwise(idf)).withColumn("part", part)
         .groupBy("query_id", "document_id", "chunk_id", "chunk_index", "limit", "n_terms")
         .agg(F.round(-F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("matched"))
     )
@@ -139,9 +146,9 @@ def keyword_scan(queries: DataFrame, chunks: DataFrame, match_all: bool = True)
     return j.select("query_id", "document_id", "chunk_id", "chunk_index", "limit", (-count).cast("double").alias("score"))
 
 
-def keyword_hits(queries: DataFrame, chunks: DataFrame, match_all: bool = True, postings: DataFrame | None = None) -> DataFrame:
+def keyword_hits(queries: DataFrame, chunks: DataFrame, match_all: bool = True, trigram_counts: DataFrame | None = None) -> DataFrame:
     """Both keyword legs; each query takes exactly one of them."""
-    return keyword_bm25(queries, chunks, match_all, postings).unionByName(keyword_scan(queries, chunks, match_all))
+    return keyword_bm25(queries, chunks, match_all, trigram_counts).unionByName(keyword_scan(queries, chunks, match_all))
 
 
 def validate_vectors(df: DataFrame) -> DataFrame:
@@ -203,10 +210,10 @@ def page_proximity_bonus(candidates: DataFrame) -> DataFrame:
 
 
 def hybrid_candidates(queries: DataFrame, chunks: DataFrame, embed=X.deterministic_embedding,
-                      model: str = S.EMBEDDING_MODEL, dimension: int = S.EMBEDDING_DIMENSION, postings: DataFrame | None = None) -> DataFrame:
+                      model: str = S.EMBEDDING_MODEL, dimension: int = S.EMBEDDING_DIMENSION, trigram_counts: DataFrame | None = None) -> DataFrame:
     """Scored candidates of every query.  `embed` turns a text column into a vector column (None: no
     embeddings, so vector queries find nothing)."""
-    hits = keyword_hits(queries.filter("mode in ('keyword', 'hybrid')"), chunks, True, postings)
+    hits = keyword_hits(queries.filter("mode in ('keyword', 'hybrid')"), chunks, True, trigram_counts)
     kw = minmax_normalize(_best(hits, _pool_size()), invert=True).select("query_id", "document_id", "chunk_id", F.col("scaled").alias("kw"))
     if embed is None:
         vec = kw.select("query_id", "document_id", "chunk_id", F.col("kw").alias("vec")).limit(0)
@@ -237,10 +244,10 @@ def search_topk(candidates: DataFrame) -> DataFrame:
     return df.select("query_id", "document_id", F.col("rank").cast("bigint"), "chunk_id", "match_type")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, embed=X.deterministic_embedding, postings: DataFrame | None = None, **kw) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, embed=X.deterministic_embedding, trigram_counts: DataFrame | None = None, **kw) -> DataFrame:
     """Ranked results with preview, section and pages (ids join `chunk_refs` for the locations)."""
     q = validate_search(queries).filter("reject is null").drop("reject")
-    found = hybrid_candidates(q, chunks, embed, postings=postings, **kw)
+    found = hybrid_candidates(q, chunks, embed, trigram_counts=trigram_counts, **kw)
     placed = found.join(chunks.select("chunk_id", "chunk_index", "page_start", "page_end"), "chunk_id")
     final = page_proximity_bonus(placed).withColumn("final", F.round(F.col("base") + F.col("bonus"), 9))
     shown = chunks.select("chunk_id", T.text_preview("normalized_text").alias("preview"), "section_title", "page_start", "page_end")
