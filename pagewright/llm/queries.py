@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe
+from pagewright.llm import bpe, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @_query("op1_bpe_round_trip")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
+
+
+_DRAW = "CAST('0x' || substr(md5({seed} || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+_TRIES = ", ".join(
+    f"{{'gap': abs(floor(rate) * source_size + sum(CASE WHEN {_DRAW.format(seed=repr(str(s)))} < rate - floor(rate) THEN size ELSE 0 END) - target), 'seed': {s}}}"
+    for s in range(16)
+)
+
+
+@_query("op2_mix_sources", f"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), per_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM sizes GROUP BY source
+), weighted AS (
+  SELECT *, [3, 1, 2][1 + (place - 1) % 3] AS weight, CAST(2 AS DOUBLE) * source_size / [3, 1, 2][1 + (place - 1) % 3] AS reach FROM per_source
+), levels AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - CAST(2 AS DOUBLE) * (sum(source_size) OVER upto - source_size))
+    / (sum(weight) OVER () - (sum(weight) OVER upto - weight)) AS level
+  FROM weighted WINDOW upto AS (ORDER BY reach, place ROWS UNBOUNDED PRECEDING)
+), targets AS (
+  SELECT source, source_size, coalesce(least(CAST(2 AS DOUBLE) * source_size, (SELECT min(level) FROM levels WHERE level <= reach) * weight), CAST(2 AS DOUBLE) * source_size) AS target
+  FROM levels
+), rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
+seeds AS (
+  SELECT r.source, source_size, target, rate, list_min([{_TRIES}]).seed AS seed
+  FROM sizes JOIN rated r ON sizes.source IS NOT DISTINCT FROM r.source GROUP BY r.source, source_size, target, rate
+)
+SELECT doc_id, size, source_size, target,
+  size * CAST(floor(rate) + CASE WHEN {_DRAW.format(seed="CAST(seed AS VARCHAR)")} < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM sizes JOIN seeds ON sizes.source IS NOT DISTINCT FROM seeds.source
+""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
