@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, mixing
+from pagewright.llm import bpe, mixing, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ FROM sizes JOIN seeds ON sizes.source IS NOT DISTINCT FROM seeds.source
 """)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_query("op3_token_files")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfile.read(spark, tokenfile.write(table(spark, folder, "documents")), ids=False)
