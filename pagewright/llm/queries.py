@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, mixing, tokenfile
+from pagewright.llm import bpe, mixing, secrets, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op3_token_files")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read(spark, tokenfile.write(table(spark, folder, "documents")), ids=False)
+
+
+@_query("op7_secret_scan")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(table(spark, folder, "documents"))
