@@ -55,9 +55,9 @@ class Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n, 2 * len(self.up), 1 << 16)
             self.up, self.down = (
-                np.cumprod(np.concatenate([[1], np.full(n - 1, b, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
                 for b in (self.base, self.inverse)
             )
         return self.up[:n], self.down[:n]
@@ -93,7 +93,8 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         up, down = POWERS(len(self.data))
-        sums = np.concatenate([[0], np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)]).astype(np.uint64)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
     def left(self) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, mixing, secrets, tokenfile
+from pagewright.llm import bpe, licenses, mixing, secrets, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op7_secret_scan")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
+
+
+@_query("op8_license_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
