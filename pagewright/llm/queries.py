@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, licenses, mixing, secrets, tokenfile
+from pagewright.llm import bpe, licenses, mixing, quality, secrets, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_license_scan")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@_query("op9_quality_rules")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rate(table(spark, folder, "documents"))
