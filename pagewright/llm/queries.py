@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, licenses, mixing, quality, secrets, tokenfile
+from pagewright.llm import bpe, language, licenses, mixing, quality, secrets, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rate(table(spark, folder, "documents"))
+
+
+@_query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return language.digest(table(spark, folder, "documents"))
