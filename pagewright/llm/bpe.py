@@ -15,6 +15,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Memo(dict):
+class Memo(dict):
     """Numbers for keys, in the order in which they came; new ones are listed."""
 
     def __init__(self) -> None:
@@ -138,7 +139,7 @@ class BytePairs:
         return own
 
     def _forget(self) -> None:
-        self.pieces, self.known = _Memo(), {}
+        self.pieces, self.known = Memo(), {}
         self.flat, self.offsets = array("I"), array("q", [0])
         for text, i in self.special.items():
             self.pieces[text] = len(self.pieces)
@@ -262,8 +263,7 @@ class BytePairs:
             self._forget()
         cut = [self._pieces(t or "") for t in texts]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        find = self.pieces.__getitem__
-        which = np.fromiter((n for c in cut for n in map(find, c)), np.int64, int(sizes.sum()))
+        which = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         if self.pieces.new:
             self._learn()
         offsets, flat = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.flat, np.uint32)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.bpe import _Memo, vocabulary_path
+from pagewright.llm.bpe import Memo, vocabulary_path
 from pagewright.llm.common import Words, grams, mix, slices, texts_of
 
 # Fixed values of the base rules.
@@ -64,7 +64,7 @@ class Vocabularies:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.flat, self.offsets, self.token_counts = _Memo(), array("i"), array("q", [0]), array("i")
+        self.known, self.flat, self.offsets, self.token_counts = Memo(), array("i"), array("q", [0]), array("i")
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For words: number of pieces, their ids one after another, number of byte-level tokens; and of fallback pieces."""

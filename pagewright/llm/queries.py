@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, language, licenses, mixing, quality, secrets, tokenfile
+from pagewright.llm import bpe, jaccard, language, licenses, mixing, quality, secrets, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_language_id")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language.digest(table(spark, folder, "documents"))
+
+
+@_query("op6_jaccard_join")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "copy_of", "n_copies")

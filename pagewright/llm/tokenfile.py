@@ -20,17 +20,21 @@ leave no half-written blocks behind:
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.bpe import WORD_PATTERN, _Memo, vocabulary_path  # noqa: F401
+from pagewright.llm.bpe import Memo, vocabulary_path
 from pagewright.llm.common import slices
 from pagewright.session import cut_lineage, shared_folder
 
@@ -52,40 +56,53 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: i
     starts: first id of each document, and the number of ids. Pairs across documents are never replaced.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
-    symbols, rules, sizes = ids.astype(np.int64), [], 0
+    symbols, rules, sizes = ids.astype(np.uint32), [], 0
     starts = starts.astype(np.int64)
     for _ in range(rounds):
         if len(symbols) < 2 * least:
             break
-        width = np.int64(base + sizes)
-        pairs = symbols[:-1] * width + symbols[1:]
+        width = base + sizes
+        # a pair is one number, of 32 bits where that is enough
+        wide = np.uint32 if width <= 1 << 16 else np.uint64
+        pairs = symbols[:-1] * wide(width) + symbols[1:]
         border = np.zeros(len(symbols) + 1, bool)
         border[starts] = True
         inner = ~border[1:-1]
         order = np.sort(pairs[inner])
-        first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.empty(0, np.int64)
+        first = np.concatenate([[0], np.flatnonzero(order[1:] != order[:-1]) + 1]) if len(order) else np.empty(0, np.int64)
         counts = np.diff(np.append(first, len(order)))
         if not len(counts) or (most := counts.max()) < least:
             break
         chosen = order[first[counts >= max(least, most // 16)]]
-        at = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        hit = (chosen[at] == pairs) & inner
+        # few pairs are chosen: a table of their hashes leaves out most others before the exact search
+        marks = np.zeros(1 << 18, bool)
+        marks[_mark(chosen)] = True
+        where = np.flatnonzero(marks[_mark(pairs)] & inner)
+        at = np.minimum(np.searchsorted(chosen, pairs[where]), len(chosen) - 1)
+        exact = chosen[at] == pairs[where]
+        where, at = where[exact], at[exact]
         # in a run of hits side by side, every second one from its left end
-        where = np.flatnonzero(hit)
         fresh = np.concatenate([[True], np.diff(where) > 1])
         begin = np.repeat(where[fresh], np.diff(np.append(np.flatnonzero(fresh), len(where))))
-        where = where[(where - begin) % 2 == 0]
-        used, number = np.unique(at[where], return_inverse=True)
-        symbols[where] = width + number
+        odd = (where - begin) % 2 == 0
+        where, at = where[odd], at[odd]
+        used, number = np.unique(at, return_inverse=True)
+        symbols[where] = (width + number).astype(np.uint32)
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
-        starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+        starts = starts - np.searchsorted(where + 1, starts)
         symbols = symbols[keep]
-        rules.append(np.stack([chosen[used] // width, chosen[used] % width], axis=1))
+        rules.append(np.stack(np.divmod(chosen[used].astype(np.int64), width), axis=1))
         sizes += len(used)
     return symbols, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), starts, base
 
 
+def _mark(pairs: np.ndarray) -> np.ndarray:
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+
+
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     """How many ids each rule stands for; a rule uses ids and earlier rules only."""
     known = np.ones(base + len(rules), np.int64)
@@ -137,10 +154,10 @@ class Block:
             at += out.nbytes
             return out
 
-        self.rules = take(2 * rules, kind).reshape(-1, 2).astype(np.int32)
+        self.rules = take(2 * rules, kind).reshape(-1, 2).astype(np.uint32)
         self.lengths = take(rules, "<u4")
         self.at, self.starts = take(docs + 1, "<u4"), take(docs + 1, "<u4")
-        self.symbols = take(symbols, kind).astype(np.int32)
+        self.symbols = take(symbols, kind).astype(np.uint32)
 
     def all(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.base)
@@ -170,7 +187,8 @@ class Library:
     hold a special token go through the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000) -> None:
+    def __init__(self, path: str, remembered: int = 1_000_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given out the cores
         from tokenizers import Tokenizer
 
         self.tokens = Tokenizer.from_file(path)
@@ -178,26 +196,36 @@ class Library:
         self.tokens.no_padding()
         self.special = [t.content for t in self.tokens.get_added_tokens_decoder().values()]
         self.remembered = remembered
-        self._cutter()
-        self._forget()
-
-    def _cutter(self) -> None:
-        import regex
-
         self.cut, self.odd = regex.compile(r" (?=\S)"), regex.compile(r" (?!\S)")
+        # byte-level tokens: one character for each byte
+        vocabulary = self.tokens.get_vocab(with_added_tokens=False)
+        self.length = np.zeros(max(self.tokens.get_vocab().values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
+        self._forget()
 
     def _forget(self) -> None:
-        from array import array
-
-        self.pieces, self.flat, self.offsets = _Memo(), array("I"), array("q", [0])
+        self.pieces, self.flat, self.first, self.counts = Memo(), array("I"), array("q"), array("q")
 
     def _learn(self) -> None:
+        """Encodes new pieces, many in one text: token lengths tell where each piece ends."""
         new, self.pieces.new = self.pieces.new, []
-        words = [p[1:] if p[:1] == " " else " " + p for p in new]
-        for at in range(0, len(words), 4096):
-            for e in self.tokens.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
-                self.flat.extend(e.ids)
-                self.offsets.append(len(self.flat))
+        at = np.zeros(len(new), np.int64)
+        counts = np.zeros(len(new), np.int64)
+        # a piece stands after a space; one that starts with a space is the first of its text, without it, and stays alone
+        later = [i for i, p in enumerate(new) if p[:1] != " "]
+        groups = [[i] for i, p in enumerate(new) if p[:1] == " "] + [later[i : i + 1000] for i in range(0, len(later), 1000)]
+        texts = ["".join(" " + new[i] for i in g) if new[g[0]][:1] != " " else new[g[0]][1:] for g in groups]
+        for start in range(0, len(texts), 64):
+            for g, e in zip(groups[start : start + 64], self.tokens.encode_batch_fast(texts[start : start + 64], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.cumsum([len(new[i].encode()) + 1 for i in g])
+                upto = np.searchsorted(np.cumsum(self.length[ids]), ends, side="right") if len(g) > 1 or new[g[0]][:1] != " " else np.array([len(ids)])
+                begin = np.concatenate([[0], upto[:-1]])
+                at[g], counts[g] = len(self.flat) + begin, upto - begin
+                self.flat.frombytes(ids.tobytes())
+        self.first.frombytes(at.tobytes())
+        self.counts.frombytes(counts.tobytes())
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.pieces) > self.remembered:
@@ -212,17 +240,16 @@ class Library:
             parts[0] = " " + parts[0]
             cut.append(parts)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        find = self.pieces.__getitem__
-        which = np.fromiter((n for c in cut for n in map(find, c)), np.int64, int(sizes.sum()))
+        which = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         if self.pieces.new:
             self._learn()
-        offsets, flat = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
-        first, counts = offsets[which], offsets[which + 1] - offsets[which]
+        if not len(which):
+            return [whole.get(i, np.empty(0, np.uint32)) for i in range(len(texts))]
+        first, counts = np.frombuffer(self.first, np.int64)[which], np.frombuffer(self.counts, np.int64)[which]
         ends = np.cumsum(counts)
-        ids = flat[np.repeat(first - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(first - ends + counts, counts) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], ends])[np.cumsum(sizes)]
-        out = np.split(ids, bounds[:-1]) if len(texts) else []
-        return [whole.get(i, x) for i, x in enumerate(out)]
+        return [whole.get(i, x) for i, x in enumerate(np.split(ids, bounds[:-1]))]
 
 
 @functools.lru_cache(maxsize=2)

@@ -45,12 +45,12 @@ def test_wrong_bits_are_mended():
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, "en", "x"), (2, "", "en", "x"), (3, "123 --- …", "de", "x"), (4, "日本語の文", None, "x"), (None, "the cat", "en", "x"), (5, "the " * 100_000, "en", None), (5, "the " * 100_000, "en", None)]
+    rows = [(1, None, "en", "x"), (2, "", "en", "x"), (3, "123 --- …", "de", "x"), (4, "日本語の文", None, "x"), (None, "the cat", "en", "x"), (6, "the " * 100_000, "en", None), (6, "the " * 100_000, "en", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string")
     got = language.identify(docs)
     assert got.columns == ["doc_id", "text", "lang", "lang_pred", "lang_score", "lang_ambiguous"]
     by = {r.doc_id: r for r in got.collect()}
-    assert [by[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and by[1].lang_score == 0 and by[5].lang_pred == "en" and by[5].lang_score == 1
+    assert [by[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and by[1].lang_score == 0 and by[6].lang_pred == "en" and by[6].lang_score == 1
     assert not [r for r in language.digest(docs).collect() if r.doc_id is None and r.held_out]
     none = docs.filter("false")
     assert language.digest(none).count() == 0

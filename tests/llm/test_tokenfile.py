@@ -19,7 +19,7 @@ def test_grammar_round_trip(seed):
     ids, starts = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     block = tokenfile.Block(tokenfile.pack(ids, starts))
     assert np.array_equal(block.all(), ids) and len(block.symbols) < len(ids)
-    assert tokenfile.lengths_of(block.rules, block.base).tolist() == block.lengths.tolist() == [len(tokenfile.expand(np.array([block.base + i]), block.rules, block.base)) for i in range(len(block.rules))]
+    assert tokenfile.lengths_of(block.rules, block.base).tolist() == block.lengths.tolist() == [len(tokenfile.expand(np.array([block.base + i], np.uint32), block.rules, block.base)) for i in range(len(block.rules))]
     for i in range(0, len(docs), 7):
         assert np.array_equal(block.document(i), docs[i])
     for a, b in ((0, 1), (5, 700), (len(ids) - 3, len(ids)), (1234, 1234 + 99)):
