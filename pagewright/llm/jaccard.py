@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import Words, grams, mix, runs, slices, texts_of
@@ -111,7 +111,11 @@ def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows with what names them: the id, and a hash of the text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text")
+    return docs.select(*(c.alias(name) for c, name in zip(_keys(), ("id", "text_hash"))), "text")
+
+
+def _keys() -> tuple[Column, Column]:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -189,14 +193,10 @@ def _pairs_of_blocks(blocks: Column, block: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, block).alias("block_a"), F.greatest(x, block).alias("block_b")))
 
 
-def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, copy_of, n_copies for each row of `docs`.
+def _linked(docs: DataFrame, n: int, threshold: float, rows: int, recall: float) -> DataFrame:
+    """id, text_hash, class_id, n_links, copy_of, n_copies, n_words, first of each row of `docs`.
 
-    n_links counts the other rows whose n-gram sets are alike, copies of the text included; class_id is the smallest id of all
-    rows that links hold together, and copy_of that of the rows with the same words. Null and empty texts have no n-grams and
-    no links, and are classes of their own. Ids may repeat, and null ids come last. Other columns are not read. An empty
-    table gives an empty result. Texts are read whole; they move once to meet the list of candidates, and those of candidates
-    once more, to their blocks.
+    first: whether the row is the one of its class with the smallest id (and hash of the text); repeated rows are alike.
     """
     signed = cut_lineage(signatures(docs, n, threshold, rows, recall))
     full = signed.filter("n_words > 0")
@@ -218,13 +218,42 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int =
     checked = cut_lineage(checked)
     linked = components(checked.select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links")).join(linked, "node")
-    known = classes.select("class1", "class2", "copies", F.col("row.id").alias("own_id")).join(links, F.col("class1") == F.col("node"), "left")
-    known = cut_lineage(known.select("class1", "class2", "copies", "own_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "class1").alias("component")))
-    lowest = known.groupBy("component").agg(F.min("own_id").alias("class_id"))
-    known = known.join(lowest, "component").select("class1", "class2", "copies", "own_id", "links", "class_id")
-    rows_of = signed.select("id", "class1", "class2", "n_words")
+    known = classes.select("class1", "class2", "copies", "row").join(links, F.col("class1") == F.col("node"), "left")
+    known = cut_lineage(known.select("class1", "class2", "copies", "row", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "class1").alias("component")))
+    lowest = known.groupBy("component").agg(F.min("row").alias("lowest"))
+    known = known.join(lowest, "component").select("class1", "class2", "copies", "row", "links", "lowest")
+    rows_of = signed.select("id", "text_hash", "class1", "class2", "n_words")
     with_words = rows_of.filter("n_words > 0").join(known, ["class1", "class2"]).select(
-        "id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("own_id").alias("copy_of"), F.col("copies").alias("n_copies"))
-    without = rows_of.filter("n_words = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("copy_of"), F.lit(1).cast("bigint").alias("n_copies"))
-    names = [F.when(F.col(c) != NO_ID, F.col(c)).alias(d) for c, d in (("id", "doc_id"), ("class_id", "class_id"))]
-    return with_words.union(without).select(*names, "n_links", F.when(F.col("copy_of") != NO_ID, F.col("copy_of")).alias("copy_of"), "n_copies")
+        "id", "text_hash", F.col("lowest.id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("row.id").alias("copy_of"),
+        F.col("copies").alias("n_copies"), "n_words", (F.struct("id", "text_hash") == F.col("lowest")).alias("first"))
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    without = rows_of.filter("n_words = 0").select(
+        "id", "text_hash", F.col("id").alias("class_id"), none.alias("n_links"), F.col("id").alias("copy_of"), one.alias("n_copies"), "n_words", F.lit(True).alias("first"))
+    return with_words.union(without)
+
+
+def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, copy_of, n_copies for each row of `docs`.
+
+    n_links counts the other rows whose n-gram sets are alike, copies of the text included; class_id is the smallest id of all
+    rows that links hold together, and copy_of that of the rows with the same words. Null and empty texts have no n-grams and
+    no links, and are classes of their own. Ids may repeat, and null ids come last. Other columns are not read. An empty
+    table gives an empty result. Texts are read whole; they move once to meet the list of candidates, and those of candidates
+    once more, to their blocks.
+    """
+    found = _linked(docs, n, threshold, rows, recall)
+    names = [F.when(F.col(c) != NO_ID, F.col(c)).alias(d) for c, d in (("id", "doc_id"), ("class_id", "class_id"), ("copy_of", "copy_of"))]
+    return found.select(*names[:2], "n_links", names[2], "n_copies")
+
+
+def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """The rows of `docs`, with their columns, that are the first of their class; one of rows with the same id and text.
+
+    Of such repeated rows the one with the smallest hash of all columns stays. Rows without words all stay.
+    """
+    keep = _linked(docs, n, threshold, rows, recall).filter("first").groupBy("id", "text_hash").agg(F.max("n_words").alias("n_words"))
+    row = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    row = row.select("_row", *(c.alias(f"_{name}") for c, name in zip(_keys(), ("id", "text_hash"))))
+    keep = keep.select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"), "n_words")
+    order = Window.partitionBy("_id", "_text_hash").orderBy(F.xxhash64("_row"))
+    return row.join(keep, ["_id", "_text_hash"]).withColumn("_n", F.row_number().over(order)).filter("_n = 1 or n_words = 0").select("_row.*")

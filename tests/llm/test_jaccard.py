@@ -57,9 +57,18 @@ def test_all_pairs(spark, monkeypatch, block):
     assert _got(spark, rows) == _brute(rows)
 
 
+def test_one_of_each(spark):
+    rows = [(i, t, n) for n, (i, t) in enumerate(_rows(9))] + [(7000, None, 1), (7000, None, 2), (7001, "twice the same row of words", 5), (7001, "twice the same row of words", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _n int")
+    got = jaccard.one_of_each(docs).collect()
+    assert jaccard.one_of_each(docs).columns == docs.columns
+    assert sorted(r.doc_id for r in got) == sorted([x for x in {c for _, c, _ in _brute([r[:2] for r in rows])} if x != 7000] + [7000, 7000])
+    assert {(r.doc_id, r.text) for r in got} <= {r[:2] for r in rows}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, class_id int")
-    assert jaccard.join(docs).count() == 0
+    assert jaccard.join(docs).count() == 0 and jaccard.one_of_each(docs).count() == 0
 
 
 def test_recall_of_bands():
