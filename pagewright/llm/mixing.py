@@ -59,7 +59,8 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights:
     # the level if this source and those after it stay below their limits
     level = (F.lit(float(share)) * F.col("total") - F.lit(float(most)) * F.col("full")) / (F.col("weights") - F.col("full_weight"))
     of = of.withColumn("level", level)
-    of = of.withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(every))
+    # the first for which that holds, as all later ones have higher limits
+    of = of.withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.struct("reach", "place", "level"))).over(every)["level"])
     limit = F.lit(float(most)) * F.col("source_size")
     return of.select("source", "source_size", F.coalesce(F.least(limit, F.col("level") * F.col("weight")), limit).alias("target"))
 

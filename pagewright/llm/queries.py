@@ -50,7 +50,7 @@ WITH sizes AS (
     / (sum(weight) OVER () - (sum(weight) OVER upto - weight)) AS level
   FROM weighted WINDOW upto AS (ORDER BY reach, place ROWS UNBOUNDED PRECEDING)
 ), targets AS (
-  SELECT source, source_size, coalesce(least(CAST(2 AS DOUBLE) * source_size, (SELECT min(level) FROM levels WHERE level <= reach) * weight), CAST(2 AS DOUBLE) * source_size) AS target
+  SELECT source, source_size, coalesce(least(CAST(2 AS DOUBLE) * source_size, (SELECT level FROM levels WHERE level <= reach ORDER BY reach, place LIMIT 1) * weight), CAST(2 AS DOUBLE) * source_size) AS target
   FROM levels
 ), rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets),
 seeds AS (

@@ -1,5 +1,7 @@
 """Targets, rates and repetition of sources."""
 
+import random
+
 import pytest
 
 from pagewright.llm import mixing
@@ -47,6 +49,16 @@ def test_targets_and_copies(spark):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_many_sources(spark, seed):
+    pick = random.Random(seed)
+    sizes = {f"s{i:02d}": pick.choice([1, 5, 40, 1000, pick.randint(1, 5000)]) for i in range(pick.choice([2, 9, 40]))}
+    out = mixing.targets(spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size bigint")).collect()
+    want = _levels(sizes)
+    assert {r.source: pytest.approx(r.target) for r in out} == want
+    assert sum(r.target for r in out) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_rows_are_emitted_as_planned(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)  # the shuffle join
     docs = _docs(spark)
