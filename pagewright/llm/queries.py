@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, jaccard, language, licenses, mixing, quality, secrets, tokenfile
+from pagewright.llm import bpe, jaccard, language, licenses, mixing, quality, secrets, substrings, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op6_jaccard_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "copy_of", "n_copies")
+
+
+@_query("op5_substring_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digest(table(spark, folder, "documents"))
