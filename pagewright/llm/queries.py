@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, jaccard, language, licenses, mixing, quality, secrets, substrings, tokenfile
+from pagewright.llm import bpe, jaccard, language, licenses, mixing, neighbours, quality, secrets, substrings, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op5_substring_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digest(table(spark, folder, "documents"))
+
+
+@_query("op4_nearest_neighbours")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.digest(table(spark, folder, "embeddings"))
