@@ -49,7 +49,7 @@ def match_table_markdown(page_sheet: DataFrame) -> DataFrame:
     ).drop("page_tables", "role", "table_index", "markdown_text")
 
 
-def pack_chunks(blocks: DataFrame, wide: bool = True) -> DataFrame:
+def pack_chunks(blocks: DataFrame) -> DataFrame:
     """Greedy packing in reading order.  One row per block and draft: `draft_no`, the section title
     and `part_text` (an over-long block becomes several drafts)."""
     length = F.length("chunk_text")
@@ -70,18 +70,16 @@ def pack_chunks(blocks: DataFrame, wide: bool = True) -> DataFrame:
         )
         .drop("chunk_text", "is_title", "is_long")
     )
-    packed = folds.fold(items, ORDER, folds.PackChunks(S.CHUNK_TARGET_CHARS), "first_draft", "section_title",
-                        wide=wide, clustered=True)
+    packed = folds.fold(items, ORDER, folds.PackChunks(S.CHUNK_TARGET_CHARS), "first_draft", "section_title")
     rest = [c for c in packed.columns if c not in ("parts", "first_draft", "shard", "text")]
     return packed.select(*rest, "first_draft", F.posexplode("parts").alias("part_no", "part_text")).withColumn(
         "draft_no", F.col("first_draft") + F.col("part_no")
     ).drop("first_draft")
 
 
-def merge_short_chunks(parts: DataFrame, wide: bool = True) -> DataFrame:
+def merge_short_chunks(parts: DataFrame) -> DataFrame:
     """Adds `chunk_index`: short neighbouring drafts of one section share it."""
-    shard = F.floor(F.col("draft_no") / S.DRAFTS_PER_SHARD) if wide else F.col("page_shard")
-    df = parts.withColumn("shard", shard).repartition("document_id", "shard")
+    df = parts.withColumn("shard", F.floor(F.col("draft_no") / S.DRAFTS_PER_SHARD)).repartition("document_id", "shard")
     draft = Window.partitionBy("document_id", "shard", "draft_no")
     df = df.withColumns(
         {
@@ -97,7 +95,7 @@ def merge_short_chunks(parts: DataFrame, wide: bool = True) -> DataFrame:
         }
     ).drop("first")
     order = ["draft_no", *ORDER, "part_no"]
-    return folds.fold(df, order, folds.MergeShort(S.CHUNK_MIN_CHARS), "chunk_index", wide=wide, clustered=True).drop("shard")
+    return folds.fold(df, order, folds.MergeShort(S.CHUNK_MIN_CHARS), "chunk_index").drop("shard")
 
 
 def assemble_chunks(parts: DataFrame) -> DataFrame:
@@ -143,19 +141,14 @@ def chunk_refs(parts: DataFrame, drafts: DataFrame) -> DataFrame:
     )
 
 
-def spans_shards(pages: DataFrame) -> bool:
-    """Whether any document is longer than one shard (one boolean decides the shape of the folds)."""
-    return not pages.filter(F.col("page_number") >= S.PAGES_PER_SHARD).isEmpty()
-
-
-def draft_chunks(page_sheet: DataFrame, wide: bool = True) -> DataFrame:
+def draft_chunks(page_sheet: DataFrame) -> DataFrame:
     """A marked sheet to numbered chunk parts (rows of blocks with `chunk_index`)."""
-    return merge_short_chunks(pack_chunks(match_table_markdown(select_chunk_blocks(page_sheet)), wide), wide)
+    return merge_short_chunks(pack_chunks(match_table_markdown(select_chunk_blocks(page_sheet))))
 
 
-def build_chunks(page_sheet: DataFrame, documents: DataFrame, wide: bool = True) -> DataFrame:
+def build_chunks(page_sheet: DataFrame, documents: DataFrame) -> DataFrame:
     """The chunk table: built from a marked sheet, stamped with the document's content revision."""
-    chunks = dedupe_chunks(assemble_chunks(draft_chunks(page_sheet, wide)))
+    chunks = dedupe_chunks(assemble_chunks(draft_chunks(page_sheet)))
     revision = documents.select("document_id", F.col("content_revision").alias("chunk_revision"))
     chunk_id = F.sha2(F.concat_ws("\u001f", "document_id", "chunk_revision", "chunk_index"), 256)
     return chunks.join(revision, "document_id").withColumns(

@@ -186,8 +186,10 @@ def failure_category() -> Column:
 def aggregate_cases(results: DataFrame) -> DataFrame:
     """Roll-up of the repeats of every case; one failing repeat is never averaged away.
 
-    The ordered statuses of single runs stay rows of `results`; here they are counted.
+    `statuses` are those of the repeats in order, `violations` the safety checks that any of them failed, each once, in the
+    order in which they were first seen.  A case has a few repeats.
     """
+    broken = F.array_compact(F.array(*[F.when(~F.col(f"check_{c}"), F.lit(c)) for c in S.SAFETY_CHECKS]))
     failed = F.col("explicit") | F.col("critical")
     last = F.max(F.struct("run_index", "claim_count", "citation_count", "status")).alias("last")
     df = results.groupBy("case_id").agg(
@@ -195,26 +197,28 @@ def aggregate_cases(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.count(F.when(F.col("passed"), 1)).alias("passes"),
         F.min("status").alias("lowest_status"), F.max("status").alias("highest_status"),
         F.bool_or(failed).alias("safety_failed"), F.bool_or("explicit").alias("explicit"), F.bool_or("critical").alias("critical"),
-        last, F.round(F.sum("latency") / F.count(F.lit(1)), 3).alias("mean_latency"),
+        F.array_sort(F.collect_list(F.struct("run_index", "status", broken.alias("broken")))).alias("each"),
+        last, F.bround(F.sum("latency") / F.count(F.lit(1)), 3).alias("mean_latency"),
     )
     mixed = ((F.col("passes") > 0) & (F.col("passes") < F.col("runs"))) | (F.col("lowest_status") != F.col("highest_status"))
     return df.select(
-        "case_id", "category", "safety_critical", "runs", "passes", F.round(F.col("passes") / F.col("runs"), 4).alias("pass_rate"),
+        "case_id", "category", "safety_critical", "runs", "passes", F.bround(F.col("passes") / F.col("runs"), 4).alias("pass_rate"),
         mixed.alias("unstable"), "safety_failed", "explicit", "critical",
         ((F.col("passes") == F.col("runs")) & ~F.col("safety_failed")).alias("final_pass"),
         F.col("last.claim_count").alias("claim_count"), F.col("last.citation_count").alias("citation_count"),
-        F.col("last.status").alias("last_status"), "mean_latency",
+        F.col("last.status").alias("last_status"), "mean_latency", F.col("each.status").alias("statuses"),
+        F.array_distinct(F.flatten("each.broken")).alias("violations"),
     )
 
 
 def category_rates(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("category").agg(F.round(F.avg(F.col("final_pass").cast("double")), 4).alias("pass_rate"))
+    return cases.groupBy("category").agg(F.bround(F.avg(F.col("final_pass").cast("double")), 4).alias("pass_rate"))
 
 
 def _nearest_ranks(latencies: DataFrame, **ranks: float) -> DataFrame:
     """Nearest-rank percentiles, one row.  Latencies are rounded to milliseconds and limited by the answer
     deadline, so their distinct values stay few however many runs there are."""
-    counts = latencies.groupBy(F.round("latency", 3).alias("latency")).agg(F.count(F.lit(1)).alias("n"))
+    counts = latencies.groupBy(F.bround("latency", 3).alias("latency")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy("latency").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(everything)})
@@ -237,7 +241,7 @@ def eval_summary(results: DataFrame, cases: DataFrame) -> DataFrame:
     held = F.col("status").isin("not_found", "insufficient_evidence")
 
     def rate(good, base, empty):
-        return F.when(base == 0, F.lit(empty)).otherwise(F.round(good / base, 4))
+        return F.when(base == 0, F.lit(empty)).otherwise(F.bround(good / base, 4))
 
     rates = results.agg(
         n.alias("total_runs"), rate(count(F.col("check_protocol")), n, 0.0).alias("protocol_rate"),

@@ -195,21 +195,13 @@ def _entry_states(df: DataFrame, order, rule) -> DataFrame:
     return reports.groupBy("document_id").applyInArrow(chain, _ENTRY_DDL)
 
 
-def fold(df: DataFrame, order: list[str], rule, group: str, label: str | None = None,
-         wide: bool = True, clustered: bool = False) -> DataFrame:
+def fold(df: DataFrame, order: list[str], rule, group: str, label: str | None = None) -> DataFrame:
     """Number the groups of every document in order (from 0), as column `group`.
 
     `df` carries document_id, shard, item_size, item_kind, item_tag and item_weight (how many group
-    numbers the row takes).  `label` names an extra column with the last title seen.  `wide` is
-    False when no document spans several shards; `clustered` when the rows already are clustered.
+    numbers the row takes).  `label` names an extra column with the last title seen.
     """
-    if wide:
-        df = df.join(_entry_states(df, order, rule), ["document_id", "shard"], "left")
-    else:
-        df = df.withColumns(
-            {"in_size": F.lit(-1).cast("bigint"), "in_tag": F.lit(None).cast("string"),
-             "in_groups": F.lit(0).cast("bigint"), "in_label": F.lit(None).cast("string")}
-        )
+    df = df.join(_entry_states(df, order, rule), ["document_id", "shard"], "left")
     columns = [*_ITEM, "in_size", "in_tag", "in_groups", "in_label"]
     kept = [c for c in df.columns if c not in columns or c in ("document_id", "shard")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields)
@@ -245,6 +237,4 @@ def fold(df: DataFrame, order: list[str], rule, group: str, label: str | None =
                 names.append(label)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    if not clustered or wide:
-        df = df.repartition("document_id", "shard")
-    return df.sortWithinPartitions("document_id", "shard", *order).mapInArrow(run, ddl)
+    return df.repartition("document_id", "shard").sortWithinPartitions("document_id", "shard", *order).mapInArrow(run, ddl)

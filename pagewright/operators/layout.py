@@ -232,12 +232,12 @@ def band_zone(y0="y0", y1="y1", height="page_height"):
     )
 
 
-def detect_bands(blocks: DataFrame, wide: bool = True) -> DataFrame:
+def detect_bands(blocks: DataFrame) -> DataFrame:
     """Flag repeated headers and footers, and lone page numbers in those zones.
 
-    `blocks` are clustered by shard.  Pages and keys are counted inside each shard; when a document
-    spans shards (`wide`) the shard counts are summed per document and looked up again per shard,
-    so a single huge document is neither counted nor joined in one task.
+    `blocks` are clustered by shard.  Pages and keys are counted inside each shard, the shard counts are
+    summed per document and key, and both are looked up again per shard, so a single huge document is neither
+    counted nor joined in one task.
     """
     real = F.coalesce((F.col("block_type") != "image") & (F.col("role") == "block"), F.lit(False))
     body = T.strip(F.coalesce("text", F.lit("")))
@@ -253,13 +253,14 @@ def detect_bands(blocks: DataFrame, wide: bool = True) -> DataFrame:
     first = Window.partitionBy(*PAGE).orderBy((~real).cast("int"))
     df = df.withColumn("page_mark", (F.row_number().over(first) == 1) & real)
     df = df.withColumn("total_pages", F.count(F.when(F.col("page_mark"), 1)).over(Window.partitionBy(*SHARD)))
-    if wide:
-        keys = df.filter("zone is not null").groupBy(*SHARD, "zone", "fp").agg(F.max("key_pages").alias("n"))
-        totals = df.groupBy(*SHARD).agg(F.max("total_pages").alias("n")).groupBy("document_id").agg(F.sum("n").alias("doc_pages"))
-        sums = keys.groupBy("document_id", "zone", "fp").agg(F.sum("n").alias("doc_key_pages"))
-        known = keys.drop("n").join(sums, ["document_id", "zone", "fp"]).join(totals, "document_id")
-        df = df.join(known, [*SHARD, "zone", "fp"], "left")
-        df = df.withColumns({"key_pages": F.col("doc_key_pages"), "total_pages": F.col("doc_pages")}).drop("doc_key_pages", "doc_pages")
+    keys = df.filter("zone is not null").groupBy(*SHARD, "zone", "fp").agg(F.max("key_pages").alias("n"))
+    shards = df.groupBy(*SHARD).agg(F.max("total_pages").alias("n"))
+    # only the shards of a document, not its keys, meet its total
+    totals = shards.drop("n").join(shards.groupBy("document_id").agg(F.sum("n").alias("doc_pages")), "document_id")
+    sums = keys.groupBy("document_id", "zone", "fp").agg(F.sum("n").alias("doc_key_pages"))
+    known = keys.drop("n").join(sums, ["document_id", "zone", "fp"]).join(totals, SHARD)
+    df = df.join(known, [*SHARD, "zone", "fp"], "left")
+    df = df.withColumns({"key_pages": F.col("doc_key_pages"), "total_pages": F.col("doc_pages")}).drop("doc_key_pages", "doc_pages")
     needed = F.greatest(F.lit(S.REPEAT_MIN_PAGES), F.floor(F.col("total_pages") * S.REPEAT_MIN_FRACTION))
     lone = (F.length("band_text") <= S.PAGE_NUMBER_MAX_CHARS) & T.is_page_number_line("band_text")
     is_band = F.col("zone").isNotNull() & (F.coalesce(F.col("key_pages") >= needed, F.lit(False)) | lone)
@@ -321,8 +322,8 @@ def extraction_rollup(pages: DataFrame) -> DataFrame:
     return counts.withColumn("processing_status", status)
 
 
-def lay_out(blocks: DataFrame, tables: DataFrame, images: DataFrame, wide: bool = True) -> DataFrame:
+def lay_out(blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
     """All block-level marks, on a sheet that still holds the table rows."""
     df = mark_captions(mark_table_blocks(sheet(blocks, tables, images)))
     df = reading_order(df).drop("is_text", "band", "n_left", "n_right", "n_straddlers")
-    return detect_bands(df, wide)
+    return detect_bands(df)

@@ -72,8 +72,8 @@ def ocr_quality(words: DataFrame) -> DataFrame:
     status = F.when(few, "ocr_empty").when(F.col("low") > S.OCR_LOW_RATIO_WARN, "ocr_low_confidence").otherwise("ocr_completed")
     return stats.select(
         *PAGE, "words", "mean_confidence", status.alias("ocr_status"),
-        F.round(F.when(few, 0.0).otherwise(F.col("median")), 4).alias("median_confidence"),
-        F.round(F.when(few, 1.0).otherwise(F.col("low")), 4).alias("low_confidence_ratio"),
+        F.bround(F.when(few, 0.0).otherwise(F.col("median")), 4).alias("median_confidence"),
+        F.bround(F.when(few, 1.0).otherwise(F.col("low")), 4).alias("low_confidence_ratio"),
     )
 
 

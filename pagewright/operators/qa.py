@@ -6,8 +6,12 @@ is kept per answer is bounded; across answers the work is joins on message_id.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagewright import settings as S
 from pagewright.functions import text as T
@@ -206,26 +210,44 @@ def public_citation(refs: DataFrame) -> DataFrame:
 # --- revisions ------------------------------------------------------------------------------------------
 
 def chunk_set_hash(chunks: DataFrame, key: str = "document_id") -> DataFrame:
-    """Fingerprint of the chunks of every key: SHA-256 of the sorted `id:hash` lines.
+    """Fingerprint of the chunks of every key: SHA-256 of the `id:hash` lines, sorted by id, then hash.
 
-    Up to 4096 chunks this is that hash.  Longer sets are cut by chunk_index into runs of 4096 whose
-    hashes are hashed again (and once more above 4096 runs), so no task gathers an unbounded set.
+    One hash at every size: the sorted lines of a key stream through one digest, and nothing of them is kept.
     """
-    line = F.concat_ws(":", "chunk_id", "content_hash")
-    run = F.floor(F.col("chunk_index") / S.HASH_FAN_IN).cast("bigint")
-
-    def hashed(value):
-        return F.sha2(F.array_join(F.sort_array(F.collect_list(value)), "\n"), 256)
-
-    low = chunks.groupBy(key, run.alias("run")).agg(hashed(line).alias("h"), F.count(F.lit(1)).alias("n"))
-    named = F.concat_ws(":", F.lpad(F.col("run").cast("string"), 20, "0"), "h")
-    mid = low.groupBy(key, F.floor(F.col("run") / S.HASH_FAN_IN).alias("top")).agg(
-        F.when(F.count(F.lit(1)) == 1, F.max("h")).otherwise(hashed(named)).alias("h"), F.sum("n").alias("n")
-    )
-    named_top = F.concat_ws(":", F.lpad(F.col("top").cast("string"), 20, "0"), "h")
-    return mid.groupBy(key).agg(
-        F.when(F.count(F.lit(1)) == 1, F.max("h")).otherwise(hashed(named_top)).alias("set_hash"), F.sum("n").alias("n_chunks")
+    rows = chunks.select(
+        key, F.coalesce(F.col("chunk_id").cast("string"), F.lit("")).alias("line_id"), F.coalesce("content_hash", F.lit("")).alias("line_hash")
     )
+    kind = rows.schema[key].dataType
+
+    def run(batches):
+        open_key, digest, count = None, None, 0
+
+        def row():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([open_key], to_arrow_type(kind)), pa.array([digest.hexdigest()]), pa.array([count], pa.int64())], [key, "set_hash", "n_chunks"]
+            )
+
+        for batch in batches:
+            keys, ids, hashes = (batch.column(i).to_pylist() for i in range(3))
+            at = 0
+            while at < len(keys):
+                to = at
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                lines = "\n".join(f"{i}:{h}" for i, h in zip(ids[at:to], hashes[at:to])).encode()
+                if digest is not None and keys[at] == open_key:
+                    digest.update(b"\n" + lines)
+                    count += to - at
+                else:
+                    if digest is not None:
+                        yield row()
+                    open_key, digest, count = keys[at], hashlib.sha256(lines), to - at
+                at = to
+        if digest is not None:
+            yield row()
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, "line_id", "line_hash")
+    return ordered.mapInArrow(run, f"`{key}` {kind.simpleString()}, set_hash string, n_chunks bigint")
 
 
 def revision_guard(results: DataFrame, documents: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pagewright.session import cut_lineage
 FAN = S.REDUCE_FAN_IN
 
 
-def group_chunks(chunks: DataFrame, wide: bool = True, limit: int = S.GROUP_MAX_CHARS, minimum: int = S.GROUP_MIN_CHARS) -> DataFrame:
+def group_chunks(chunks: DataFrame, limit: int = S.GROUP_MAX_CHARS, minimum: int = S.GROUP_MIN_CHARS) -> DataFrame:
     """Adds `position`, the group of every chunk in reading order (blank chunks are skipped)."""
     df = chunks.filter(~T.is_blank("normalized_text")).withColumns(
         {
@@ -26,7 +26,7 @@ def group_chunks(chunks: DataFrame, wide: bool = True, limit: int = S.GROUP_MAX_
             "item_tag": F.col("section_title"), "item_weight": F.lit(1).cast("bigint"),
         }
     )
-    return folds.fold(df, ["chunk_index"], folds.GroupChunks(limit, minimum), "position", wide=wide).drop("shard")
+    return folds.fold(df, ["chunk_index"], folds.GroupChunks(limit, minimum), "position").drop("shard")
 
 
 def summary_ready(documents: DataFrame, chunks: DataFrame, jobs: DataFrame, level: str = "nursing_student") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagewright import settings as S
 from pagewright.operators import chunks as K
 from pagewright.plans import oracle_views as V
-from pagewright.plans.layout_queries import laid_out, wide
+from pagewright.plans.layout_queries import laid_out
 from pagewright.plans.registry import query
 from pagewright.plans.text_queries import LONG_SQL
 from pagewright.session import cut_lineage, per_folder
@@ -79,18 +79,17 @@ def selected(spark, folder):
 
 @per_folder
 def packed(spark, folder):
-    return K.pack_chunks(selected(spark, folder), wide(spark, folder))
+    return K.pack_chunks(selected(spark, folder))
 
 
 @per_folder
 def merged(spark, folder):
-    w = wide(spark, folder)
-    return K.merge_short_chunks(K.pack_chunks(selected(spark, folder), w), w)
+    return K.merge_short_chunks(K.pack_chunks(selected(spark, folder)))
 
 
 @per_folder
 def chunk_table(spark, folder):
-    return K.build_chunks(laid_out(spark, folder), C.v_documents(spark, folder), wide(spark, folder))
+    return K.build_chunks(laid_out(spark, folder), C.v_documents(spark, folder))
 
 
 @per_folder

@@ -106,16 +106,17 @@ SELECT * REPLACE (CASE WHEN pre THEN 'prestream_error' ELSE status END AS status
  CASE WHEN pre THEN NULL WHEN timed_out THEN 'timeout' WHEN error_code IS NULL THEN NULL WHEN error_code='QA_STREAM_FAILED' THEN 'provider_stream_error' WHEN error_code='QA_FAILED' THEN 'provider_error'
   WHEN error_code='CONNECTION_LOST' THEN 'connection_lost' WHEN error_code='REVISION_CHANGED' THEN 'revision_changed' WHEN error_code='CONSENT_REVOKED' THEN 'consent_revoked' ELSE 'internal_error' END AS provider_error
 FROM (SELECT *, expected_status='answered' AND status IN ('not_found','insufficient_evidence') AS held FROM o_checks)"""
-VIEWS["o_agg"] = """SELECT case_id, min(category) AS category, bool_or(safety_critical) AS safety_critical, count(*) AS runs, count(*) FILTER (passed) AS passes, round(count(*) FILTER (passed)/count(*), 4) AS pass_rate,
+VIEWS["o_agg"] = """SELECT case_id, min(category) AS category, bool_or(safety_critical) AS safety_critical, count(*) AS runs, count(*) FILTER (passed) AS passes, round_even(count(*) FILTER (passed)/count(*), 4) AS pass_rate,
  count(DISTINCT passed) > 1 OR count(DISTINCT status) > 1 AS unstable, bool_or(explicit OR critical) AS safety_failed, bool_or(explicit) AS explicit, bool_or(critical) AS critical,
- count(*) FILTER (passed)=count(*) AND NOT bool_or(explicit OR critical) AS final_pass, arg_max(n, run_index) AS claim_count, arg_max(k, run_index) AS citation_count, arg_max(status, run_index) AS last_status, round(sum(latency)/count(*), 3) AS mean_latency
+ count(*) FILTER (passed)=count(*) AND NOT bool_or(explicit OR critical) AS final_pass, arg_max(n, run_index) AS claim_count, arg_max(k, run_index) AS citation_count, arg_max(status, run_index) AS last_status, round_even(sum(latency)/count(*), 3) AS mean_latency, string_agg(status, ';' ORDER BY run_index) AS statuses
 FROM o_eval GROUP BY case_id"""
-VIEWS["o_rates"] = "SELECT category, round(avg(final_pass::INT::DOUBLE), 4) AS pass_rate FROM o_agg GROUP BY ALL"
+VIEWS["o_broken"] = f"""SELECT case_id, string_agg(c, ';' ORDER BY first_run, pos) AS violations FROM (SELECT case_id, c, pos, min(run_index) AS first_run FROM ({" UNION ALL ".join(f"SELECT case_id, run_index, '{c}' AS c, {i} AS pos FROM o_eval WHERE NOT c_{c}" for i, c in enumerate(S.SAFETY_CHECKS))}) GROUP BY ALL) GROUP BY case_id"""
+VIEWS["o_rates"] = "SELECT category, round_even(avg(final_pass::INT::DOUBLE), 4) AS pass_rate FROM o_agg GROUP BY ALL"
 ANS = V.quoted(S.ANSWERABLE_CATEGORIES)
-VIEWS["o_sum"] = f"""SELECT e.*, a.* FROM (SELECT count(*) AS total_runs, round(count(*) FILTER (c_protocol)/count(*), 4) AS protocol_rate, round(count(*) FILTER (c_status)/count(*), 4) AS status_accuracy,
- CASE WHEN count(*) FILTER (category IN ({ANS}))=0 THEN 1.0 ELSE round(count(*) FILTER (category IN ({ANS}) AND status='completed' AND passed)/count(*) FILTER (category IN ({ANS})), 4) END::DOUBLE AS answerable_valid,
- CASE WHEN count(*) FILTER (category='not_found')=0 THEN 1.0 ELSE round(count(*) FILTER (category='not_found' AND status IN ('not_found','insufficient_evidence'))/count(*) FILTER (category='not_found'), 4) END::DOUBLE AS not_found_hold,
- list_sort(list(round(latency,3)))[round_even(0.5*(count(*)-1),0)::BIGINT+1] AS latency_p50, list_sort(list(round(latency,3)))[round_even(0.95*(count(*)-1),0)::BIGINT+1] AS latency_p95 FROM o_eval) e
+VIEWS["o_sum"] = f"""SELECT e.*, a.* FROM (SELECT count(*) AS total_runs, round_even(count(*) FILTER (c_protocol)/count(*), 4) AS protocol_rate, round_even(count(*) FILTER (c_status)/count(*), 4) AS status_accuracy,
+ CASE WHEN count(*) FILTER (category IN ({ANS}))=0 THEN 1.0 ELSE round_even(count(*) FILTER (category IN ({ANS}) AND status='completed' AND passed)/count(*) FILTER (category IN ({ANS})), 4) END::DOUBLE AS answerable_valid,
+ CASE WHEN count(*) FILTER (category='not_found')=0 THEN 1.0 ELSE round_even(count(*) FILTER (category='not_found' AND status IN ('not_found','insufficient_evidence'))/count(*) FILTER (category='not_found'), 4) END::DOUBLE AS not_found_hold,
+ list_sort(list(round_even(latency,3)))[round_even(0.5*(count(*)-1),0)::BIGINT+1] AS latency_p50, list_sort(list(round_even(latency,3)))[round_even(0.95*(count(*)-1),0)::BIGINT+1] AS latency_p95 FROM o_eval) e
  CROSS JOIN (SELECT count(*) AS total_cases, count(*) FILTER (safety_failed) AS safety_failure_cases, count(*) FILTER (explicit) AS explicit_cases, count(*) FILTER (critical) AS critical_cases, count(*) FILTER (unstable) AS unstable_cases, min(runs) AS repeat FROM o_agg) a"""
 CATS = V.quoted(S.EVAL_CATEGORIES)
 VIEWS["o_gate"] = f"""SELECT array_to_string(list_filter(g, lambda x: x IS NOT NULL), ';') AS failures, explicit_cases=0 AS explicit_passed, critical_cases=0 AS critical_passed, len(missing)=0 AND repeat >= {S.MIN_RELEASE_REPEAT} AS coverage_complete,
@@ -186,9 +187,9 @@ def _failure_category(spark, folder):
     return results(spark, folder).select("case_id", "run_index", "failure_category")
 
 
-@query("aggregate_cases", "SELECT * FROM o_agg")
+@query("aggregate_cases", "SELECT a.*, coalesce(violations, '') AS violations FROM o_agg a LEFT JOIN o_broken USING (case_id)")
 def _aggregate_cases(spark, folder):
-    return rolled(spark, folder)
+    return rolled(spark, folder).withColumns({c: F.array_join(c, ";") for c in ("statuses", "violations")})
 
 
 @query("eval_summary", "SELECT * FROM o_sum")

@@ -88,15 +88,9 @@ def measured(spark, folder):
     return L.measure_pages(C.v_pages(spark, folder), C.v_images(spark, folder), C.v_blocks(spark, folder), C.v_words(spark, folder))
 
 
-@per_folder
-def wide(spark, folder):
-    """Whether any document is longer than one shard (one boolean shapes the document-level steps)."""
-    return not C.v_pages(spark, folder).filter(F.col("page_number") >= S.PAGES_PER_SHARD).isEmpty()
-
-
 @per_folder
 def laid_out(spark, folder):
-    return L.lay_out(C.v_blocks(spark, folder), C.v_tables(spark, folder), C.v_images(spark, folder), wide(spark, folder))
+    return L.lay_out(C.v_blocks(spark, folder), C.v_tables(spark, folder), C.v_images(spark, folder))
 
 
 @query("page_coverage", """SELECT document_id, page_number, round(image_area_ratio, 6) AS image_area_ratio, full_page_image, has_images,
@@ -156,7 +150,7 @@ def _mark_captions(spark, folder):
 
 @query("detect_bands", "SELECT document_id, page_number, block_index, is_header, is_footer FROM o_bands")
 def _detect_bands(spark, folder):
-    return L.detect_bands(L.sheet(C.v_blocks(spark, folder)), wide(spark, folder)).select(*KEY, "is_header", "is_footer")
+    return L.detect_bands(L.sheet(C.v_blocks(spark, folder))).select(*KEY, "is_header", "is_footer")
 
 
 @query("page_text", f"""SELECT document_id, page_number, coalesce(string_agg(clean, chr(10)||chr(10) ORDER BY reading_order), '') AS normalized_text

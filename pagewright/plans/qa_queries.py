@@ -177,7 +177,7 @@ def _public_citation(spark, folder):
     return Q.public_citation(refs).select("page_number", "block_id", F.get("bbox", F.lit(0)).alias("x0"), F.get("bbox", F.lit(3)).alias("y1"), "section_title", "source_method")
 
 
-VIEWS["o_sethash"] = "SELECT document_id, sha256(string_agg(chunk_id||':'||content_hash, chr(10) ORDER BY chunk_id||':'||content_hash)) AS set_hash, count(*) AS n_chunks FROM v_chunks GROUP BY document_id"
+VIEWS["o_sethash"] = "SELECT document_id, sha256(string_agg(chunk_id||':'||content_hash, chr(10) ORDER BY chunk_id, content_hash)) AS set_hash, count(*) AS n_chunks FROM v_chunks GROUP BY document_id"
 
 
 @query("chunk_set_hash", "SELECT * FROM o_sethash")
@@ -185,6 +185,11 @@ def _chunk_set_hash(spark, folder):
     return Q.chunk_set_hash(C.v_chunks(spark, folder))
 
 
+@query("chunk_set_hash_corpus", "SELECT 'all' AS corpus, sha256(string_agg(chunk_id||':'||content_hash, chr(10) ORDER BY chunk_id, content_hash)) AS set_hash, count(*) AS n_chunks FROM v_chunks")
+def _chunk_set_hash_corpus(spark, folder):
+    return Q.chunk_set_hash(C.v_chunks(spark, folder).withColumn("corpus", F.lit("all")), "corpus")
+
+
 @query("revision_guard", """SELECT r.document_id, CASE WHEN d.deleted_at IS NULL AND r.document_id%7<>1 AND r.document_id%4<>0 AND r.document_id%13<>2 THEN 'completed' ELSE 'revision_changed' END AS final_status
  FROM (SELECT DISTINCT document_id FROM v_chunks) r JOIN v_documents d USING (document_id)""")
 def _revision_guard(spark, folder):

@@ -32,6 +32,27 @@ def _read_model_output(spark, folder):
     return I.parse_model_lines(lines).select("message_id", "seq", "type", "text", F.array_join("sourceChunkIds", ",").alias("sources"), F.col("answerStatus").alias("answer_status"))
 
 
+@query("read_model_stream", """SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY seq) AS seq, type, text FROM (
+ SELECT *, count(*) FILTER (type='claim') OVER w AS claims, coalesce(max((type='final')::INT) OVER (PARTITION BY message_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
+ FROM v_claim_events WHERE type IN ('claim', 'final') WINDOW w AS (PARTITION BY message_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) WHERE ended = 0 AND claims <= 20""")
+def _read_model_stream(spark, folder):
+    """Events cut into frames in the middle of their text, with noise between and claims after the end."""
+    e = C.v_claim_events(spark, folder)
+    body = F.concat(F.to_json(F.struct("type", "text", F.col("source_chunk_ids").alias("sourceChunkIds"), F.col("answer_status").alias("answerStatus"))), F.lit("\n"))
+    half = F.floor(F.length(body) / 2).cast("int")
+
+    def frame(text):
+        return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("delta"))).alias("choices"))))
+
+    pieces = F.array(frame(F.substr(body, F.lit(1), half)), F.lit(": keep-alive"), F.lit("{broken"), F.lit(""), frame(F.substr(body, half + 1)))
+    lines = e.select("message_id", F.col("seq"), F.posexplode(pieces).alias("k", "value")).select("message_id", (F.col("seq") * 8 + F.col("k")).alias("line_no"), "value")
+    last = e.groupBy("message_id").agg(F.max("seq").alias("m"))
+    late = frame(F.lit('{"type":"claim","text":"too late"}\n'))
+    tail = last.select("message_id", F.posexplode(F.array(F.lit("data: [DONE]"), late)).alias("k", "value"), "m").select("message_id", ((F.col("m") + 1) * 8 + F.col("k")).alias("line_no"), "value")
+    found = I.parse_model_stream(lines.unionByName(tail), "message_id")
+    return found.select("message_id", F.col("seq").cast("bigint").alias("seq"), "type", "text")
+
+
 @query("ingest_ocr_tsv", f"""SELECT document_id, page_number, block_index, word_index, text, round(confidence, 6) AS confidence, round(least(612.0, x0*0.24), 2)::DOUBLE AS x0, round(least(792.0, (y0+10)*0.24), 2)::DOUBLE AS y1
 FROM v_words WHERE confidence >= 0.2 AND (word_index + block_index) % 6 <> 0 AND NOT contains(text, chr(9))""")
 def _ingest_ocr_tsv(spark, folder):

@@ -21,8 +21,7 @@ VIEWS = V.VIEWS
 @per_folder
 def grouped(spark, folder):
     chunks = C.v_chunks(spark, folder)
-    wide = not chunks.filter(F.col("chunk_index") >= S.DRAFTS_PER_SHARD).isEmpty()
-    return U.group_chunks(chunks, wide)
+    return U.group_chunks(chunks)
 
 
 # the test documents are short: smaller groups give their trees several levels
@@ -32,8 +31,7 @@ SMALL_MAX, SMALL_MIN = 300, 250
 @per_folder
 def small_groups(spark, folder):
     chunks = C.v_chunks(spark, folder)
-    wide = not chunks.filter(F.col("chunk_index") >= S.DRAFTS_PER_SHARD).isEmpty()
-    return U.group_chunks(chunks, wide, SMALL_MAX, SMALL_MIN)
+    return U.group_chunks(chunks, SMALL_MAX, SMALL_MIN)
 
 
 @per_folder

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +35,17 @@ def local_session(cpus: int | str = "*", name: str = "pagewright", memory: str =
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a fresh folder is made.
+    Only where that setting is absent and Spark runs on one machine, as in tests, a fresh folder is made; it goes at the end.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            named = tempfile.mkdtemp(prefix="spark-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
 
 

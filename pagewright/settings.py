@@ -165,5 +165,4 @@ ALLOWED_TRANSITIONS = {
 # --- Spark job shape (no effect on results) -------------------------------------------
 PAGES_PER_SHARD = 256      # layout rows are clustered by (document_id, page_shard)
 DRAFTS_PER_SHARD = 2048    # chunk-level folds are clustered by (document_id, chunk shard)
-HASH_FAN_IN = 4096         # lines hashed together in one group by chunk_set_hash
 EVENT_SHARD_SECONDS = 3600 # event logs are clustered by (key, time shard)

@@ -28,11 +28,8 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Document rows.  An input with fewer splits than cores (one small file) is spread out;
-    a large folder already has more splits than that and is read as it is."""
-    df = read(spark, folder, "documents").select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Document rows, as the files are split."""
+    return read(spark, folder, "documents").select(*columns)
 
 
 def micros(c) -> Column:

@@ -93,7 +93,7 @@ def test_fold_over_shards_equals_one_pass(spark):
         want[doc] = brute_pack(items, 100)
         rows += [(doc, i // 7, i, s, k, f"t{i}" if k == folds.TITLE else None, 1) for i, (s, k) in enumerate(items)]
     df = spark.createDataFrame(rows, "document_id long, shard long, n long, item_size long, item_kind int, item_tag string, item_weight long").repartition(5)
-    got = folds.fold(df, ["n"], folds.PackChunks(100), "g", "title", wide=True).collect()
+    got = folds.fold(df, ["n"], folds.PackChunks(100), "g", "title").collect()
     for doc in range(6):
         mine = sorted((r for r in got if r.document_id == doc), key=lambda r: r.n)
         assert [r.g for r in mine] == want[doc]
@@ -111,7 +111,7 @@ def test_merge_and_group_folds_over_shards(spark):
     data = [(1, i // 5, i, rnd.randint(1, 130), folds.PLAIN, f"s{i // 9 % 3}", 1) for i in range(400)]
     df = spark.createDataFrame(data, "document_id long, shard long, n long, item_size long, item_kind int, item_tag string, item_weight long")
     for rule in (folds.MergeShort(120), folds.GroupChunks(600, 500)):
-        got = {r.n: r.g for r in folds.fold(df, ["n"], rule, "g", wide=True).collect()}
+        got = {r.n: r.g for r in folds.fold(df, ["n"], rule, "g").collect()}
         state, group, want = folds.NOTHING, -1, {}
         for _, _, n, size, kind, tag, _ in data:
             if rule.joins(state, size, kind, tag):
@@ -139,7 +139,7 @@ def test_plan_levels(spark):
 
 def test_bands_are_found_across_shards(spark):
     rows = [block(0, 72, 24, 540, 44, f"Running head {p}", page=p) for p in (1, 300, 600)] + [block(1, 72, 300, 540, 340, f"unique {p}", page=p) for p in (1, 300, 600)]
-    df = L.detect_bands(L.sheet(spark.createDataFrame(rows, BLOCK)), wide=True)
+    df = L.detect_bands(L.sheet(spark.createDataFrame(rows, BLOCK)))
     assert {(r.page_number, r.block_index) for r in df.filter("is_header").collect()} == {(1, 0), (300, 0), (600, 0)}
 
 
