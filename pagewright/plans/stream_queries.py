@@ -12,6 +12,7 @@ from pagewright.plans.qa_queries import answers, classified, context
 from pagewright.plans.registry import query
 from pagewright.session import per_folder, shared_folder
 from pagewright.sources import corpus as C
+from pagewright.sources.sinks import read_document_rows, replace_document_rows
 from pagewright.streaming import answers as W
 from pagewright.streaming import ingest as N
 
@@ -103,5 +104,19 @@ def _stream_answers(spark, folder):
 def _incremental_ingest(spark, folder):
     root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     N.incremental_ingest(spark, folder, f"{root}/chunks", f"{root}/state", "documents.parquet").awaitTermination()
-    return spark.read.parquet(f"{root}/chunks").groupBy("document_id").agg(
+    return read_document_rows(spark, f"{root}/chunks").groupBy("document_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum("n_refs").alias("refs"), F.min("content_hash").alias("low_hash"), F.max("content_hash").alias("high_hash"))
+
+
+@query("replace_document_rows", """SELECT document_id, count(*) AS chunks, min(content_hash) AS low_hash, max(content_hash) AS high_hash FROM v_chunks
+WHERE document_id % 5 <> 0 AND (document_id % 5 <> 1 OR chunk_index = 0) GROUP BY ALL""")
+def _replace_document_rows(spark, folder):
+    """All chunks; then new ones for some documents and none for others, twice."""
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    chunks = C.v_chunks(spark, folder).select("document_id", "chunk_index", "content_hash")
+    replace_document_rows(chunks, path, chunks.select("document_id"))
+    d = F.col("document_id")
+    for _ in range(2):
+        replace_document_rows(chunks.filter((d % 5 == 1) & (F.col("chunk_index") == 0)), path, chunks.filter(d % 5 < 2).select("document_id"))
+    return read_document_rows(spark, path).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.min("content_hash").alias("low_hash"), F.max("content_hash").alias("high_hash"))

@@ -1,6 +1,8 @@
 """Hand-written cases for search, answers, summaries, evaluation, sources and streams."""
 
+import hashlib
 import itertools
+import json
 
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from pagewright.operators import qa as Q
 from pagewright.operators import search as R
 from pagewright.operators import summary as U
 from pagewright.sources import files as I
-from pagewright.sources.sinks import replace_document_rows
+from pagewright.sources.sinks import compact_document_rows, read_document_rows, replace_document_rows
 from pagewright.streaming import answers as W
+from pagewright.streaming import ingest as N
 
 
 def test_two_letter_query_is_found_by_the_scan(spark):
@@ -102,11 +105,61 @@ def test_file_intake(spark, tmp_path):
 
 
 def test_rerun_replaces_rows(spark, tmp_path):
+    def rows(*found):
+        return spark.createDataFrame(list(found), "document_id long, v string")
+
+    path = str(tmp_path / "t")
+    replace_document_rows(rows((1, "a"), (1, "b"), (2, "c"), (3, "d")), path, rows((1, ""), (2, ""), (3, "")).select("document_id"))
+    for _ in range(2):  # document 3 has no rows any more
+        replace_document_rows(rows((1, "z")), path, rows((1, ""), (3, "")).select("document_id"))
+    want = [(1, "z"), (2, "c")]
+    assert sorted((r.document_id, r.v) for r in read_document_rows(spark, path).collect()) == want
+    compact_document_rows(spark, path, f"{path}2")
+    assert sorted((r.document_id, r.v) for r in read_document_rows(spark, f"{path}2").collect()) == want
+    assert spark.read.parquet(f"{path}2/rows").count() == 2
+
+
+def test_ingest_newest_revision_and_blank_documents(spark, tmp_path):
+    def batch(*docs):
+        N.ingest_batch(spark.createDataFrame(list(docs), "document_id long, text string, content_revision long"), path)
+        return sorted((r.document_id, r.chunk_revision, r.normalized_text) for r in read_document_rows(spark, path).collect())
+
     path = str(tmp_path / "t")
-    replace_document_rows(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "document_id long, v string"), path)
-    for _ in range(2):
-        replace_document_rows(spark.createDataFrame([(1, "z")], "document_id long, v string"), path)
-    assert sorted((r.document_id, r.v) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "c")]
+    first = batch((1, "old text of one", 1), (1, "new text of one", 2), (2, "text of two", 1))
+    assert first == [(1, 2, "new text of one"), (2, 1, "text of two")]
+    assert batch((1, "late old text", 1), (2, "text of two again", 1)) == first
+    assert batch((1, " ", 3)) == first[1:]
+    assert batch((1, "text after that is stale", 2)) == first[1:]
+
+
+def test_streamed_model_output(spark):
+    def frame(text):
+        return "data: " + json.dumps({"choices": [{"delta": {"content": text}}]})
+
+    lines = [": hello", frame('{"type":"claim","te'), "", "{broken", frame('xt":"real"}\n{"type":"no'), frame('te"}\nnot json\n'), frame('{"type":"final","answerStatus":"answered"}'),
+             "data: [DONE]", frame('\n{"type":"claim","text":"late"}\n')]
+    many = [frame('{"type":"claim","text":"%d"}\n' % i) for i in range(25)] + [frame('{"type":"final"}\n')]
+    ended = [frame('{"type":"final"}\n{"type":"claim","text":"after"}\n')]
+    rows = [(k, i, v) for k, x in (("a", lines), ("b", many), ("c", ended), ("d", ["data: [DONE]"])) for i, v in enumerate(x)]
+    got = {}
+    for r in sorted(I.parse_model_stream(spark.createDataFrame(rows, "file string, line_no long, value string")).collect(), key=lambda r: (r.file, r.seq)):
+        got.setdefault(r.file, []).append((r.type, r.text))
+    assert got == {"a": [("claim", "real"), ("final", None)], "b": [("claim", str(i)) for i in range(20)], "c": [("final", None)]}
+
+
+def test_chunk_set_hash_is_one_hash(spark):
+    """Long sets, gaps in the numbers, ids of unequal length, equal ids."""
+    sets = {1: [("c1", "x"), ("c10", "y"), ("c1", "a")], 2: [(f"{i:05d}", f"h{i}") for i in range(9000)], 3: [(str(i), "h") for i in (0, 5000)]}
+    rows = [(d, i, c, h) for d, x in sets.items() for i, (c, h) in enumerate(x)]
+    df = spark.createDataFrame(rows, "document_id long, chunk_index long, chunk_id string, content_hash string").repartition(7)
+    got = {r.document_id: (r.set_hash, r.n_chunks) for r in Q.chunk_set_hash(df).collect()}
+    assert got == {d: (hashlib.sha256("\n".join(f"{c}:{h}" for c, h in sorted(x)).encode()).hexdigest(), len(x)) for d, x in sets.items()}
+
+
+def test_rates_round_half_to_even(spark):
+    rows = [(i, "x", "a" if i else "b", False) for i in range(32)]
+    df = spark.createDataFrame(rows, "case_id long, category string, name string, final_pass boolean").withColumn("final_pass", F.col("case_id") == 0)
+    assert E.category_rates(df).first().pass_rate == 0.0312
 
 
 def test_stream_equals_batch(spark, tmp_path):
