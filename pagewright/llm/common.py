@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.session import shared_folder
+
 #: Bytes of text that a Python worker looks at together; a longer text is looked at alone.
 SLICE_BYTES = 4_000_000
 
@@ -143,6 +146,13 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table as it is once written to the shared folder: what follows reads it, and what led to it is not done again."""
+    folder = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def with_row_key(docs: DataFrame, columns: list[str]) -> DataFrame:
     """`row_key` of a row beside some of its columns; the same when a part of the job runs again."""
     return docs.select(F.monotonically_increasing_id().alias("row_key"), *columns)

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import STEP, Powers, Words, grams, mix, runs, slices, texts_of
+from pagewright.llm.common import STEP, Powers, Words, grams, mix, runs, slices, stored, texts_of
 from pagewright.llm.fmindex import FmIndex
 from pagewright.llm.jaccard import NO_ID, keyed  # noqa: F401
 
 #: Words of a window, and of the hashes that stretches are found by.
 WINDOW = 35
-GRAM = 10
+GRAM = 7
 #: Words of a shard; a smallest hash with more stretches than MANY is counted window by window.
 SHARD_WORDS = 400_000
 MANY = 8_192
@@ -211,13 +211,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """id, text_hash, start, stop of spans of words whose windows start in more than one place; rows() names id and hash.
 
-    docs: rows of keyed(). Spans of a text may overlap. Rows that are repeated whole count as places of their own.
+    docs: rows of keyed(). What is repeated at all is written to the shared folder, and read from there. Spans of a text may overlap. Rows that are repeated whole count as places of their own.
     """
     found = docs.mapInArrow(_find(window, gram), FOUND)
     several = found.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.max("multiple").alias("multiple"))
     several = several.filter("n > 1 or multiple").select("key", (F.col("multiple") | (F.col("low") != F.col("high"))).alias("search"))
-    open_ = found.drop("multiple").join(several, "key")
+    open_ = stored(found.drop("multiple").join(several, "key"))
     contents = open_.groupBy("key", "content").agg(F.count("*").alias("copies"), F.max("search").alias("search"), F.min(F.struct("id", "text_hash", "start", "size")).alias("one"))
+    contents = stored(contents)
     # stretches that are found twice as wholes
     whole = contents.filter("copies > 1").select("key", "content")
     spans = open_.join(whole, ["key", "content"]).select("id", "text_hash", "start", (F.col("start") + F.col("size")).alias("stop"))
@@ -227,8 +228,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     asked = asked.join(keys, "key").select("key", "many", "copies", "one.*")
     wanted = asked.groupBy("id", "text_hash").agg(F.collect_list(F.struct("key", "many", "copies", "start", "size")).alias("wanted"))
     # repeated rows are the same text: one of them is enough
-    texts = docs.join(wanted, ["id", "text_hash"]).select("id", "text_hash", "text", "wanted")
-    fetched = texts.mapInArrow(_fetch, FETCHED).dropDuplicates(["key", "id", "text_hash", "start"])
+    texts = docs.join(wanted, ["id", "text_hash"]).select("id", "text_hash", "text", "wanted").dropDuplicates(["id", "text_hash"])
+    fetched = texts.mapInArrow(_fetch, FETCHED)
     few = fetched.filter("not many").select("key", "copies", "id", "text_hash", "start", "words")
     searched = few.repartition("key").sortWithinPartitions("key").mapInArrow(_search(window), SPANS)
     single = fetched.filter("many").select("copies", "id", "text_hash", "start", "words").mapInArrow(_windows(window), f"hash1 bigint, hash2 bigint, copies bigint, {SPANS}")
