@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from pagewright import settings as S
 from pagewright.functions import text as T
+from pagewright.operators import search as R
 
 
 # --- retrieval context -------------------------------------------------------------------------
@@ -37,6 +38,15 @@ def retrieve_context(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def retrieve(questions: DataFrame, chunks: DataFrame, embed=None) -> DataFrame:
+    """Context of questions (query_id, document_id, query): hybrid search where there is an embedder, else any-word keywords."""
+    if embed is not None:
+        asked = questions.withColumns({"mode": F.lit("hybrid"), "limit": F.lit(S.QA_SEARCH_LIMIT)})
+        return retrieve_context(R.hybrid_search(asked, chunks, embed).select("query_id", "chunk_id", "rank"), chunks)
+    best = R._best(R.keyword_hits(questions, chunks, match_all=False), F.lit(S.QA_SEARCH_LIMIT))
+    return retrieve_context(best.select("query_id", "chunk_id", F.col("place").cast("bigint").alias("rank")), chunks)
+
+
 def recent_history(messages: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Last eight usable turns of every thread before a sequence number (thread_id, before_seq)."""
     usable = messages.filter((F.col("role") == "user") | F.col("status").isin("completed", "conflicting_evidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright import settings as S
+from pagewright.functions import vectors as X
 from pagewright.operators import qa as Q
 from pagewright.operators import search as R
 from pagewright.plans import oracle_views as V
@@ -22,7 +23,7 @@ def answers(spark, folder):
     """One model answer per page."""
     m = C.message_id()
     return C.v_pages(spark, folder).select(
-        m.alias("message_id"), "document_id", F.substring("raw_text", 1, 5000).alias("answer"),
+        m.alias("message_id"), "document_id", F.col("raw_text").alias("answer"),
         C.pick(m % 4, ("answered", "conflicting_evidence", "answered", "not_found")).alias("answer_status"),
         F.array(F.lit(" "), F.concat(F.lit(" a"), m.cast("string")), F.lit("b"), F.lit("c "), F.lit("d")).alias("follow_ups"),
     )
@@ -75,7 +76,7 @@ SELECT DISTINCT a.message_id FROM (SELECT message_id, claim_no, len({V.markers_i
 JOIN (SELECT message_id, claim_no, len({V.markers_in('claim_text')}) > 0 AS neg, {V.subject('claim_text')} AS subj FROM o_ujudged WHERE reason IS NULL) b
  ON a.message_id=b.message_id AND a.neg AND NOT b.neg AND len(list_intersect(a.subj, b.subj)) >= {S.CONFLICT_MIN_SHARED}"""
 VIEWS["o_answers"] = f"""
-SELECT document_id*1000000+page_number AS message_id, document_id, substr(raw_text, 1, 5000) AS answer, {V.pick('(document_id*1000000+page_number) % 4', ("answered", "conflicting_evidence", "answered", "not_found"))} AS answer_status FROM v_pages"""
+SELECT document_id*1000000+page_number AS message_id, document_id, raw_text AS answer, {V.pick('(document_id*1000000+page_number) % 4', ("answered", "conflicting_evidence", "answered", "not_found"))} AS answer_status FROM v_pages"""
 VIEWS["o_verified"] = f"""
 SELECT a.message_id, coalesce(n, 0) AS n_claims, coalesce(s, 0) AS n_supported, substr({V.strip('answer')}, 1, {S.ANSWER_MAX_CHARS}) AS answer,
   CASE WHEN x.message_id IS NULL THEN 'not_found' WHEN coalesce(s,0)=0 THEN 'insufficient_evidence' WHEN s >= 2 AND (answer_status='conflicting_evidence' OR k.message_id IS NOT NULL) THEN 'conflicting_evidence' ELSE 'completed' END AS status
@@ -88,9 +89,15 @@ WITH ranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) AS copy FROM (SELECT r.query_id, r.rank, v.chunk_id, v.content_hash, substr(v.normalized_text, 1, 3000) AS text FROM ranked r JOIN v_chunks v USING (chunk_id) WHERE rank <= 8))
 SELECT query_id, rank, chunk_id, total::BIGINT AS total FROM (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c WHERE copy = 1) WHERE total <= 12000 OR place = 1""")
 def _retrieve_context(spark, folder):
-    hits = R.keyword_hits(C.v_queries(spark, folder), C.v_chunks(spark, folder), match_all=False)
-    ranked = R._best(hits, F.lit(S.QA_SEARCH_LIMIT)).withColumnRenamed("place", "rank").select("query_id", "chunk_id", F.col("rank").cast("bigint"))
-    return Q.retrieve_context(ranked, C.v_chunks(spark, folder)).select("query_id", "rank", "chunk_id", "total")
+    return Q.retrieve(C.v_queries(spark, folder), C.v_chunks(spark, folder)).select("query_id", "rank", "chunk_id", "total")
+
+
+@query("retrieve_context_hybrid", """
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) AS copy FROM (SELECT r.query_id, r.rank, v.chunk_id, v.content_hash, substr(v.normalized_text, 1, 3000) AS text FROM o_q_top r JOIN v_chunks v USING (chunk_id)))
+SELECT query_id, rank, chunk_id, total::BIGINT AS total FROM (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c WHERE copy = 1) WHERE total <= 12000 OR place = 1""")
+def _retrieve_context_hybrid(spark, folder):
+    found = Q.retrieve(C.v_queries(spark, folder), C.v_chunks(spark, folder), X.deterministic_embedding)
+    return found.select("query_id", "rank", "chunk_id", "total")
 
 
 @query("recent_history", """SELECT thread_id, sequence_number, role, content FROM (SELECT m.thread_id, sequence_number, role, substr(content, 1, 2000) AS content, row_number() OVER (PARTITION BY m.thread_id ORDER BY sequence_number DESC) AS age

@@ -71,10 +71,10 @@ over_lines("text_preview", lambda: {"preview": T.text_preview("text")}, {"previe
 def think():
     return F.concat(F.substring("text", 1, 20), F.lit("<Think>"), F.substring("text", 21, 30), F.lit("\n</think> "),
                  F.substring("text", 51, 40), F.when(F.col("line_no") % 2 == 1, "<THINK> open").otherwise(""),
-                 F.substring("text", 91, 50))
+                 F.substr(F.col("text"), F.lit(91)))
 over_lines(
     "strip_thinking", lambda: {"answer": T.strip_thinking(think())},
-    {"answer": V.strip("regexp_replace(regexp_replace(substr(text,1,20)||'<Think>'||substr(text,21,30)||chr(10)||'</think> '||substr(text,51,40)||CASE WHEN line_no%2=1 THEN '<THINK> open' ELSE '' END||substr(text,91,50), '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*', '', 'g')")},
+    {"answer": V.strip("regexp_replace(regexp_replace(substr(text,1,20)||'<Think>'||substr(text,21,30)||chr(10)||'</think> '||substr(text,51,40)||CASE WHEN line_no%2=1 THEN '<THINK> open' ELSE '' END||substr(text,91), '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*', '', 'g')")},
 )
 over_lines("extract_numbers", lambda: {"numbers": joined(T.extract_numbers("text"))}, {"numbers": joined_sql(V.numbers("text"))})
 over_lines("word_tokens", lambda: {"tokens": joined(F.array_sort(T.word_tokens("text")))},
