@@ -160,6 +160,15 @@ _ENTRY = pa.schema(
 _ENTRY_DDL = "document_id long, shard long, in_size long, in_tag string, in_groups long, in_label string"
 
 
+def _together(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key in one task.
+
+    Spark leaves out a shuffle on the columns that a join before it already used, and may then read that join's input in
+    another way, as what follows here asks for no clustering that Spark knows of; a hash of the columns is not left out.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def _entry_states(df: DataFrame, order, rule) -> DataFrame:
     """Entry state of every shard of the documents that span several shards."""
     wide = df.filter("shard > 0").select("document_id").distinct()
@@ -172,7 +181,7 @@ def _entry_states(df: DataFrame, order, rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _REPORT)], schema=_REPORT)
 
     reports = (
-        items.repartition("document_id", "shard").sortWithinPartitions("document_id", "shard", *order)
+        _together(items, "document_id", "shard").sortWithinPartitions("document_id", "shard", *order)
         .mapInArrow(report, _REPORT_DDL)
     )
 
@@ -237,4 +246,4 @@ def fold(df: DataFrame, order: list[str], rule, group: str, label: str | None =
                 names.append(label)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return df.repartition("document_id", "shard").sortWithinPartitions("document_id", "shard", *order).mapInArrow(run, ddl)
+    return _together(df, "document_id", "shard").sortWithinPartitions("document_id", "shard", *order).mapInArrow(run, ddl)

@@ -256,7 +256,8 @@ def chunk_set_hash(chunks: DataFrame, key: str = "document_id") -> DataFrame:
         if digest is not None:
             yield row()
 
-    ordered = rows.repartition(key).sortWithinPartitions(key, "line_id", "line_hash")
+    # a hash of the key: Spark would leave out a shuffle on the column itself after a join on it
+    ordered = rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, "line_id", "line_hash")
     return ordered.mapInArrow(run, f"`{key}` {kind.simpleString()}, set_hash string, n_chunks bigint")
 
 

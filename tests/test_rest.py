@@ -7,11 +7,14 @@ import json
 from pyspark.sql import functions as F
 
 from pagewright import settings as S
+from pagewright.operators import chunks as K
 from pagewright.operators import evaluation as E
+from pagewright.operators import layout as L
 from pagewright.operators import lifecycle as Y
 from pagewright.operators import qa as Q
 from pagewright.operators import search as R
 from pagewright.operators import summary as U
+from pagewright.sources import corpus as C
 from pagewright.sources import files as I
 from pagewright.sources.sinks import compact_document_rows, read_document_rows, replace_document_rows
 from pagewright.streaming import answers as W
@@ -162,6 +165,27 @@ def test_rates_round_half_to_even(spark):
     assert E.category_rates(df).first().pass_rate == 0.0312
 
 
+def test_short_shards_change_nothing(spark, monkeypatch):
+    """Bands, chunks and groups with shards of two pages and three drafts are those with whole documents in a shard."""
+    folder = "/root/testdata/sf0.001"
+    docs = C.v_documents(spark, folder)
+
+    def made():
+        texts = C.documents(spark, folder, "doc_id", "text").withColumnRenamed("doc_id", "document_id").filter("document_id between 40 and 52")
+        pages = C.pages_of(texts)
+        blocks = C.blocks_of(texts)
+        sheet = L.lay_out(blocks, C.tables_of(blocks), C.images_of(pages))
+        bands = sheet.select("document_id", "page_number", "block_id", "is_header", "is_footer").collect()
+        chunks = K.build_chunks(sheet, docs)
+        groups = U.group_chunks(chunks).select("document_id", "chunk_index", "content_hash", "position").collect()
+        return sorted(map(str, bands)), sorted(map(str, groups))
+
+    whole = made()
+    monkeypatch.setattr(S, "PAGES_PER_SHARD", 2)
+    monkeypatch.setattr(S, "DRAFTS_PER_SHARD", 3)
+    assert made() == whole
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = [(m, s, "claim", f"alpha beta {m} {s}" if s % 3 else "nothing shared", ["k"]) for m in range(8) for s in range(1, 7)] + [(m, 50, "final", None, None) for m in range(0, 8, 2)]
     df = spark.createDataFrame(events, "message_id long, event_seq long, type string, text string, source_chunk_ids array<string>")
