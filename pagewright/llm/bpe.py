@@ -29,7 +29,7 @@ from pagewright.llm.common import slices
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pieces and words that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Pairs of tokens that a worker remembers before it starts anew.
 REMEMBERED_PAIRS = 2_000_000
 
@@ -98,7 +98,7 @@ class BytePairs:
         self.cut = regex.compile(r" (?=\S)")
         self.odd = regex.compile(r" (?!\S)")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self._forget()
+        self.forget()
         self.pairs, self.fits = np.empty(0, np.int64), np.empty(0, bool)
         self.checked = self.merged = 0
 
@@ -138,7 +138,8 @@ class BytePairs:
             own[t] &= own[self.left[t]] and own[self.right[t]]
         return own
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop what is remembered of pieces and words, as at the end of a part of the table."""
         self.pieces, self.known = Memo(), {}
         self.flat, self.offsets = array("I"), array("q", [0])
         for text, i in self.special.items():
@@ -260,7 +261,7 @@ class BytePairs:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         if len(self.pieces) > REMEMBERED:
-            self._forget()
+            self.forget()
         cut = [self._pieces(t or "") for t in texts]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         which = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
@@ -307,6 +308,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(counts)], [*names, "token_ids", "n_tokens"])
+        model.forget()
 
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias("token_ids"), F.lit(None).cast("bigint").alias("n_tokens")).schema)
 
@@ -344,6 +346,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in each]),
                     pa.array([hashlib.sha256(model.decode(x).encode()).hexdigest() for x in each]),
                 ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.forget()
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

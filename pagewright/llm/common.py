@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagewright.session import shared_folder
 
 #: Bytes of text that a Python worker looks at together; a longer text is looked at alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 #: Odd multipliers of the hashes.
 BASE = 0x9E3779B97F4A7C15 | 1

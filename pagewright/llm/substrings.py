@@ -31,7 +31,7 @@ from pagewright.llm.jaccard import NO_ID, keyed  # noqa: F401
 WINDOW = 35
 GRAM = 7
 #: Words of a shard; a smallest hash with more stretches than MANY is counted window by window.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 250_000
 MANY = 8_192
 
 _POWERS = Powers(STEP)
