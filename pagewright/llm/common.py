@@ -109,7 +109,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; positions near the end hold what is no n-gram."""
     out = hashes.copy()
     times = 1
-    for j in range(1, n):
+    for j in range(1, min(n, len(hashes))):
         times = times * STEP % (1 << 64)
         out[: len(out) - j] += hashes[j:] * np.uint64(times)
     return mix(out)

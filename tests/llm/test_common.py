@@ -19,6 +19,15 @@ def test_words_and_hashes():
     assert len(common.Words([]).starts) == 0 and len(common.Words([b""]).hashes()) == 0
 
 
+def test_grams_of_few_words():
+    for n in (1, 2, 3, 5, 8):
+        for k in range(10):
+            hashes = common.Words([b"a b c d e f g h i"[: max(0, 2 * k - 1)]]).hashes()
+            longer = np.concatenate([hashes, common.Words([b"z " * n]).hashes()])
+            assert len(hashes) == k and np.array_equal(common.grams(hashes, n)[: max(0, k - n + 1)], common.grams(longer, n)[: max(0, k - n + 1)])
+            assert len(common.grams(hashes, n)) == k
+
+
 def test_slices_and_runs():
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n else None for n in (0, 3, 9, 30, 1, 2)])], ["text"])
     assert [x.num_rows for x in common.slices(batch, "text", 10)] == [2, 1, 1, 2]

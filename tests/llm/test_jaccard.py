@@ -66,6 +66,17 @@ def test_one_of_each(spark):
     assert {(r.doc_id, r.text) for r in got} <= {r[:2] for r in rows}
 
 
+def test_slice_of_few_words():
+    seen = set()
+    for k in range(1, 10):
+        hashes, ends, counts = jaccard.shingles([" ".join("abcdefghi"[:k]).encode()])
+        assert counts.tolist() == [k] and ends.tolist() == [len(hashes)] == [max(1, k - 4)]
+        seen.add(int(hashes[0]))
+        both = jaccard.shingles([" ".join("abcdefghi"[:k]).encode(), b"z z z z z z z z z"])[0]
+        assert np.array_equal(both[: len(hashes)], hashes)
+    assert len(seen) == 5
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, class_id int")
     assert jaccard.join(docs).count() == 0 and jaccard.one_of_each(docs).count() == 0

@@ -58,6 +58,13 @@ def test_measures():
     assert [quality.SCRIPTS[s] for s in m["script"]] == ["latin", "latin", "none", "cyrillic", "latin"]
 
 
+def test_slice_of_few_words():
+    model = quality.vocabularies(vocabulary_path("piece_bpe_32k.model"), vocabulary_path("byte_bpe_50k.tiktoken"))
+    for k in range(10):
+        m = quality.measures([" ".join("abcdefghi"[:k]).encode()], model)
+        assert m["n_words"].tolist() == [k] and m["n_repeat_words"].tolist() == [0]
+
+
 def test_verdict(spark):
     good = "The engine reads the table, counts what it finds there, and writes one short row for each of the documents that it was given today."
     rows = [(1, good), (2, " ".join(w + "%%%" for w in good.split())), (3, " ".join(["stutter"] * 7 + ["of"] * 7 + ["thing"] * 8)), (4, "ᚠᚢᚦᚨᚱᚲ " * 5 + " ".join(f"ᚠ{i}ᚢᚦ" for i in range(40))),
