@@ -131,7 +131,7 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     of = of[shared]
     column = np.unique(column, return_inverse=True)[1] if len(column) else column
     both = np.zeros((n, n), np.float32)
-    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + COLUMNS, COLUMNS))
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 1 + COLUMNS, COLUMNS))  # the last cut lies past all columns
     for a, b in zip(cuts, cuts[1:]):
         if a == b:
             continue

@@ -66,6 +66,21 @@ def test_one_of_each(spark):
     assert {(r.doc_id, r.text) for r in got} <= {r[:2] for r in rows}
 
 
+def test_all_shared_grams_count():
+    for n in (1, 2, jaccard.COLUMNS, jaccard.COLUMNS + 1, 2 * jaccard.COLUMNS, 2 * jaccard.COLUMNS + 1):
+        x = jaccard.mix(np.arange(n, dtype=np.uint64))
+        # the pair is at the threshold, and below it without any one of its common n-grams
+        good = jaccard.similar([x, np.append(x, np.arange(n // 4, dtype=np.uint64) + np.uint64(7))], n / (n + n // 4))
+        assert good[0, 1] and good[1, 0], n
+
+
+def test_repeated_word(spark):
+    rows = [(1, " ".join(["again"] * 6)), (2, " ".join(["again"] * 7)), (3, " ".join(["other"] * 9)), (4, " ".join(["again"] * 30))]
+    assert _got(spark, rows) == _brute(rows) == [(1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [1, 3]
+
+
 def test_slice_of_few_words():
     seen = set()
     for k in range(1, 10):
