@@ -22,8 +22,12 @@ CLASSES = (
     ("hex", r"(?<![0-9A-Za-z+/_=-])(?:[0-9A-F]{24,})(?![0-9A-Za-z+/_=-])", 24, 3.0),
     ("base64", r"(?<![0-9A-Za-z+/_=-])(?=[0-9A-Za-z+/_=-]*[0-9])(?=[0-9A-Za-z+/_=-]*[a-z])(?=[0-9A-Za-z+/_=-]*[A-Z])[0-9A-Za-z+/_=-]{24,}", 24, 4.0),
 )
-#: Candidates that hold one of these are no secrets: examples and placeholders, and names that are made of words.
+#: Strings that hold one of these are no secrets: examples and placeholders, and names that are made of words.
 ALLOWED = r"(?i)example|sample|placeholder|dummy|changeme|xxxx|test_?key|your_|0123456789|abcdefgh|(?:[a-z]{3,}[/_-]){3}"
+#: Where a candidate that the allow-list knows is cut, so that a name or a path speaks for itself only: at what assigns, at
+#: names made of three words or more, and at path segments of letters with a placeholder. Words are bounded, as Java recurses.
+CUTS = (r"=++(?!\z)|(?<![0-9A-Za-z])(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+){1,4}+[/_-]){3,12}"
+        r"|(?<![0-9A-Za-z_-])[A-Za-z_-]{0,64}(?i:example|sample|placeholder|dummy|changeme|test_?key|your_)[A-Za-z_-]{0,64}/")
 
 
 SPANS = "array<struct<start:bigint,kind:int,end:bigint,match:string>>"
@@ -93,11 +97,20 @@ def base_spans(text: Column) -> Column:
 
 
 def entropy_spans(text: Column) -> Column:
-    """Spans of candidates with a window of high entropy, without those that the allow-list knows."""
-    def high(window: int, bits: float):
-        return lambda s: F.when(s["match"].rlike(ALLOWED), F.lit(False)).otherwise(highest_entropy(s["match"], window) >= bits)
+    """Spans of candidates with a window of high entropy.
 
-    found = [F.filter(spans(text, pattern, "entropy"), high(window, bits)) for _, pattern, window, bits in CLASSES]
+    Of a candidate that the allow-list knows, the parts between cuts are candidates, without those that it knows, too; the
+    span is the whole, with the names.
+    """
+    def high(pattern: str, window: int, bits: float):
+        def of(s: Column) -> Column:
+            parts = F.filter(F.split(s["match"], CUTS, -1), lambda p: p.rlike(pattern) & ~p.rlike(ALLOWED))
+            parts = F.when(s["match"].rlike(ALLOWED), parts).otherwise(F.array(s["match"]))
+            return F.exists(parts, lambda p: highest_entropy(p, window) >= bits)
+
+        return of
+
+    found = [F.filter(spans(text, pattern, "entropy"), high(pattern, window, bits)) for _, pattern, window, bits in CLASSES]
     return F.array_sort(F.concat(*found))
 
 

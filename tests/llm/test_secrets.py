@@ -54,6 +54,19 @@ def test_entropy(spark):
         assert abs(r.e - _entropy(r.w, 20)) < 1e-9 and r.z == 0
 
 
+def test_names_and_paths_do_not_hide_secrets(spark):
+    blob, slashed = "q9Zt4LwX7bVn2RkP0sHd5MfJ8cYa", "wJbkrXUtnFQMI/K7MDENG/bPxRfiCYzTq2VwLKeY"
+    hidden = [f"AWS_SECRET_ACCESS_KEY={blob}", f"AWS_SECRET_ACCESS_KEY={slashed}", f"host/services/incoming/webhooks/{blob}", f"EXAMPLE_KEY={blob}", f"samples/{blob}", f"your_name={blob}==",
+              f"live_signing_secret_{blob}", f"a/b/example/services/incoming/webhooks/T00/{blob}", f"one_two_three_four={blob}=five"]
+    known = [f"EXAMPLE{blob}", f"KEY=EXAMPLE{blob}", f"AWS_SECRET_ACCESS_KEY=your_{blob}", "some_long_name_of_many_words_Number_1_and_more_words", "Services/incoming/webhooks/of/the/year/2024/and/more",
+             "SECRET_ACCESS_KEY_NAME=" + "aB1" * 12, "some_name_of_words=" + "x" * 40 + "A1"]
+    rows = [(i, f"see {x} there") for i, x in enumerate(hidden + known)] + [(900, "k" * 20_000 + "=b1C_" + "abc_def_ghi_" * 5_000), (901, "ab_Cd1" * 10_000 + "sample/")]
+    found = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, x in enumerate(hidden + known):
+        assert found[i] == (f"entropy:4:{4 + len(x)}" if i < len(hidden) else ""), x
+    assert found[900] == found[901] == ""
+
+
 def test_entropy_spans_allow_list_and_redaction(spark):
     blob = "q9Zt4LwX7bVn2RkP0sHd5MfJ8cYa"
     rows = [(1, f"é key {blob} end", "c"), (2, f"key EXAMPLE{blob}", "c"), (3, "thhendanaathehathereistheon " * 5, "c"), (4, f'token = "{blob}" and AKIA1234567890ABCD.', "c"),
