@@ -19,7 +19,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidates for entropy: strings of one class of characters; the class, its characters, the least length, the window, and
 #: bits per character that a window must reach.
 CLASSES = (
-    ("hex", r"(?<![0-9A-Za-z+/_=-])(?:[0-9A-F]{24,})(?![0-9A-Za-z+/_=-])", 24, 3.0),
+    ("hex", r"(?<![0-9A-Za-z+])(?:[0-9A-F]{24,})(?![0-9A-Za-z+])", 24, 3.0),
+    ("lower hex", r"(?<![0-9A-Za-z+])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{24,}(?![0-9A-Za-z+])", 24, 3.0),
+    ("upper", r"(?<![0-9A-Za-z+])(?=[0-9A-F]*[G-Z])(?=[A-Z]*[0-9])[0-9A-Z]{24,}(?![0-9A-Za-z+])", 24, 3.4),
+    ("lower", r"(?<![0-9A-Za-z+])(?=[0-9a-f]*[g-z])(?=[a-z]*[0-9])[0-9a-z]{24,}(?![0-9A-Za-z+])", 24, 3.4),
     ("base64", r"(?<![0-9A-Za-z+/_=-])(?=[0-9A-Za-z+/_=-]*[0-9])(?=[0-9A-Za-z+/_=-]*[a-z])(?=[0-9A-Za-z+/_=-]*[A-Z])[0-9A-Za-z+/_=-]{24,}", 24, 4.0),
 )
 #: Strings that hold one of these are no secrets: examples and placeholders, and names that are made of words.
@@ -110,8 +113,9 @@ def entropy_spans(text: Column) -> Column:
 
         return of
 
-    found = [F.filter(spans(text, pattern, "entropy"), high(pattern, window, bits)) for _, pattern, window, bits in CLASSES]
-    return F.array_sort(F.concat(*found))
+    *narrow, wide = [F.filter(spans(text, pattern, "entropy"), high(pattern, window, bits)) for _, pattern, window, bits in CLASSES]
+    # one span for a place: strings of letters of one case and digits can lie in one of the last class
+    return let(wide, lambda w: F.array_sort(F.concat(w, F.filter(F.concat(*narrow), lambda s: ~F.exists(w, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]))))))
 
 
 def _named(spans_of: Column) -> Column:

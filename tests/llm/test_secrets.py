@@ -67,6 +67,21 @@ def test_names_and_paths_do_not_hide_secrets(spark):
     assert found[900] == found[901] == ""
 
 
+def test_classes_of_one_case(spark):
+    keys = ["0A1B9C8D7E6F5A4B3C2D1E0F" * 2, "JBSWY3DPEHPK3PXPQ7LM2ZT5K4RA", "q9zt4lwx7bvn2rkp0shd5mfj8cya", "0a1b9c8d7e6f5a4b3c2d1e0f"]
+    rows, want = [], []
+    for key in keys:
+        for before in ("", "AES_KEY=", "key-", "k_", "host/path/", "é "):
+            rows.append((len(rows), before + key + " ."))
+            want.append((len(before), len(before) + len(key)))
+    rows += [(800, "A" * 30 + "1"), (801, "thhendanaathehathereistheon1"), (802, "THHENDANAATHEHATHEREISTHEON"), (803, "Key_Ab1=0A1B9C8D7E6F5A4B3C2D1E0F")]
+    found = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (a, b) in enumerate(want):
+        # in a candidate of all classes of characters, the place may be found with its name
+        assert found[i] in (f"entropy:{a}:{b}", f"entropy:0:{b}"), rows[i]
+    assert found[800] == found[801] == found[802] == "" and len(found[803].split(",")) == 1
+
+
 def test_entropy_spans_allow_list_and_redaction(spark):
     blob = "q9Zt4LwX7bVn2RkP0sHd5MfJ8cYa"
     rows = [(1, f"é key {blob} end", "c"), (2, f"key EXAMPLE{blob}", "c"), (3, "thhendanaathehathereistheon " * 5, "c"), (4, f'token = "{blob}" and AKIA1234567890ABCD.', "c"),
