@@ -15,8 +15,11 @@ from pagewright.session import shared_folder
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifier knows; those that are null or have no letter go."""
-    found = language.identify(docs.select(F.struct("*").alias("row"), "text"), language.train(docs))
+    """Documents with a letter; those that are null or have none go. Where nothing can be learned, the letter alone decides."""
+    model = language.train(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs.select(F.struct("*").alias("row"), "text"), model)
     return found.filter(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 

@@ -34,6 +34,12 @@ def test_language(steps):
     assert set(after) <= set(before)
 
 
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "a", 9), (2, "12 34", None, "a", 5), (3, None, None, "a", None), (4, "日本", None, "a", 2)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.known_language(spark, docs, FOLDER)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4] and got.columns == docs.columns
+
+
 def test_near_copies(steps, spark):
     def grams(text):
         words = text.encode().split()
