@@ -239,7 +239,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int =
     rows that links hold together, and copy_of that of the rows with the same words. Null and empty texts have no n-grams and
     no links, and are classes of their own. Ids may repeat, and null ids come last. Other columns are not read. An empty
     table gives an empty result. Texts are read whole; they move once to meet the list of candidates, and those of candidates
-    once more, to their blocks.
+    once more for each block of their component: n different texts of one component move n * ceil(n / BLOCK) times, or more
+    often where BLOCK_WORDS makes more blocks, which grows with the square of a component's size.
     """
     found = _linked(docs, n, threshold, rows, recall)
     names = [F.when(F.col(c) != NO_ID, F.col(c)).alias(d) for c, d in (("id", "doc_id"), ("class_id", "class_id"), ("copy_of", "copy_of"))]
