@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pagewright import settings as S
 from pagewright.functions import text as T
 from pagewright.operators import search as R
+from pagewright.operators.index import TextIndex, index_of
 
 
 # --- retrieval context -------------------------------------------------------------------------
@@ -38,12 +39,14 @@ def retrieve_context(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, embed=None) -> DataFrame:
-    """Context of questions (query_id, document_id, query): hybrid search where there is an embedder, else any-word keywords."""
+def retrieve(questions: DataFrame, chunks: DataFrame, embed=None, index: TextIndex | None = None) -> DataFrame:
+    """Context of questions (query_id, document_id, query): hybrid search where there is an embedder, else any-word keywords.
+
+    `index` is the stored one of the chunks (None: made from them)."""
     if embed is not None:
         asked = questions.withColumns({"mode": F.lit("hybrid"), "limit": F.lit(S.QA_SEARCH_LIMIT)})
-        return retrieve_context(R.hybrid_search(asked, chunks, embed).select("query_id", "chunk_id", "rank"), chunks)
-    best = R._best(R.keyword_hits(questions, chunks, match_all=False), F.lit(S.QA_SEARCH_LIMIT))
+        return retrieve_context(R.hybrid_search(asked, chunks, embed, index).select("query_id", "chunk_id", "rank"), chunks)
+    best = R._best(R.keyword_hits(questions, index or index_of(chunks), match_all=False), F.lit(S.QA_SEARCH_LIMIT))
     return retrieve_context(best.select("query_id", "chunk_id", F.col("place").cast("bigint").alias("rank")), chunks)
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pagewright import settings as S
 from pagewright.functions import text as T
 from pagewright.functions import vectors as X
+from pagewright.operators.index import TextIndex, chunk_counts, index_of, matching_words, trigrams
 
 LARGEST_POOL = max(S.POOL_FACTOR * S.MAX_SEARCH_LIMIT, S.POOL_MIN)
 PAGES_PER_BUCKET = 256
-BROADCAST_BYTES = 32 * 1024 * 1024
+# parts of a document that the words of a scan are dealt to
+SCAN_PARTS = 8
 
 
 def validate_search(queries: DataFrame) -> DataFrame:
@@ -50,105 +52,67 @@ def _best(hits: DataFrame, size) -> DataFrame:
     return hits.withColumn("place", place).filter(F.col("place") <= LARGEST_POOL).filter(F.col("place") <= size)
 
 
-def _trigrams(c):
-    """All three-character pieces; the look-ahead finds one at every position in a single pass."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?s)(?=(.{3}))"), 1)
-
-
 def build_trigram_index(chunks: DataFrame) -> DataFrame:
     """Distinct three-character pieces of text and title, as rows (trigram, document_id, chunk_id)."""
-    pieces = F.array_distinct(F.concat(_trigrams(F.col("normalized_text")), _trigrams(F.coalesce("section_title", F.lit("")))))
+    pieces = F.array_distinct(F.concat(trigrams(F.lower("normalized_text")), trigrams(F.lower(F.coalesce("section_title", F.lit(""))))))
     return chunks.select("document_id", "chunk_id", F.explode(pieces).alias("trigram"))
 
 
-def count_trigrams(chunks: DataFrame) -> DataFrame:
-    """Chunks per trigram (stored beside an index; computed when it is not given)."""
-    return build_trigram_index(chunks).groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
-
-
-def index_tokens():
-    """Length of an index row: its trigrams in text and title."""
-    return F.greatest(F.length("normalized_text") - 2, F.lit(0)) + F.greatest(F.length(F.coalesce("section_title", F.lit(""))) - 2, F.lit(0))
+def _exploded(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "document_id", "limit", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("pos", "term"))
 
 
-def term_counts(terms: DataFrame, chunks: DataFrame, trigram_counts: DataFrame | None = None) -> DataFrame:
-    """Number of chunks in the whole index that contain each term, in text or title.
-
-    A chunk is a candidate when it holds the rarest trigram of the term, by `trigram_counts`
-    (trigram, n), and is then verified on its text.  While the terms are
-    small they are broadcast: candidates are verified and counted inside the scan, and only counts are
-    shuffled.  Beyond that size candidates are found by a shuffle join and verified on chunk_id.
-    """
-    words = terms.select("term").distinct()
-    pieces = words.select("term", F.posexplode(F.array_distinct(_trigrams(F.col("term")))).alias("pos", "trigram"))
-    if trigram_counts is None:
-        trigram_counts = count_trigrams(chunks)
-    ranked = pieces.join(trigram_counts, "trigram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    chosen = ranked.groupBy("term").agg(F.min_by("trigram", F.struct("n", "pos")).alias("trigram"))
-    body, head = F.lower("normalized_text"), F.lower(F.coalesce("section_title", F.lit("")))
-    texts = chunks.select("chunk_id", body.alias("body"), head.alias("head"))
-    found = F.array_distinct(F.concat(_trigrams(F.col("body")), _trigrams(F.col("head"))))
-    holds = F.col("body").contains(F.col("term")) | F.col("head").contains(F.col("term"))
-    size = words.agg(F.sum(F.octet_length("term") + F.lit(64))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        # the lowered texts ride along as references, so they are computed once per chunk, not per candidate
-        rows = F.transform(found, lambda t: F.struct(t.alias("trigram"), F.col("body").alias("body"), F.col("head").alias("head")))
-        hits = texts.select(F.inline(rows)).join(F.broadcast(chosen), "trigram").filter(holds)
-    else:
-        candidates = texts.select("chunk_id", F.explode(found).alias("trigram")).join(chosen, "trigram").select("chunk_id", "term")
-        hits = candidates.join(texts, "chunk_id").filter(holds)
-    return hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def _asked(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """Postings of the documents that are asked about."""
+    return index.postings.join(terms.select("document_id").distinct(), "document_id", "left_semi")
 
 
-def keyword_bm25(queries: DataFrame, chunks: DataFrame, match_all: bool = True, trigram_counts: DataFrame | None = None) -> DataFrame:
+def keyword_bm25(queries: DataFrame, index: TextIndex, match_all: bool = True) -> DataFrame:
     """BM25 hits of queries whose terms all have three characters or more; lower is better.
 
-    Statistics are over the whole index, hits are limited to the query's document.
+    Statistics are over the whole index, hits are limited to the query's document. Both come from the postings of the words that
+    hold a term; no text is read.
     """
-    long = _with_terms(queries).filter(~F.col("short") & (F.size("terms") > 0))
-    terms = long.select("query_id", "document_id", "limit", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("pos", "term"))
-    counts = term_counts(terms, chunks, trigram_counts)
-    texts = chunks.select(
-        "document_id", "chunk_id", "chunk_index", index_tokens().alias("tokens"),
-        F.lower("normalized_text").alias("body"), F.lower(F.coalesce("section_title", F.lit(""))).alias("head"),
-    )
-    hits = terms.join(texts, "document_id").filter(F.col("body").contains(F.col("term")) | F.col("head").contains(F.col("term")))
-    freq = (
-        T.overlapping_occurrences("body", "term") * S.BODY_BM25_WEIGHT
-        + T.overlapping_occurrences("head", "term") * S.TITLE_BM25_WEIGHT
-    )
-    hits = hits.withColumn("freq", freq).drop("body", "head")
-    index = chunks.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.avg(index_tokens()).alias("avgdl")).alias("s")).scalar()
+    terms = _exploded(_with_terms(queries).filter(~F.col("short") & (F.size("terms") > 0)))
+    words = matching_words(terms, index)
+    key = ["query_id", "document_id", "chunk_id", "limit", "n_terms"]
+    near = _asked(index, terms).join(words, "word").join(terms, ["document_id", "term"])
+    freq = F.sum(F.col("times") * (F.col("in_body") * S.BODY_BM25_WEIGHT + F.col("in_head") * S.TITLE_BM25_WEIGHT))
+    hits = near.groupBy(*key, "pos", "term").agg(freq.alias("freq"))
+    whole = index.stats.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.avg("tokens").alias("avgdl")).alias("s")).scalar()
     idf = F.log((F.col("s.rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     k1, b = S.BM25_K1, S.BM25_B
     part = F.col("idf") * F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * (1 - b + b * F.col("tokens") / F.col("s.avgdl")))
     scored = (
-        hits.join(counts, "term").withColumn("s", index)
+        hits.join(chunk_counts(words, index), "term").join(index.stats, ["document_id", "chunk_id"]).withColumn("s", whole)
         .withColumn("idf", F.when(idf <= 0, S.BM25_IDF_FLOOR).otherwise(idf)).withColumn("part", part)
-        .groupBy("query_id", "document_id", "chunk_id", "chunk_index", "limit", "n_terms")
-        .agg(F.round(-F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("matched"))
+        .groupBy(*key, "chunk_index").agg(F.round(-F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("matched"))
     )
     if match_all:
         scored = scored.filter("matched = n_terms")
     return scored.select("query_id", "document_id", "chunk_id", "chunk_index", "limit", "score")
 
 
-def keyword_scan(queries: DataFrame, chunks: DataFrame, match_all: bool = True) -> DataFrame:
-    """Fallback when a term is shorter than a trigram: substring test inside the query's document."""
-    short = _with_terms(queries).filter("short").select("query_id", "document_id", "limit", "terms")
-    hay = F.lower(F.concat("normalized_text", F.lit("\n"), F.coalesce("section_title", F.lit(""))))
-    j = short.join(chunks.select("document_id", "chunk_id", "chunk_index", hay.alias("hay")), "document_id")
-    present = F.filter("terms", lambda t: F.col("hay").contains(t))
-    j = j.withColumn("present", present).filter(F.size("present") > 0)
+def keyword_scan(queries: DataFrame, index: TextIndex, match_all: bool = True) -> DataFrame:
+    """Fallback when a term is shorter than a trigram: the words of the query's document are tested one by one.
+
+    A document's words are dealt to several parts, so that a large one isn't looked at by one task.
+    """
+    terms = _exploded(_with_terms(queries).filter("short"))
+    spread = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SCAN_PARTS - 1))))
+    words = _asked(index, terms).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(SCAN_PARTS)).cast("int"))
+    found = words.join(spread, ["document_id", "part"]).filter(F.col("word").contains(F.col("term")))
+    key = ["query_id", "document_id", "chunk_id", "limit", "n_terms"]
+    each = found.groupBy(*key, "pos").agg(F.sum(T.occurrences("word", "term") * (F.col("in_body") + F.col("in_head"))).alias("n"))
+    hits = each.groupBy(*key).agg((-F.sum("n")).cast("double").alias("score"), F.count(F.lit(1)).alias("matched"))
     if match_all:
-        j = j.filter(F.size("present") == F.size("terms"))
-    count = F.aggregate("present", F.lit(0).cast("bigint"), lambda acc, t: acc + T.occurrences("hay", t))
-    return j.select("query_id", "document_id", "chunk_id", "chunk_index", "limit", (-count).cast("double").alias("score"))
+        hits = hits.filter("matched = n_terms")
+    return hits.join(index.stats, ["document_id", "chunk_id"]).select("query_id", "document_id", "chunk_id", "chunk_index", "limit", "score")
 
 
-def keyword_hits(queries: DataFrame, chunks: DataFrame, match_all: bool = True, trigram_counts: DataFrame | None = None) -> DataFrame:
+def keyword_hits(queries: DataFrame, index: TextIndex, match_all: bool = True) -> DataFrame:
     """Both keyword legs; each query takes exactly one of them."""
-    return keyword_bm25(queries, chunks, match_all, trigram_counts).unionByName(keyword_scan(queries, chunks, match_all))
+    return keyword_bm25(queries, index, match_all).unionByName(keyword_scan(queries, index, match_all))
 
 
 def validate_vectors(df: DataFrame) -> DataFrame:
@@ -210,10 +174,10 @@ def page_proximity_bonus(candidates: DataFrame) -> DataFrame:
 
 
 def hybrid_candidates(queries: DataFrame, chunks: DataFrame, embed=X.deterministic_embedding,
-                      model: str = S.EMBEDDING_MODEL, dimension: int = S.EMBEDDING_DIMENSION, trigram_counts: DataFrame | None = None) -> DataFrame:
+                      model: str = S.EMBEDDING_MODEL, dimension: int = S.EMBEDDING_DIMENSION, index: TextIndex | None = None) -> DataFrame:
     """Scored candidates of every query.  `embed` turns a text column into a vector column (None: no
-    embeddings, so vector queries find nothing)."""
-    hits = keyword_hits(queries.filter("mode in ('keyword', 'hybrid')"), chunks, True, trigram_counts)
+    embeddings, so vector queries find nothing).  `index` is the stored one of the chunks (None: made from them)."""
+    hits = keyword_hits(queries.filter("mode in ('keyword', 'hybrid')"), index or index_of(chunks))
     kw = minmax_normalize(_best(hits, _pool_size()), invert=True).select("query_id", "document_id", "chunk_id", F.col("scaled").alias("kw"))
     if embed is None:
         vec = kw.select("query_id", "document_id", "chunk_id", F.col("kw").alias("vec")).limit(0)
@@ -236,18 +200,22 @@ def hybrid_candidates(queries: DataFrame, chunks: DataFrame, embed=X.determinist
     )
 
 
-def search_topk(candidates: DataFrame) -> DataFrame:
-    """First `limit` candidates of every query by score; raw scores are not part of the result."""
+def search_topk(candidates: DataFrame, most: int = S.MAX_SEARCH_LIMIT) -> DataFrame:
+    """First `limit` candidates of every query by score; raw scores are not part of the result.
+
+    `most` is a bound that limits keep (`validate_search` sees to it); a larger limit is an error. As a number in the plan it lets
+    Spark cut each task's rows before the shuffle.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("final"), "chunk_index")
-    df = candidates.withColumn("rank", F.row_number().over(order))
-    df = df.filter(F.col("rank") <= S.MAX_SEARCH_LIMIT).filter(F.col("rank") <= F.col("limit"))
+    limit = F.when(F.col("limit") <= most, F.col("limit")).otherwise(F.raise_error(F.lit(f"a limit is above {most}")))
+    df = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).filter(F.col("rank") <= limit)
     return df.select("query_id", "document_id", F.col("rank").cast("bigint"), "chunk_id", "match_type")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, embed=X.deterministic_embedding, trigram_counts: DataFrame | None = None, **kw) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, embed=X.deterministic_embedding, index: TextIndex | None = None, **kw) -> DataFrame:
     """Ranked results with preview, section and pages (ids join `chunk_refs` for the locations)."""
     q = validate_search(queries).filter("reject is null").drop("reject")
-    found = hybrid_candidates(q, chunks, embed, trigram_counts=trigram_counts, **kw)
+    found = hybrid_candidates(q, chunks, embed, index=index, **kw)
     placed = found.join(chunks.select("chunk_id", "chunk_index", "page_start", "page_end"), "chunk_id")
     final = page_proximity_bonus(placed).withColumn("final", F.round(F.col("base") + F.col("bonus"), 9))
     shown = chunks.select("chunk_id", T.text_preview("normalized_text").alias("preview"), "section_title", "page_start", "page_end")

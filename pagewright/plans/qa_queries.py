@@ -9,7 +9,7 @@ from pagewright.functions import vectors as X
 from pagewright.operators import qa as Q
 from pagewright.operators import search as R
 from pagewright.plans import oracle_views as V
-from pagewright.plans import search_queries  # noqa: F401  (its views are used here)
+from pagewright.plans import search_queries as SQ
 from pagewright.plans.registry import query
 from pagewright.session import per_folder
 from pagewright.sources import corpus as C
@@ -89,14 +89,14 @@ WITH ranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) AS copy FROM (SELECT r.query_id, r.rank, v.chunk_id, v.content_hash, substr(v.normalized_text, 1, 3000) AS text FROM ranked r JOIN v_chunks v USING (chunk_id) WHERE rank <= 8))
 SELECT query_id, rank, chunk_id, total::BIGINT AS total FROM (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c WHERE copy = 1) WHERE total <= 12000 OR place = 1""")
 def _retrieve_context(spark, folder):
-    return Q.retrieve(C.v_queries(spark, folder), C.v_chunks(spark, folder)).select("query_id", "rank", "chunk_id", "total")
+    return Q.retrieve(C.v_queries(spark, folder), C.v_chunks(spark, folder), index=SQ.line_index(spark, folder)).select("query_id", "rank", "chunk_id", "total")
 
 
 @query("retrieve_context_hybrid", """
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY query_id, content_hash ORDER BY rank) AS copy FROM (SELECT r.query_id, r.rank, v.chunk_id, v.content_hash, substr(v.normalized_text, 1, 3000) AS text FROM o_q_top r JOIN v_chunks v USING (chunk_id)))
 SELECT query_id, rank, chunk_id, total::BIGINT AS total FROM (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS total, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM c WHERE copy = 1) WHERE total <= 12000 OR place = 1""")
 def _retrieve_context_hybrid(spark, folder):
-    found = Q.retrieve(C.v_queries(spark, folder), C.v_chunks(spark, folder), X.deterministic_embedding)
+    found = Q.retrieve(C.v_queries(spark, folder), C.v_chunks(spark, folder), X.deterministic_embedding, SQ.line_index(spark, folder))
     return found.select("query_id", "rank", "chunk_id", "total")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright import settings as S
@@ -117,7 +118,66 @@ def test_rerun_replaces_rows(spark, tmp_path):
     assert sorted((r.document_id, r.v) for r in read_document_rows(spark, path).collect()) == want
     compact_document_rows(spark, path, f"{path}2")
     assert sorted((r.document_id, r.v) for r in read_document_rows(spark, f"{path}2").collect()) == want
-    assert spark.read.parquet(f"{path}2/rows").count() == 2
+    assert spark.read.parquet(f"{path}2/rows").count() == 2 and len(list((tmp_path / "t2" / "commits").glob("0*"))) == 1
+
+
+def test_a_write_that_dies_is_repeated_once(spark, tmp_path, monkeypatch):
+    """Death between rows, ledger and commit, at each point; then the repeat, and the clean-up."""
+    from pagewright.sources import sinks
+
+    def rows(*found):
+        return spark.createDataFrame(list(found), "document_id long, v string")
+
+    def stored():
+        return sorted((r.document_id, r.v) for r in read_document_rows(spark, path).collect())
+
+    path = str(tmp_path / "t")
+    one, docs = rows((1, "a"), (2, "b")), rows((1, ""), (2, ""), (3, "")).select("document_id")
+    with pytest.raises(FileNotFoundError):
+        read_document_rows(spark, path)
+    broken = docs.select(F.assert_true(F.lit(False)).cast("long").alias("document_id"))
+    with pytest.raises(Exception):
+        replace_document_rows(one, path, broken)  # rows are there, the ledger isn't
+    monkeypatch.setattr(sinks.Files, "create_new", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        replace_document_rows(one, path, docs)  # rows and ledger are there, the commit isn't
+    monkeypatch.undo()
+    assert sinks.ledger(spark, path) is None
+    assert replace_document_rows(one, path, docs) == 1
+    assert stored() == [(1, "a"), (2, "b")]
+    sinks.Files(spark, path).fs.create(sinks.Files(spark, path).of(f"{path}/commits/{2:020d}")).close()  # a writer died in its commit
+    assert replace_document_rows(rows((2, "c")), path, rows((2, "")).select("document_id")) == 3
+    assert stored() == [(1, "a"), (2, "c")]
+    assert sinks.remove_unreferenced(spark, path) == []
+    assert sorted(x.split("/")[0] for x in sinks.remove_unreferenced(spark, path, 0) if x.startswith("rows")) == ["rows", "rows"]
+    assert stored() == [(1, "a"), (2, "c")]
+    assert len(list((tmp_path / "t" / "rows").glob("write_attempt=*"))) == 2
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Another writer commits while this one writes: other documents are fine, the same document is a conflict."""
+    from pagewright.sources import sinks
+
+    def rows(*found):
+        return spark.createDataFrame(list(found), "document_id long, v string")
+
+    path, real = str(tmp_path / "t"), sinks.Files.create_new
+    replace_document_rows(rows((1, "a"), (2, "b")), path, rows((1, ""), (2, "")).select("document_id"))
+
+    def while_writing(document):
+        def create(self, *a):
+            monkeypatch.setattr(sinks.Files, "create_new", real)
+            replace_document_rows(rows((document, "other")), path, rows((document, "")).select("document_id"))
+            return real(self, *a)
+
+        monkeypatch.setattr(sinks.Files, "create_new", create)
+
+    while_writing(2)
+    assert replace_document_rows(rows((1, "mine")), path, rows((1, "")).select("document_id")) == 3
+    while_writing(1)
+    with pytest.raises(sinks.WriteConflict):
+        replace_document_rows(rows((1, "again")), path, rows((1, "")).select("document_id"))
+    assert sorted((r.document_id, r.v) for r in read_document_rows(spark, path).collect()) == [(1, "other"), (2, "other")]
 
 
 def test_ingest_newest_revision_and_blank_documents(spark, tmp_path):
