@@ -109,7 +109,7 @@ def polarity_consistent(markers=S.NEGATION_MARKERS) -> Column:
 
 
 def classify_claims(claims: DataFrame, context: DataFrame, markers=S.NEGATION_MARKERS) -> DataFrame:
-    """First failing rule of every claim; null reason means supported."""
+    """First failing rule of every claim; null reason means supported. `had_context`: the answer has any context."""
     df = with_context(claims, context, markers)
     reason = (
         F.when(F.col("claim_text") == "", "empty_text")
@@ -117,7 +117,7 @@ def classify_claims(claims: DataFrame, context: DataFrame, markers=S.NEGATION_MA
         .when(~numbers_grounded(), "number_not_in_source")
         .when(~lexically_grounded(markers), "not_lexically_grounded")
     )
-    return df.withColumn("reason", reason).drop("context", "cited")
+    return df.withColumns({"reason": reason, "had_context": F.col("context").isNotNull()}).drop("context", "cited")
 
 
 def rebuild_source_refs(claims: DataFrame, refs: DataFrame) -> DataFrame:

@@ -100,6 +100,67 @@ def _stream_answers(spark, folder):
     return spark.read.parquet(f"{root}/out")
 
 
+# changes while answers stream: of the revision and of the consent, some so late that only the last look can see them
+VIEWS["v_changes"] = """
+SELECT message_id, CASE message_id % 8 WHEN 1 THEN 8 WHEN 2 THEN 17 WHEN 3 THEN 900 WHEN 4 THEN 900 ELSE 9 END AS change_seq,
+  CASE WHEN message_id % 8 IN (1, 3, 5) THEN 'revision_changed' ELSE 'consent_revoked' END AS status FROM o_answers WHERE message_id % 8 BETWEEN 1 AND 5
+UNION ALL SELECT message_id, 9, 'consent_revoked' FROM o_answers WHERE message_id % 8 = 5"""
+VIEWS["o_ends"] = f"""
+SELECT message_id, coalesce(least(final_seq, beyond_seq), 1001) AS end_seq FROM o_answers LEFT JOIN (SELECT message_id, min(seq) AS final_seq FROM v_claim_events WHERE type='final' GROUP BY ALL) USING (message_id)
+LEFT JOIN (SELECT message_id, seq AS beyond_seq FROM (SELECT message_id, seq, row_number() OVER (PARTITION BY message_id ORDER BY seq) AS n FROM v_claim_events WHERE type='claim') WHERE n = {S.MAX_CLAIMS + 1}) USING (message_id)"""
+VIEWS["o_looks"] = f"""
+SELECT message_id, arg_min(status, (claim_rank, status = 'consent_revoked')) AS early, min(claim_rank) AS ended_at FROM (SELECT t.message_id, claim_rank, c.status FROM o_taken t JOIN v_changes c ON c.message_id=t.message_id AND c.change_seq <= t.seq
+ WHERE claim_rank % {S.RECHECK_EVERY_CLAIMS} = 0) GROUP BY ALL"""
+VIEWS["o_found"] = "SELECT e.message_id, arg_min(status, status = 'consent_revoked') AS late FROM o_ends e JOIN v_changes c ON c.message_id=e.message_id AND c.change_seq <= e.end_seq GROUP BY ALL"
+VIEWS["o_outcomes"] = f"""
+SELECT message_id, claims, CASE WHEN found IS NOT NULL THEN found WHEN n=0 AND NOT had THEN 'not_found' WHEN n=0 THEN 'insufficient_evidence' WHEN n >= 2 AND clash THEN 'conflicting_evidence' ELSE 'completed' END AS status,
+ CASE found WHEN 'revision_changed' THEN '{S.REVISION_CHANGED_TEXT}' WHEN 'consent_revoked' THEN '{S.CONSENT_REVOKED_TEXT}' ELSE CASE WHEN n=0 AND NOT had THEN '{S.NOT_FOUND_TEXT}' WHEN n=0 THEN '{S.INSUFFICIENT_TEXT}' ELSE content END END AS content
+FROM (SELECT a.message_id, coalesce(early, late) AS found, coalesce(n, 0) AS n, content, x.message_id IS NOT NULL AS had, coalesce(hint='conflicting_evidence', false) OR k.message_id IS NOT NULL AS clash,
+  (SELECT count(*) FROM o_shown s WHERE s.message_id=a.message_id AND (ended_at IS NULL OR claim_rank < ended_at)) AS claims
+ FROM o_answers a LEFT JOIN (SELECT message_id, count(*) AS n, string_agg(claim_text, chr(10) ORDER BY out_seq) AS content FROM o_shown GROUP BY ALL) s USING (message_id) LEFT JOIN o_sconflict k USING (message_id)
+ LEFT JOIN o_final f USING (message_id) LEFT JOIN (SELECT DISTINCT message_id FROM o_ctx) x USING (message_id) LEFT JOIN o_looks USING (message_id) LEFT JOIN o_found USING (message_id))"""
+
+
+def changes(spark, folder):
+    m = F.col("message_id") % 8
+    a = answers(spark, folder).select("message_id")
+    first = a.filter(m.between(1, 5)).select("message_id", F.when(m == 1, 8).when(m == 2, 17).when(m.isin(3, 4), 900).otherwise(9).cast("bigint").alias("change_seq"),
+                                             F.when(m.isin(1, 3, 5), "revision_changed").otherwise("consent_revoked").alias("status"))
+    return first.unionByName(a.filter(m == 5).select("message_id", F.lit(9).cast("bigint").alias("change_seq"), F.lit("consent_revoked").alias("status")))
+
+
+def ended_events(spark, folder):
+    """Events of every answer; one without a final event ends with `done`."""
+    e = C.v_claim_events(spark, folder)
+    done = answers(spark, folder).filter(F.col("message_id") % 5 == 0).select(
+        "message_id", "document_id", F.lit(1001).cast("bigint").alias("seq"), F.lit("done").alias("type"), F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("array<string>").alias("source_chunk_ids"), F.lit(None).cast("string").alias("answer_status"))
+    return e.unionByName(done)
+
+
+@query("answer_outcomes", "SELECT message_id, status, content, claims FROM o_outcomes")
+def _answer_outcomes(spark, folder):
+    """The batch twin of the live answers."""
+    return W.answer_outcomes(answers(spark, folder), ended_events(spark, folder), changes(spark, folder), context(spark, folder), M)
+
+
+@query("live_answers", "SELECT message_id, status, content, claims FROM o_outcomes")
+def _live_answers(spark, folder):
+    """Stored events and changes as two streams through keyed state; the terminal rows, and the claims that were shown."""
+    root = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.least(F.col("seq"), F.lit(60)) / 3)
+    ended_events(spark, folder).select("message_id", F.col("seq").alias("event_seq"), at.alias("event_time"), "type", "text", "source_chunk_ids", "answer_status").write.parquet(f"{root}/events")
+    changes(spark, folder).select("message_id", "change_seq", F.timestamp_seconds(F.lit(1_700_000_000)).alias("event_time"), "status").write.parquet(f"{root}/changes")
+    streams = [spark.readStream.schema(spark.read.parquet(f"{root}/{x}").schema).parquet(f"{root}/{x}") for x in ("events", "changes")]
+    with W.list_state(spark):
+        run = W.live_answers(*streams, context(spark, folder), M).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    terminal = out.filter("kind = 'terminal'").select("message_id", "status", F.col("text").alias("content"))
+    shown = out.filter("kind = 'claim'").groupBy("message_id").agg(F.count(F.lit(1)).alias("claims"))
+    return terminal.join(shown, "message_id", "left").withColumn("claims", F.coalesce("claims", F.lit(0).cast("bigint")))
+
+
 @query("incremental_ingest", "SELECT document_id, count(*) AS chunks, sum(n_refs)::BIGINT AS refs, min(content_hash) AS low_hash, max(content_hash) AS high_hash FROM o_chunks GROUP BY ALL")
 def _incremental_ingest(spark, folder):
     root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"

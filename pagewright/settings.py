@@ -92,6 +92,9 @@ STREAM_TOTAL_SECONDS = 180
 NEGATION_MARKERS = ("않", "없", "아니", "못", " 안 ", " no ", " not ", "n't", "없이")
 ACTIVE_ANSWER_STATUSES = ("pending", "streaming", "finalizing")
 NOT_FOUND_TEXT = "이 자료에서는 확인할 수 없습니다."
+REVISION_CHANGED_TEXT = "문서 내용이 변경되어 답변을 다시 만들어야 합니다."
+CONSENT_REVOKED_TEXT = "외부 전송 설정이 변경되어 답변을 중단했습니다."
+STREAM_FAILED_TEXT = "답변을 만들지 못했어요."
 INSUFFICIENT_TEXT = "문서에서 충분한 근거를 찾지 못했어요. 다른 표현으로 다시 물어봐 주세요."
 
 # --- summary -----------------------------------------------------------------

@@ -248,3 +248,61 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.message_id, r.seq, r.text) for r in out if r.kind == "claim"} == {(r.message_id, r.seq, r.claim_text) for r in shown}
     ended = [r.message_id for r in out if r.kind == "terminal"]
     assert len(ended) == len(set(ended)) and set(range(0, 8, 2)) <= set(ended)
+
+
+def _live(spark, tmp_path, events, changes, context, files=1):
+    """Terminal rows and shown claims of a stream over so many files, one after the other."""
+    ev = "message_id long, event_seq long, t long, type string, text string, source_chunk_ids array<string>, answer_status string"
+    for name, rows, ddl in (("events", events, ev), ("changes", changes, "message_id long, change_seq long, t long, status string")):
+        rows = sorted(rows, key=lambda r: r[1])
+        for k in range(files):
+            part = spark.createDataFrame(rows[k * len(rows) // files:(k + 1) * len(rows) // files], ddl).withColumn("event_time", F.timestamp_seconds("t")).drop("t")
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    streams = [spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n in ("events", "changes")]
+    with W.list_state(spark):
+        W.live_answers(*streams, spark.createDataFrame(context, "message_id long, rank long, chunk_id string, text string")).writeStream.format("parquet").option(
+            "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    return {r.message_id: (r.status, r.text) for r in out if r.kind == "terminal"}, sorted((r.message_id, r.seq, r.claim_index, r.text) for r in out if r.kind == "claim")
+
+
+def test_live_answers_end_in_real_statuses(spark, tmp_path):
+    def claim(m, s, text="alpha beta gamma delta", t=0):
+        return (m, s, 1000 + t, "claim", text, ["k"], None)
+
+    def end(m, s, kind="final", hint="answered", t=0):
+        return (m, s, 1000 + t, kind, None, None, hint)
+
+    context = [(m, 0, "k", "alpha beta gamma delta not alpha beta gamma delta 않다") for m in range(20) if m != 3]
+    events = [claim(1, 1), claim(1, 2, "nothing shared"), claim(1, 3, "alpha beta"), end(1, 9), end(1, 10, "cancel"),
+              claim(2, 1, "nothing"), end(2, 9), end(3, 9, "done", None),
+              claim(4, 1), claim(4, 2, "alpha beta gamma delta 않다"), end(4, 9),
+              claim(5, 1), claim(5, 2, "alpha gamma"), end(5, 9, hint="conflicting_evidence"),
+              *[claim(6, s) for s in range(1, 30)], end(6, 50, hint="conflicting_evidence"),
+              *[claim(7, s) for s in range(1, 8)], end(7, 9), *[claim(8, s) for s in range(1, 8)], end(8, 9),
+              claim(9, 1), end(9, 2, "cancel"), claim(10, 1), end(10, 2, "lost"), claim(11, 1), claim(11, 2, t=31), end(11, 3, t=31),
+              *[claim(12, s, t=29 * s) for s in range(1, 9)], claim(13, 1), end(13, 9)]
+    changes = [(7, 4, 1000, "consent_revoked"), (8, 6, 1000, "revision_changed"), (8, 6, 1000, "consent_revoked"), (13, 8, 1000, "revision_changed"), (1, 60, 1000, "revision_changed")]
+    got, shown = _live(spark, tmp_path, events, changes, context)
+    assert {m: s for m, (s, _) in got.items()} == {
+        1: "completed", 2: "insufficient_evidence", 3: "not_found", 4: "conflicting_evidence", 5: "conflicting_evidence", 6: "completed", 7: "consent_revoked",
+        8: "revision_changed", 9: "cancelled", 10: "interrupted", 11: "failed", 12: "failed", 13: "revision_changed"}
+    assert got[1][1] == "alpha beta gamma delta\nalpha beta" and got[2][1] == S.INSUFFICIENT_TEXT and got[3][1] == S.NOT_FOUND_TEXT and got[7][1] == S.CONSENT_REVOKED_TEXT
+    counts = {m: sum(1 for x in shown if x[0] == m) for m in got}
+    assert counts == {1: 2, 2: 0, 3: 0, 4: 2, 5: 2, 6: 20, 7: 5, 8: 5, 9: 1, 10: 1, 11: 1, 12: 7, 13: 1}
+    assert [x[1:3] for x in shown if x[0] == 6] == [(i + 1, i) for i in range(20)]
+
+
+def test_live_answers_over_many_batches_and_silence(spark, tmp_path):
+    """State lives on between micro-batches; an answer that falls silent fails once, by its timer."""
+    events = [(m, s, 1000 + s, "claim", f"alpha {s}", ["k"], None) for m in (1, 2) for s in range(1, 7)] + [(1, 7, 1007, "final", None, None, "answered")]
+    events += [(9, 100 + k, 1000 + 3000 * k, "claim", "alpha", ["k"], None) for k in range(4)]  # another answer moves the watermark on
+    got, shown = _live(spark, tmp_path, events, [(7, 1, 1000, "revision_changed")] * 4, [(m, 0, "k", "alpha 1 2 3 4 5 6") for m in (1, 2, 9)], 4)
+    assert got[1] == ("completed", "\n".join(f"alpha {s}" for s in range(1, 7))) and got[2] == ("failed", S.STREAM_FAILED_TEXT) and got[9][0] == "failed"
+    assert [x[1] for x in shown if x[0] == 2] == list(range(1, 7)) and len(shown) == 13
+
+
+def test_consent_is_looked_at_after_the_revision(spark):
+    claims = spark.createDataFrame([(m, r, 10 * r) for m in (1, 2, 3) for r in range(1, 10)], "message_id long, claim_rank long, seq long")
+    changes = spark.createDataFrame([(1, 25, "consent_revoked"), (2, 55, "consent_revoked"), (2, 58, "revision_changed"), (3, 95, "consent_revoked")], "message_id long, change_seq long, status string")
+    assert sorted(map(tuple, W.periodic_recheck(claims, changes).collect())) == [(1, 3, "consent_revoked"), (2, 6, "revision_changed")]
