@@ -10,7 +10,8 @@ that no task ever sees more than one shard of it:
 2. these short reports are chained per document, which gives every shard its entry state;
 3. every shard is folded once more from its known entry state.
 
-Documents of one shard need only the last step.
+Documents of one shard need only the last step. The rows are written once before, as all steps read them: the first two only the
+narrow columns of the fold, the last one the whole rows. So what leads to the rows is computed once, however folds follow on folds.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.session import stored
+
 # row kinds
 PLAIN, TITLE, ALONE, FOLLOW = 0, 1, 2, 3  # FOLLOW rows stay with the row before them
 
@@ -210,6 +213,7 @@ def fold(df: DataFrame, order: list[str], rule, group: str, label: str | None =
     `df` carries document_id, shard, item_size, item_kind, item_tag and item_weight (how many group
     numbers the row takes).  `label` names an extra column with the last title seen.
     """
+    df = stored(df)
     df = df.join(_entry_states(df, order, rule), ["document_id", "shard"], "left")
     columns = [*_ITEM, "in_size", "in_tag", "in_groups", "in_label"]
     kept = [c for c in df.columns if c not in columns or c in ("document_id", "shard")]

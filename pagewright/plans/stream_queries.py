@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pagewright.plans.qa_queries import answers, classified, context
 from pagewright.plans.registry import query
 from pagewright.session import per_folder, shared_folder
 from pagewright.sources import corpus as C
-from pagewright.sources.sinks import read_document_rows, replace_document_rows
+from pagewright.sources.sinks import ledger, read_document_rows, replace_document_rows
 from pagewright.streaming import answers as W
 from pagewright.streaming import ingest as N
 
@@ -111,14 +112,14 @@ LEFT JOIN (SELECT message_id, seq AS beyond_seq FROM (SELECT message_id, seq, ro
 VIEWS["o_looks"] = f"""
 SELECT message_id, arg_min(status, (claim_rank, status = 'consent_revoked')) AS early, min(claim_rank) AS ended_at FROM (SELECT t.message_id, claim_rank, c.status FROM o_taken t JOIN v_changes c ON c.message_id=t.message_id AND c.change_seq <= t.seq
  WHERE claim_rank % {S.RECHECK_EVERY_CLAIMS} = 0) GROUP BY ALL"""
-VIEWS["o_found"] = "SELECT e.message_id, arg_min(status, status = 'consent_revoked') AS late FROM o_ends e JOIN v_changes c ON c.message_id=e.message_id AND c.change_seq <= e.end_seq GROUP BY ALL"
+VIEWS["o_late"] = "SELECT e.message_id, arg_min(status, status = 'consent_revoked') AS late FROM o_ends e JOIN v_changes c ON c.message_id=e.message_id AND c.change_seq <= e.end_seq GROUP BY ALL"
 VIEWS["o_outcomes"] = f"""
 SELECT message_id, claims, CASE WHEN found IS NOT NULL THEN found WHEN n=0 AND NOT had THEN 'not_found' WHEN n=0 THEN 'insufficient_evidence' WHEN n >= 2 AND clash THEN 'conflicting_evidence' ELSE 'completed' END AS status,
  CASE found WHEN 'revision_changed' THEN '{S.REVISION_CHANGED_TEXT}' WHEN 'consent_revoked' THEN '{S.CONSENT_REVOKED_TEXT}' ELSE CASE WHEN n=0 AND NOT had THEN '{S.NOT_FOUND_TEXT}' WHEN n=0 THEN '{S.INSUFFICIENT_TEXT}' ELSE content END END AS content
 FROM (SELECT a.message_id, coalesce(early, late) AS found, coalesce(n, 0) AS n, content, x.message_id IS NOT NULL AS had, coalesce(hint='conflicting_evidence', false) OR k.message_id IS NOT NULL AS clash,
   (SELECT count(*) FROM o_shown s WHERE s.message_id=a.message_id AND (ended_at IS NULL OR claim_rank < ended_at)) AS claims
  FROM o_answers a LEFT JOIN (SELECT message_id, count(*) AS n, string_agg(claim_text, chr(10) ORDER BY out_seq) AS content FROM o_shown GROUP BY ALL) s USING (message_id) LEFT JOIN o_sconflict k USING (message_id)
- LEFT JOIN o_final f USING (message_id) LEFT JOIN (SELECT DISTINCT message_id FROM o_ctx) x USING (message_id) LEFT JOIN o_looks USING (message_id) LEFT JOIN o_found USING (message_id))"""
+ LEFT JOIN o_final f USING (message_id) LEFT JOIN (SELECT DISTINCT message_id FROM o_ctx) x USING (message_id) LEFT JOIN o_looks USING (message_id) LEFT JOIN o_late USING (message_id))"""
 
 
 def changes(spark, folder):
@@ -169,6 +170,38 @@ def _incremental_ingest(spark, folder):
         F.count(F.lit(1)).alias("chunks"), F.sum("n_refs").alias("refs"), F.min("content_hash").alias("low_hash"), F.max("content_hash").alias("high_hash"))
 
 
+def chain(spark, folder):
+    """The ingestion chain with a recogniser that reads every page, and the index; where its tables are."""
+    root = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
+    N.incremental_ingest(spark, folder, f"{root}/chunks", f"{root}/state", "documents.parquet", recognise=lambda docs, sheet: words_of(docs), index=True).awaitTermination()
+    return f"{root}/chunks"
+
+
+def words_of(docs):
+    w = C.words_of(C.blocks_of(docs)).drop("source_method")
+    return w.withColumns({"paragraph_index": F.floor(F.col("word_index") / 20), "line_index": F.floor(F.col("word_index") / 7) % 5})
+
+
+@query("ingest_recognised_blocks", """SELECT f.document_id, f.page_number, m.b + f.block_index + 1 AS block_index, m.o + row_number() OVER (PARTITION BY f.document_id, f.page_number ORDER BY f.block_index) AS reading_order, f.text, f.x0, f.y1
+FROM o_found f JOIN (SELECT document_id, page_number, max(reading_order) AS o, max(block_index) AS b FROM o_order GROUP BY ALL) m USING (document_id, page_number)""")
+def _ingest_recognised_blocks(spark, folder):
+    """Blocks that the OCR step of the chain has stored."""
+    return read_document_rows(spark, N.place(chain(spark, folder), "ocr")).select("document_id", "page_number", "block_index", "reading_order", "text", "x0", "y1")
+
+
+@query("ingest_ledgers", """SELECT step, verdict, count(*) AS documents, sum(doc_id)::BIGINT AS ids, sum(doc_id % 3 + 1)::BIGINT AS revisions FROM (SELECT doc_id, CASE WHEN trim(coalesce(text, ''), chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' ') = '' THEN 'EMPTY' ELSE 'ok' END AS verdict FROM documents)
+CROSS JOIN (VALUES ('validate'), ('extract'), ('ocr'), ('chunk'), ('index')) s(step) GROUP BY ALL""")
+def _ingest_ledgers(spark, folder):
+    """What each step of the chain has noted, after a second run that has nothing to do."""
+    out = chain(spark, folder)
+    if N.advance(spark, out, index=True):
+        raise AssertionError("a second run did something")
+    verdicts = ledger(spark, N.place(out, "validate")).select("document_id", "verdict")
+    found = [ledger(spark, N.place(out, step)).select(F.lit(step).alias("step"), "document_id", "content_revision") for step in N.STEPS]
+    rows = functools.reduce(lambda a, b: a.unionByName(b), found).join(verdicts, "document_id")
+    return rows.groupBy("step", "verdict").agg(F.count(F.lit(1)).alias("documents"), F.sum("document_id").alias("ids"), F.sum("content_revision").alias("revisions"))
+
+
 @query("replace_document_rows", """SELECT document_id, count(*) AS chunks, min(content_hash) AS low_hash, max(content_hash) AS high_hash FROM v_chunks
 WHERE document_id % 5 <> 0 AND (document_id % 5 <> 1 OR chunk_index = 0) GROUP BY ALL""")
 def _replace_document_rows(spark, folder):

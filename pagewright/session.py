@@ -7,6 +7,7 @@ import functools
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table as Parquet in the shared folder: what follows reads the columns it needs, and nothing before is done again."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def per_folder(fn):
     """Build the (lazy) DataFrame of a session and folder once; queries share the plan object."""
     built: dict = {}

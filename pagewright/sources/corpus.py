@@ -145,9 +145,7 @@ def v_images(spark, folder) -> DataFrame:
     return images_of(v_pages(spark, folder))
 
 
-@per_folder
-def v_words(spark, folder) -> DataFrame:
-    blocks = v_blocks(spark, folder)
+def words_of(blocks: DataFrame) -> DataFrame:
     words = blocks.select(
         "document_id", "page_shard", "page_number", "block_index", "line_no", "source_method",
         F.col("x0").alias("bx"), "y0", "y1",
@@ -163,6 +161,11 @@ def v_words(spark, folder) -> DataFrame:
     )
 
 
+@per_folder
+def v_words(spark, folder) -> DataFrame:
+    return words_of(v_blocks(spark, folder))
+
+
 @per_folder
 def v_ocr_words(spark, folder) -> DataFrame:
     """Recognised words of every page, over OCR blocks and digital blocks alike."""

@@ -193,6 +193,40 @@ def test_ingest_newest_revision_and_blank_documents(spark, tmp_path):
     assert batch((1, "text after that is stale", 2)) == first[1:]
 
 
+def test_a_killed_ingestion_goes_on(spark, tmp_path, monkeypatch):
+    """Death in each step, one after the other: what was committed stays, the next run does the rest, and nothing is there twice."""
+    from pagewright.operators import index as I_
+    from pagewright.sources import sinks
+
+    out, steps = str(tmp_path / "chunks"), list(N.STEPS)
+
+    def recognise(docs, sheet):
+        return C.words_of(C.blocks_of(docs)).drop("source_method").filter("document_id = 7")
+
+    def docs(*rows):
+        return spark.createDataFrame(list(rows), "document_id long, text string, content_revision long")
+
+    def commits():
+        return [len(sinks.commits(spark, N.place(out, s))) for s in steps]
+
+    N.ingest_batch(docs((7, "a line of seven\nand one more", 1), (8, "eight has a line", 1), (9, " ", 1)), out, recognise, True)
+    assert commits() == [1] * 5
+    N.validate(docs((7, "seven is new now", 2), (10, None, 1)), out)
+    for n, (module, name) in enumerate([(N, "_extract"), (N, "_ocr"), (N, "_chunk"), (N.I, "write_index")]):
+        with monkeypatch.context() as m, pytest.raises(ZeroDivisionError):
+            m.setattr(module, name, lambda *a: 1 / 0)
+            N.advance(spark, out, recognise, True)
+        assert commits() == [2] * (n + 1) + [1] * (4 - n)
+    assert N.advance(spark, out, recognise, True) == ["index"]
+    assert N.advance(spark, out, recognise, True) == [] and commits() == [2] * 5
+    chunks = sorted((r.document_id, r.chunk_revision, r.normalized_text) for r in read_document_rows(spark, out).collect())
+    assert chunks == [(7, 2, "seven is new now"), (8, 1, "eight has a line")]
+    words = sorted((r.document_id, r.word) for r in I_.read_index(spark, f"{out}/index").postings.collect())
+    assert words == [(7, "is"), (7, "new"), (7, "now"), (7, "seven"), (8, "a"), (8, "eight"), (8, "has"), (8, "line")]
+    verdicts = {r.document_id: r.verdict for r in sinks.ledger(spark, N.place(out, "validate")).collect()}
+    assert verdicts == {7: "ok", 8: "ok", 9: "EMPTY", 10: "EMPTY"}
+
+
 def test_streamed_model_output(spark):
     def frame(text):
         return "data: " + json.dumps({"choices": [{"delta": {"content": text}}]})
@@ -306,3 +340,12 @@ def test_consent_is_looked_at_after_the_revision(spark):
     claims = spark.createDataFrame([(m, r, 10 * r) for m in (1, 2, 3) for r in range(1, 10)], "message_id long, claim_rank long, seq long")
     changes = spark.createDataFrame([(1, 25, "consent_revoked"), (2, 55, "consent_revoked"), (2, 58, "revision_changed"), (3, 95, "consent_revoked")], "message_id long, change_seq long, status string")
     assert sorted(map(tuple, W.periodic_recheck(claims, changes).collect())) == [(1, 3, "consent_revoked"), (2, 6, "revision_changed")]
+
+
+def test_the_layout_is_computed_once(spark):
+    """Plans of chunks read what the folds have written; the documents are scanned by no plan behind a fold."""
+    from pagewright.plans.all_queries import QUERIES
+
+    for name, most in (("pack_chunks", 3), ("build_chunks", 4)):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("documents.parquet") <= 1 and plan.count("FileScan") <= most, plan
