@@ -250,7 +250,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     of their own, and null ids are allowed. Other columns are not read. An empty table gives an empty result.
     """
     named = rows(docs)
-    spans = repeats(named, window, gram).groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # rows that are repeated whole have equal spans; each is kept once, before anything moves
+    spans = repeats(named, window, gram).groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = named.join(spans, ["id", "text_hash"], "left").select("id", "text", "spans")
     out = joined.mapInArrow(_remove, "id bigint, n_words bigint, n_removed bigint, kept string")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")

@@ -1,10 +1,12 @@
 """Removed words against plain counting of windows, the index against plain search, and odd rows."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import substrings
 from pagewright.llm.fmindex import FmIndex
@@ -85,3 +87,14 @@ def test_index_counts_and_matches():
 
 def test_empty(spark):
     assert substrings.digest(spark.createDataFrame([], "doc_id bigint, text string, spans int")).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """20,000 rows of one text with null ids, and one row apart: the work follows the rows, not their square."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(text).alias("text"), F.lit("x").alias("kept"))
+    rows = rows.union(spark.createDataFrame([(7, "alone " * 3, "y")], rows.schema)).repartition(8)
+    began = time.time()
+    got = substrings.deduplicate(rows).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept, r["count"]) for r in got) == [(0, 300, 300, "", 20_000), (7, 3, 0, "alone alone alone", 1)]
+    assert time.time() - began < 120
