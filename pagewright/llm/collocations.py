@@ -31,12 +31,14 @@ TOP = 2000
 CONTAINED = 50
 #: Documents of the sample are one in so many; the threshold in it is a little below its share of LEAST.
 SAMPLE = 4
-#: The bit map's size (16 MB) and parts, and bits for a phrase.
+#: The bit map's size (16 MB) and parts, and bits for a phrase: each is named by 19 bits of one 64-bit hash.
 BITS = 1 << 27
 PARTS = 256
-PROBES = 4
-#: Hashes that a task counts together.
+PROBES = 3
+WIDTH = 19
+#: Hashes that a task counts together, and bytes of text that it looks at together.
 HELD = 1 << 21
+SLICE = 500_000
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -49,7 +51,7 @@ class Phrases:
     """Hashes of all phrases of some texts, by number of words; a phrase's words lie in one piece of one text."""
 
     def __init__(self, texts: list[bytes], langs: list[str], longest: int) -> None:
-        self.words = Words([t.translate(_LOWER) for t in texts], _BLANK)
+        self.words = Words([self.spaced(t.translate(_LOWER)) for t in texts], _BLANK)
         w = self.words
         known = {x: mix(np.frombuffer((hash_of(x)).to_bytes(8, "little"), np.uint64))[0] for x in set(langs)}
         own = np.repeat(np.array([known[x] for x in langs], np.uint64), w.counts)
@@ -69,10 +71,20 @@ class Phrases:
             self.keys.append(grams(base, size) if n else base)
             self.valid.append(whole)
 
-    def text(self, at: int, size: int) -> bytes:
-        """The phrase of some words from word `at` on, with one space between words."""
-        w = self.words
-        return b" ".join(w.joined[w.starts[i]:w.ends[i]] for i in range(at, at + size))
+    @staticmethod
+    def spaced(text: bytes) -> bytes:
+        """One space between words, so that a phrase is a stretch of the text."""
+        text = text.replace(b"\t", b" ")
+        while b"  " in text:
+            text = text.replace(b"  ", b" ")
+        return text
+
+    def texts(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes, one behind the other, and lengths of the phrases from some words on."""
+        a, b = self.words.starts[at], self.words.ends[at + size - 1]
+        lengths = b - a
+        before = np.cumsum(lengths) - lengths
+        return self.words.data[np.arange(lengths.sum()) + np.repeat(a - before, lengths)], lengths
 
 
 def hash_of(name: str) -> int:
@@ -83,20 +95,20 @@ def hash_of(name: str) -> int:
     return out
 
 
-def _probes(keys: np.ndarray) -> list[np.ndarray]:
-    """Bits of each key, all within the key's part of the map: byte places and masks."""
-    part = (keys >> np.uint64(56)) * np.uint64(BITS // PARTS)
-    again, out = keys, []
-    for _ in range(PROBES):
-        again = mix(again + np.uint64(0x9E3779B97F4A7C15))
-        out.append(part + again % np.uint64(BITS // PARTS))
-    return out
+def _probes(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Bits of each key, all within the key's part of the map."""
+    part = (keys >> np.uint64(56)) << np.uint64(WIDTH)
+    again = mix(keys + np.uint64(0x9E3779B97F4A7C15))
+    for j in range(PROBES):
+        yield part + (again >> np.uint64(j * WIDTH) & np.uint64((1 << WIDTH) - 1))
 
 
 def holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     found = np.ones(len(keys), bool)
     for at in _probes(keys):
-        found &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        found &= (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+        if not found.any():
+            break
     return found
 
 
@@ -109,9 +121,9 @@ def bit_map(keys: DataFrame) -> np.ndarray:
         for batch in batches:
             x = batch.column("key").to_numpy().view(np.uint64)
             for at in _probes(x):
-                parts = (at // np.uint64(BITS // PARTS)).astype(np.int64)
+                parts = at >> np.uint64(WIDTH)
                 for part in np.unique(parts).tolist():
-                    inside = at[parts == part] - np.uint64(part * (BITS // PARTS))
+                    inside = at[parts == part] & np.uint64((1 << WIDTH) - 1)
                     bits = held.setdefault(part, np.zeros(size, np.uint8))
                     np.bitwise_or.at(bits, (inside >> np.uint64(3)).astype(np.int64), np.left_shift(1, inside & np.uint64(7)).astype(np.uint8))
         for part, bits in held.items():
@@ -123,30 +135,36 @@ def bit_map(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _counted(pieces: Phrases, bits: np.ndarray | None, before: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of words, hashes) that a pass counts: phrases whose parts are in `bits`, unless they were in `before`.
+def _counted(pieces: Phrases, bits: np.ndarray | None, fresh: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of words, hashes) that a pass counts: phrases whose parts are in `bits` and, if given, at least one in `fresh`.
 
-    bits None: all. before None: nothing was counted before, so single words are, too.
+    bits None: all. fresh None: nothing was counted before, so single words are counted, too.
     """
-    inside = past = None
+    inside = new = None
     for size, (keys, valid) in enumerate(zip(pieces.keys, pieces.valid), 1):
-        take = valid.copy()
-        if size > 1 and bits is not None:
-            take[:-1] &= inside[:-1] & inside[1:]
-            take[-1:] = False
-        if before is not None:
-            if size == 1:
-                take[:] = False
-            else:
-                take[:-1] &= ~(past[:-1] & past[1:])
+        if size == 1:
+            take = np.flatnonzero(valid) if fresh is None else np.zeros(0, np.int64)
+        else:
+            at = np.flatnonzero(valid)
+            if fresh is not None:
+                at = at[new[at] | new[at + 1]]
+            take = at if bits is None else at[inside[at] & inside[at + 1]]
         yield size, keys[take]
-        if size < len(pieces.keys):
-            inside = holds(bits, keys) if bits is not None else None
-            past = holds(before, keys) if before is not None else None
-
-
-def counts(docs: DataFrame, longest: int, least: int, bits=None, before=None) -> DataFrame:
-    """size, key, n: phrases found `least` times or more of those that a pass counts. bits, before: broadcast maps or None."""
+        if size == len(pieces.keys):
+            return
+        new = holds(fresh, keys) if fresh is not None else None
+        if bits is not None:
+            need = np.ones(len(keys), bool)
+            if fresh is not None:  # only neighbours of what is new
+                need = new.copy()
+                need[:-1] |= new[1:]
+                need[1:] |= new[:-1]
+            inside = np.zeros(len(keys), bool)
+            inside[need] = holds(bits, keys[need])
+
+
+def counts(docs: DataFrame, longest: int, least: int, bits=None, fresh=None) -> DataFrame:
+    """size, key, n: phrases found `least` times or more of those that a pass counts. bits, fresh: broadcast maps or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -159,10 +177,10 @@ def counts(docs: DataFrame, longest: int, least: int, bits=None, before=None) ->
             held.clear()
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts, langs = part.column("text").cast(pa.binary()).to_pylist(), part.column("lang").to_pylist()
                 pieces = Phrases(texts, langs, longest)
-                for size, keys in _counted(pieces, bits and bits.value, before and before.value):
+                for size, keys in _counted(pieces, bits and bits.value, fresh and fresh.value):
                     if len(keys):
                         held.setdefault(size, []).append(keys)
                         many += len(keys)
@@ -190,18 +208,19 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, share:
     sc = docs.sparkSession.sparkContext
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
     proposed = counts(sample, longest - 1, max(1, least // share)) if longest > 1 else None
-    bits, past = bit_map(proposed.select("key")) if proposed is not None else np.zeros(BITS // 8, np.uint8), None
+    bits, new = bit_map(proposed.select("key")) if proposed is not None else np.zeros(BITS // 8, np.uint8), None
     passes = []
     while True:
-        now, before = sc.broadcast(bits), None if past is None else sc.broadcast(past)
-        passes.append(stored(counts(docs, longest, least, now, before)))
+        now, fresh = sc.broadcast(bits), None if new is None else sc.broadcast(new)
+        passes.append(stored(counts(docs, longest, least, now, fresh)))
         failed = stored(missing(passes[-1].filter(F.col("size") < longest), now))
-        for x in (now, before):
+        for x in (now, fresh):
             if x is not None:
                 x.unpersist()
         if failed.isEmpty():
             return passes
-        past, bits = bits, bits | bit_map(failed)
+        new = bit_map(failed)
+        bits = bits | new
 
 
 def exact(docs: DataFrame, passes: list[DataFrame], longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -211,21 +230,47 @@ def exact(docs: DataFrame, passes: list[DataFrame], longest: int = LONGEST, leas
         all_keys = all_keys.union(x.select("key"))
     known = docs.sparkSession.sparkContext.broadcast(bit_map(all_keys))
 
+    names = ["lang", "size", "phrase", "n"]
+
+    def totals(pieces: Phrases, langs: list[str]) -> pa.RecordBatch:
+        n = len(langs)
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.zeros(n, np.int8)), pa.array([""] * n, pa.string()), pa.array(pieces.words.counts)], names)
+
+    def rows(held: list[tuple], size: int) -> Iterator[pa.RecordBatch]:
+        """Each phrase once for what is held, with its text from where it was found first."""
+        keys, starts = [keys for _, _, keys, _ in held], np.cumsum([0] + [len(keys) for _, _, keys, _ in held])
+        _, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        for (pieces, langs, _, at), a, b in zip(held, starts, starts[1:]):
+            mine = np.flatnonzero((first >= a) & (first < b))
+            at = at[first[mine] - a]
+            data, lengths = pieces.texts(at, size)
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            phrase = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+            of = np.searchsorted(pieces.words.last, at, side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(of)), pa.array(np.full(len(at), size, np.int8)), phrase, pa.array(n[mine])], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in range(longest)]
+        many = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 langs = part.column("lang").to_pylist()
                 pieces = Phrases(part.column("text").cast(pa.binary()).to_pylist(), langs, longest)
-                of = np.repeat(np.arange(len(langs)), pieces.words.counts)
-                rows: list[tuple] = [(langs[i], 0, b"", n) for i, n in enumerate(pieces.words.counts.tolist())]
+                yield totals(pieces, langs)
                 for size, (keys, valid) in enumerate(zip(pieces.keys, pieces.valid), 1):
                     at = np.flatnonzero(valid)
                     at = at[holds(known.value, keys[at])]
-                    _, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-                    rows += [(langs[of[i]], size, pieces.text(i, size), k) for i, k in zip(at[first].tolist(), n.tolist())]
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int8()),
-                                                  pa.array(columns[2], pa.binary()).cast(pa.string()), pa.array(columns[3], pa.int64())], ["lang", "size", "phrase", "n"])
+                    held[size - 1].append((pieces, langs, keys[at], at))
+                    many += len(at)
+                pieces.keys = pieces.valid = None
+                if many >= HELD:
+                    for size, x in enumerate(held, 1):
+                        yield from rows(x, size)
+                        x.clear()
+                    many = 0
+        for size, x in enumerate(held, 1):
+            if x:
+                yield from rows(x, size)
 
     found = docs.mapInArrow(run, "lang string, size tinyint, phrase string, n bigint")
     return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0))

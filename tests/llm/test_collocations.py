@@ -69,12 +69,12 @@ def test_failures_of_the_border(spark, monkeypatch):
     real = collocations.counts
     passes = []
 
-    def counted(docs, longest, least, bits=None, before=None):
+    def counted(docs, longest, least, bits=None, fresh=None):
         if bits is None:
             docs = docs.limit(0)
         else:
-            passes.append(before is not None)
-        return real(docs, longest, least, bits, before)
+            passes.append(fresh is not None)
+        return real(docs, longest, least, bits, fresh)
 
     monkeypatch.setattr(collocations, "counts", counted)
     assert _mine(spark, rows) == _brute(rows)
