@@ -37,8 +37,10 @@ PARTS = 256
 PROBES = 3
 WIDTH = 19
 #: Hashes that a task counts together, and bytes of text that it looks at together.
-HELD = 1 << 21
+HELD = 1 << 20
 SLICE = 500_000
+#: Rows that a task hands over together.
+ROWS = 1 << 16
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -171,10 +173,11 @@ def counts(docs: DataFrame, longest: int, least: int, bits=None, fresh=None) ->
         many = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for size, keys in held.items():
-                found, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), size, np.int8)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["size", "key", "n"])
-            held.clear()
+            for size in list(held):
+                found, n = np.unique(np.concatenate(held.pop(size)), return_counts=True)
+                for a in range(0, len(found), ROWS):
+                    keys, times = found[a:a + ROWS], n[a:a + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), size, np.int8)), pa.array(keys.view(np.int64)), pa.array(times)], ["size", "key", "n"])
 
         for batch in batches:
             for part in slices(batch, "text", SLICE):
