@@ -58,57 +58,91 @@ def _status_ok() -> Column:
     )
 
 
+#: Shares that the claims of a case are dealt into; a case's few fields are repeated that often.
+CLAIM_SHARES = 16
+
+
+def _number_keys(plain: Column) -> Column:
+    """Forms under which a text without commas holds numbers for the eval rule (see T.number_in_text).
+
+    A number is found where a chain of digits and points ends: its last part, or its last two, with a percent sign or not.
+    """
+    ends = F.regexp_extract_all(plain, F.lit(r"(?<!\p{Nd})(?:\p{Nd}+\.)?\p{Nd}+(?!\p{Nd})(?!\.\p{Nd})%?"), 0)
+    forms = F.flatten(F.transform(ends, lambda e: F.array(e, F.regexp_replace(e, r"^.*\.", ""), F.regexp_replace(e, "%", ""), F.regexp_replace(e, r"^.*\.|%", ""))))
+    return F.array_distinct(forms)
+
+
+def _unknown(mentions: DataFrame, known: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """case_id, run_index, and how many of a run's mentions are not among the known ones.
+
+    Mentions are counted before they are moved, so that one said in every claim is one row for each run.
+    """
+    counted = mentions.groupBy("case_id", "run_index", *keys).agg(F.count(F.lit(1)).alias("said"))
+    met = counted.join(known.select(*keys).distinct().withColumn("known", F.lit(True)), keys, "left")
+    return met.filter("known is null").groupBy("case_id", "run_index").agg(F.sum("said").alias(name))
+
+
 def _claim_facts(claims: DataFrame, cases: DataFrame, texts: DataFrame, blocks: DataFrame, markers) -> DataFrame:
-    """What the checks need of the claims of each run (an answer shows at most twenty claims).
+    """What the checks need of the claims of each run, however many there are.
 
-    Document texts meet one row per case (its distinct claim numbers), never one row per claim.
+    Numbers and sources of claims are counted per run and meet those of the document by value, so that no claim meets a
+    whole text; texts of claims are looked at one by one, and only what was found of the case's few expectations is kept.
     """
-    own = blocks.select("document_id", F.col("block_id").alias("source")).distinct().withColumn("owned", F.lit(True))
-    claims = claims.join(cases.select("case_id", "document_id", "forbidden_claims"), "case_id").withColumn("numbers", T.extract_numbers("text"))
-    sources = claims.select("case_id", "run_index", "claim_no", "document_id", F.explode("sources").alias("source"))
-    cited = sources.join(own, ["document_id", "source"], "left").groupBy("case_id", "run_index", "claim_no").agg(
-        F.count(F.lit(1)).alias("citations"), F.bool_and(F.col("owned").isNotNull()).alias("all_owned")
-    )
-    wanted = claims.select("case_id", "document_id", F.explode("numbers").alias("n")).distinct().groupBy("case_id", "document_id").agg(F.collect_list("n").alias("n"))
-    facts = cases.select("case_id", "document_id").join(wanted, ["case_id", "document_id"], "left").join(texts, "document_id")
-    plain = F.regexp_replace("doc_text", ",", "")
-    facts = facts.withColumn("plain", plain).select(
-        "case_id", T.negation_markers("doc_text", markers).alias("doc_markers"),
-        F.filter(F.coalesce("n", F.array().cast("array<string>")), lambda n: ~F.regexp_like(F.col("plain"), T.number_pattern(n, "eval"))).alias("unknown"),
+    shared = ["case_id", "forbidden_claims", "expected_numbers", "expected_units", "required_evidence"]
+    marked = texts.select("document_id", T.negation_markers("doc_text", markers).alias("doc_markers"))
+    fields = cases.join(marked, "document_id").select("document_id", *shared, "doc_markers", F.explode(F.sequence(F.lit(0), F.lit(CLAIM_SHARES - 1))).alias("share"))
+    share = F.pmod(F.xxhash64("case_id", "run_index", "claim_no"), F.lit(CLAIM_SHARES)).cast("int")
+    df = claims.withColumns({"share": share, "numbers": T.extract_numbers("text"), "marks": T.negation_markers("text", markers)}).join(fields, ["case_id", "share"])
+    text, nums = F.col("text"), F.col("expected_numbers")
+
+    def said(n):
+        return T.number_in_text(text, n, "eval")
+
+    found = df.select(
+        "case_id", "run_index", "sources", "marks", "doc_markers",
+        F.exists("forbidden_claims", lambda b: (b != "") & text.contains(b)).alias("bad"),
+        F.filter(nums, said).alias("said"),
+        F.filter("expected_units", lambda u: text.contains(u) & ((F.size(nums) == 0) | F.exists(nums, said))).alias("units"),
+        F.filter("required_evidence", lambda e: text.contains(e)).alias("evidence"),
     )
-    df = claims.join(cited, ["case_id", "run_index", "claim_no"], "left").join(facts, "case_id")
-    marks = T.negation_markers("text", markers)
-    return df.groupBy("case_id", "run_index").agg(
-        F.count(F.lit(1)).alias("claim_count"), F.sum(F.coalesce("citations", F.lit(0))).alias("citation_count"),
-        F.bool_and(F.coalesce("all_owned", F.lit(False))).alias("ownership"),
-        F.bool_and(~F.exists("forbidden_claims", lambda b: (b != "") & F.col("text").contains(b))).alias("forbidden"),
-        F.bool_and(F.size(F.array_intersect("numbers", "unknown")) == 0).alias("numbers"),
-        F.sum(F.size(F.filter("numbers", lambda n: F.array_contains("unknown", n)))).alias("unknown_numbers"),
-        F.bool_and(F.size(F.array_except(marks, "doc_markers")) == 0).alias("polarity"),
-        F.bool_or(F.size(marks) > 0).alias("negated"), F.collect_list("text").alias("texts"),
+
+    def all_found(name):
+        return F.array_distinct(F.flatten(F.collect_set(name))).alias(name + "_found")
+
+    out = found.groupBy("case_id", "run_index").agg(
+        F.count(F.lit(1)).alias("claim_count"), F.sum(F.greatest(F.size("sources"), F.lit(0))).alias("citation_count"),
+        F.bool_and(F.coalesce(F.size("sources") > 0, F.lit(False))).alias("cited"), F.bool_and(~F.col("bad")).alias("forbidden"),
+        F.bool_and(F.size(F.array_except("marks", "doc_markers")) == 0).alias("polarity"), F.bool_or(F.size("marks") > 0).alias("negated"),
+        all_found("said"), all_found("units"), all_found("evidence"),
     )
+    of = claims.join(cases.select("case_id", "document_id"), "case_id")
+    numbers = of.select("case_id", "run_index", "document_id", F.explode(T.extract_numbers("text")).alias("n")).withColumn("key", F.replace("n", F.lit(","), F.lit("")))
+    held = texts.select("document_id", F.explode(_number_keys(F.replace("doc_text", F.lit(","), F.lit("")))).alias("key"))
+    sources = of.select("case_id", "run_index", "document_id", F.explode("sources").alias("source"))
+    own = blocks.select("document_id", F.col("block_id").alias("source"))
+    out = out.join(_unknown(numbers, held, ["document_id", "key"], "unknown_numbers"), ["case_id", "run_index"], "left")
+    out = out.join(_unknown(sources, own, ["document_id", "source"], "foreign"), ["case_id", "run_index"], "left")
+    return out.withColumns({"numbers": F.col("unknown_numbers").isNull(), "ownership": F.col("cited") & F.col("foreign").isNull()}).drop("cited", "foreign")
 
 
 def evaluate_runs(cases: DataFrame, runs: DataFrame, claims: DataFrame, texts: DataFrame, blocks: DataFrame, markers=S.NEGATION_MARKERS) -> DataFrame:
-    """Twelve checks per run, with pass, safety split and failure category."""
+    """Twelve checks per run, with pass, safety split and failure category.
+
+    What a run must say (numbers, units with a number, evidence) has to stand in one of its claims.
+    """
     df = runs.join(cases, "case_id").join(_claim_facts(claims, cases, texts, blocks, markers), ["case_id", "run_index"], "left")
-    yes, zero = F.lit(True), F.lit(0).cast("bigint")
+    yes, zero, none = F.lit(True), F.lit(0).cast("bigint"), F.array().cast("array<string>")
     df = df.withColumns(
         {
-            "texts": F.coalesce("texts", F.array().cast("array<string>")), "claim_count": F.coalesce("claim_count", zero),
-            "citation_count": F.coalesce("citation_count", zero), "unknown_numbers": F.coalesce("unknown_numbers", zero),
+            "claim_count": F.coalesce("claim_count", zero), "citation_count": F.coalesce("citation_count", zero), "unknown_numbers": F.coalesce("unknown_numbers", zero),
+            **{c: F.coalesce(c, none) for c in ("said_found", "units_found", "evidence_found")},
             **{c: F.coalesce(c, yes) for c in ("ownership", "forbidden", "numbers", "polarity")}, "negated": F.coalesce("negated", F.lit(False)),
         }
     )
     nums, units, done = F.col("expected_numbers"), F.col("expected_units"), F.col("status") == "completed"
-    joined = F.array_join("texts", "\n")
-
-    def said(n):
-        return F.exists("texts", lambda t: T.number_in_text(t, n, "eval"))
 
-    def with_unit(u):
-        pair = F.exists("texts", lambda t: t.contains(u) & F.exists(nums, lambda n: T.number_in_text(t, n, "eval")))
-        return F.when(F.size(nums) > 0, pair).otherwise(joined.contains(u))
+    def all_in(wanted, found, blank_holds=F.lit(False)):
+        return F.forall(wanted, lambda x: F.array_contains(found, x) | ((x == "") & blank_holds))
 
     polar = F.col("expected_polarity").isNotNull() & done & (F.col("claim_count") > 0)
     checks = {
@@ -116,10 +150,10 @@ def evaluate_runs(cases: DataFrame, runs: DataFrame, claims: DataFrame, texts: D
         "status_ok": _status_ok(),
         "ownership": F.col("ownership"), "forbidden": F.col("forbidden"), "numbers": F.col("numbers"), "polarity": F.col("polarity"),
         "expected_polarity_ok": F.when(~polar, True).when(F.col("expected_polarity") == "negative", F.col("negated")).otherwise(~F.col("negated")),
-        "expected_numbers_ok": F.when(~done, True).otherwise(F.forall(nums, said)),
-        "units": F.when(~done, True).otherwise(F.forall(units, with_unit)),
+        "expected_numbers_ok": F.when(~done, True).otherwise(all_in(nums, "said_found")),
+        "units": F.when(~done, True).otherwise(all_in(units, "units_found", F.size(nums) == 0)),
         "conflict": ~F.col("expected_conflict") | ((F.col("status") == "conflicting_evidence") & (F.col("citation_count") >= 2)),
-        "evidence": F.when(~done, True).otherwise(F.forall("required_evidence", lambda e: joined.contains(e))),
+        "evidence": F.when(~done, True).otherwise(all_in("required_evidence", "evidence_found", yes)),
         "claims_cap": F.col("max_claims").isNull() | (F.col("claim_count") <= F.col("max_claims")),
     }
     refused = F.col("prestream_error").isNotNull()

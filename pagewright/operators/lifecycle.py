@@ -6,6 +6,12 @@ worked on by as many tasks as it has time shards, and the shards are then combin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,30 +50,78 @@ def check_transitions(events: DataFrame) -> DataFrame:
     )
 
 
+#: Where each step leads from each state; the last row, for a step that is no state, leads nowhere.
+_STEPS = np.array(
+    [[t if S.DOCUMENT_STATES[t] in S.ALLOWED_TRANSITIONS[s] else i for i, s in enumerate(S.DOCUMENT_STATES)] for t in range(len(S.DOCUMENT_STATES))]
+    + [list(range(len(S.DOCUMENT_STATES)))], np.int8)
+
+
+def _composed(maps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One map for each run of rows: all maps of the run one after the other, by halving the rows again and again.
+
+    first: whether a row starts a run.
+    """
+    run = np.cumsum(first) - 1
+    while len(maps) > run[-1] + 1:
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        even = (np.arange(len(run)) - starts[run]) % 2 == 0
+        left = np.flatnonzero(even)
+        paired = left[(left + 1 < len(run)) & ~even[np.minimum(left + 1, len(run) - 1)]]
+        maps[paired] = np.take_along_axis(maps[paired + 1], maps[paired].astype(np.intp), axis=1)
+        maps, run = maps[even], run[even]
+    return maps
+
+
+def _maps_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """document_id, part, n, ends of each document's events in sorted rows; the last document of a batch is carried on."""
+    part, held = TaskContext.get().partitionId(), None
+
+    def out(ids, counts, ends):
+        flat = pa.array(ends.reshape(-1).astype(np.int32))
+        lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, ends.shape[1], dtype=np.int32), flat)
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), part, np.int32)), pa.array(counts), lists], ["document_id", "part", "n", "ends"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("document_id")
+        codes = pc.dictionary_encode(ids, null_encoding="encode").indices.to_numpy()
+        first = np.diff(codes, prepend=-1) != 0
+        at = np.flatnonzero(first)
+        steps = pc.fill_null(pc.index_in(batch.column("new_status"), value_set=pa.array(S.DOCUMENT_STATES)), len(S.DOCUMENT_STATES))
+        ends = _composed(_STEPS[steps.to_numpy()], first)
+        counts = np.diff(np.append(at, len(codes))).astype(np.int64)
+        ids = ids.take(pa.array(at))
+        if held is not None:
+            if held[0][0].as_py() == ids[0].as_py():
+                ends[0] = ends[0][held[2][0]]
+                counts[0] += held[1][0]
+            else:
+                yield out(*held)
+        if len(ids) > 1:
+            yield out(ids[:-1], counts[:-1], ends[:-1])
+        held = ids[-1:], counts[-1:], ends[-1:]
+    if held is not None:
+        yield out(*held)
+
+
 def replay_status(events: DataFrame, start: str = "uploaded") -> DataFrame:
     """Present status of every document: events applied in order, rejected steps ignored.
 
-    A run of events maps each of the 14 states to one state.  The map of every shard is folded from
-    its own events, and the maps are then applied one after the other.
+    A run of events maps each state to one state, and such maps can be put together in any grouping. Events are sorted over
+    the whole cluster by document and time, so that a document with a third of all events, or all of them in one hour, lies
+    in many parts. Each part gives one map for each of its documents; a document's few maps, one for each part at most, are
+    applied one after the other. A status that is no state changes nothing; null ids are one document; an empty log gives no
+    row. Events of equal time go by event_id, then by status.
     """
+    order = ["document_id", "ts", "event_id", "new_status"]
+    rows = events.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    kind = events.schema["document_id"].dataType.simpleString()
+    maps = rows.select("document_id", "new_status").mapInArrow(_maps_of_runs, f"document_id {kind}, part int, n bigint, ends array<int>")
+    chained = maps.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("part", "ends"))).alias("maps"), F.sum("n").alias("events"))
     states = F.array(*[F.lit(s) for s in S.DOCUMENT_STATES])
-    df = events.withColumn("shard", time_shard())
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", "new_status"))), lambda e: e["new_status"]
-    )
-    runs = df.groupBy("document_id", "shard").agg(ordered.alias("steps"), F.count(F.lit(1)).alias("n"))
-    ends = F.aggregate(
-        "steps", states,
-        lambda now, step: F.transform(now, lambda s: F.when(_allowed(s, step), step).otherwise(s)),
-    )
-    maps = runs.select("document_id", "shard", "n", F.map_from_arrays(states, ends).alias("end_of"))
-    chained = maps.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("shard", F.map_entries("end_of").alias("end_of")))).alias("maps"), F.sum("n").alias("events")
-    )
-    status = F.aggregate(
-        "maps", F.lit(start), lambda now, m: F.element_at(F.map_from_entries(m["end_of"]), now)
-    )
-    return chained.select("document_id", "events", status.alias("status"))
+    last = F.aggregate("maps", F.lit(S.DOCUMENT_STATES.index(start)), lambda now, m: F.element_at(m["ends"], now + 1))
+    return chained.select("document_id", "events", F.element_at(states, last + 1).alias("status"))
 
 
 def dedupe_active_jobs(jobs: DataFrame) -> DataFrame:

@@ -216,13 +216,16 @@ def resolve_group_sources(tokens: DataFrame, groups: DataFrame) -> tuple[DataFra
 # --- artifacts -----------------------------------------------------------------------------------
 
 KINDS = ("overview", "section_summary", "key_concept", "prerequisite", "learner_explanation")
+#: Item numbers of a run: what one task numbers at a time.
+ITEM_RUN = 4096
 
 
 def build_artifacts(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Checked artifacts: over-long or blank texts and items without a stored source are dropped,
     sections and concepts are unique, prerequisites must come from the document.
 
-    `sources` are the valid (document_id, item_no) pairs.  Positions run over the kinds in order.
+    `sources` are the valid (document_id, item_no) pairs.  Positions run over the kinds in order; no window
+    holds more of a document than ITEM_RUN items of a kind, or its counts per run.
     """
     kind = F.col("kind")
     limit = F.when(kind == "overview", S.OVERVIEW_MAX_CHARS).when(kind == "section_summary", S.SECTION_SUMMARY_MAX_CHARS).when(
@@ -250,11 +253,17 @@ def build_artifacts(items: DataFrame, sources: DataFrame) -> DataFrame:
     first = df.groupBy("document_id", "kind", "same").agg(F.min("item_no").alias("item_no"))
     df = df.join(first, ["document_id", "kind", "same", "item_no"], "left_semi")
     df = df.join(sources.select("document_id", "item_no").distinct(), ["document_id", "item_no"], "left_semi")
-    order = Window.partitionBy("document_id").orderBy("kind_no", "item_no")
+    # positions in two levels: counts of each kind and run of items give where a run starts, rows are numbered within their run
+    run = ["document_id", "kind_no", "run"]
+    df = cut_lineage(df.withColumn("run", F.floor(F.col("item_no") / ITEM_RUN)))
+    before = Window.partitionBy("document_id").orderBy("kind_no", "run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).select(*run, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    df = df.join(starts, run)
+    inside = F.row_number().over(Window.partitionBy(*run).orderBy("item_no"))
     return df.select(
         "document_id", "item_no", kind.alias("artifact_type"),
         F.when(kind == "overview", F.lit(None).cast("string")).otherwise(F.col("name")).alias("title"), F.coalesce("clean", F.lit("")).alias("text"),
-        (F.row_number().over(order) - 1).cast("bigint").alias("position"),
+        (F.col("start") + inside - 1).cast("bigint").alias("position"),
     )
 
 

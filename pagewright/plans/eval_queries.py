@@ -64,20 +64,23 @@ VIEWS["o_eruns"] = f"""SELECT *, {V.pick('(case_id + run_index//2) % 5', STATUSE
 
 @per_folder
 def claims(spark, folder):
-    """Claims shown by each run: those over the first page, of another kind in every run."""
-    c = C.v_claims(spark, folder).filter(F.col("message_id") == F.col("document_id") * 1_000_000 + 1)
+    """Claims shown by each run: those over all pages of its document, of another kind in every run."""
+    c = C.v_claims(spark, folder)
     kind = F.floor(F.col("claim_no") / 8)
     run = F.when(kind == 0, F.array(F.lit(0), F.lit(1))).when(kind == 5, F.array(F.lit(1), F.lit(2))).when(kind.isin(1, 4), F.array(F.lit(2))).otherwise(F.array(F.lit(1)))
-    return c.select(F.col("document_id").alias("case_id"), F.explode(run.cast("array<bigint>")).alias("run_index"), "claim_no", "text", F.col("source_chunk_ids").alias("sources"))
+    return c.select(F.col("document_id").alias("case_id"), F.explode(run.cast("array<bigint>")).alias("run_index"), (F.col("message_id") * 1000 + F.col("claim_no")).alias("claim_no"), "text", F.col("source_chunk_ids").alias("sources"))
 
 
 VIEWS["o_eclaims"] = """SELECT document_id AS case_id, unnest(CASE claim_no//8 WHEN 0 THEN [0,1] WHEN 5 THEN [1,2] WHEN 1 THEN [2] WHEN 4 THEN [2] ELSE [1] END) AS run_index, claim_no, text, source_chunk_ids AS sources
-FROM v_claims WHERE message_id = document_id*1000000+1"""
+FROM v_claims"""
+VIEWS["o_eunknown"] = f"""SELECT case_id, list(num) AS unknown FROM (SELECT DISTINCT case_id, unnest({V.numbers('text')}) AS num FROM o_eclaims) JOIN o_cases USING (case_id)
+WHERE NOT ({V.number_found('doc_text', 'num', 'eval')}) GROUP BY case_id"""
+VIEWS["o_emarkers"] = f"""SELECT case_id, list_filter([{V.quoted(M)}], lambda mk: contains(padded_text, mk)) AS doc_markers FROM (SELECT case_id, {V.padded('doc_text')} AS padded_text FROM o_cases)"""
 VIEWS["o_efacts"] = f"""SELECT case_id, run_index, count(*) AS claim_count, sum(len(sources))::BIGINT AS citation_count, bool_and(len(sources) > 0 AND len(list_filter(sources, lambda s: NOT list_contains(owned, s))) = 0) AS ownership,
  bool_and(len(list_filter(forbidden_claims, lambda b: contains(text, b))) = 0) AS forbidden,
- bool_and(len(list_filter({V.numbers('text')}, lambda n: NOT ({V.number_found('doc_text', 'n', 'eval')}))) = 0) AS numbers,
- bool_and(len(list_filter({V.markers_in('text')}, lambda mk: NOT contains({V.padded('doc_text')}, mk))) = 0) AS polarity, bool_or(len({V.markers_in('text')}) > 0) AS negated, list(text) AS texts
-FROM o_eclaims JOIN o_cases USING (case_id) JOIN (SELECT document_id, list(block_id) AS owned FROM v_blocks GROUP BY ALL) USING (document_id) GROUP BY case_id, run_index"""
+ bool_and(len(list_filter({V.numbers('text')}, lambda n: list_contains(coalesce(unknown, []), n))) = 0) AS numbers,
+ bool_and(len(list_filter({V.markers_in('text')}, lambda mk: NOT list_contains(doc_markers, mk))) = 0) AS polarity, bool_or(len({V.markers_in('text')}) > 0) AS negated, list(text) AS texts
+FROM o_eclaims JOIN o_cases USING (case_id) JOIN o_emarkers USING (case_id) LEFT JOIN o_eunknown USING (case_id) JOIN (SELECT document_id, list(block_id) AS owned FROM v_blocks GROUP BY ALL) USING (document_id) GROUP BY case_id, run_index"""
 SAID = f"len(list_filter(texts, lambda t: {V.number_found('t', 'n', 'eval')})) > 0"
 PAIR = f"len(list_filter(texts, lambda t: contains(t, u) AND len(list_filter(expected_numbers, lambda n: {V.number_found('t', 'n', 'eval')})) > 0)) > 0"
 JOINED = "array_to_string(texts, chr(10))"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright import settings as S
+from pagewright.functions import text as T
 from pagewright.operators import evaluation as E
 from pagewright.operators import lifecycle as Y
 from pagewright.operators import qa as Q
@@ -87,6 +88,45 @@ def test_every_transition(spark):
     assert all(r.allowed == r.want for r in Y.check_transitions(df).collect())
 
 
+def test_replayed_maps_equal_single_steps(spark):
+    import random
+
+    pick = random.Random(3)
+    rows = [(pick.choice([None, 1, 1, 1, 2]), n % 40, "2024-01-01 00:00:07", pick.choice([*S.DOCUMENT_STATES, "other", None])) for n in range(6000)]
+    rows += [(9, n, f"2024-01-0{1 + n % 9} 00:00:00", pick.choice(S.DOCUMENT_STATES)) for n in range(50)]
+    df = spark.createDataFrame(rows, "document_id long, event_id long, t string, new_status string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    want = {}
+    for d, e, t, s in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[2], r[1], r[3] is not None, r[3])):
+        n, now = want.get(d, (0, "uploaded"))
+        want[d] = n + 1, s if s in S.ALLOWED_TRANSITIONS[now] else now
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("7", size):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {r.document_id: (r.events, r.status) for r in Y.replay_status(df.repartition(5)).collect()}
+        assert got == want
+    assert Y.replay_status(df.limit(0)).count() == 0
+
+
+def test_artifacts_over_short_runs(spark, monkeypatch):
+    rows = [(1 + n % 2, n, U.KINDS[n * 7 % 5], f"t{n}", f"text {n}") for n in range(200)]
+    items = spark.createDataFrame(rows, "document_id long, item_no long, kind string, title string, text string").withColumn("source_type", F.lit("document"))
+    plain = sorted(map(str, U.build_artifacts(items, items).collect()))
+    monkeypatch.setattr(U, "ITEM_RUN", 3)
+    assert sorted(map(str, U.build_artifacts(items, items).collect())) == plain and len(plain) == 200
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_number_keys_equal_the_pattern(spark, seed):
+    import random
+
+    pick = random.Random(seed)
+    rows = [("".join(pick.choices("123.,% x", k=pick.randint(0, 14))), "".join(pick.choices("1234.,% ", k=pick.randint(1, 7)))) for _ in range(800)]
+    df = spark.createDataFrame(rows, "hay string, claim string").select("hay", F.explode(T.extract_numbers("claim")).alias("n"))
+    keys = E._number_keys(F.replace("hay", F.lit(","), F.lit("")))
+    both = df.select("hay", "n", F.array_contains(keys, F.replace("n", F.lit(","), F.lit(""))).alias("a"), T.number_in_text("hay", "n", "eval").alias("b")).collect()
+    assert any(r.b for r in both) and [r for r in both if r.a != r.b] == []
+
+
 def test_gate_holds_incomplete_releases(spark):
     good = "total_runs protocol_rate status_accuracy answerable_valid not_found_hold total_cases safety_failure_cases explicit_cases critical_cases unstable_cases repeat".split()
     one = spark.createDataFrame([(9, 1.0, 1.0, 1.0, 1.0, 9, 0, 0, 0, 0, 2)], good)
