@@ -25,6 +25,8 @@ from pagewright.llm.common import mix, slices, texts_of
 SAMPLE = 2048
 #: Buckets of the hashed n-grams.
 BUCKETS = 4096
+#: Texts that are turned to features together, whose counts take 32 KB each.
+ROWS = 500
 #: Bits of a codeword, at least.
 BITS = 15
 RIDGE = 0.05
@@ -56,6 +58,13 @@ def features(texts: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-9)
 
 
+def parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of bounded bytes and rows."""
+    for part in slices(batch, text):
+        for at in range(0, part.num_rows, ROWS):
+            yield part.slice(at, ROWS)
+
+
 def codewords(languages: int, bits: int = BITS) -> np.ndarray:
     """Rows of +1 and -1, one for each language: of several drawn tables, the one whose rows are furthest apart."""
     bits = max(bits, 4 * int(np.ceil(np.log2(max(languages, 2)))))
@@ -146,7 +155,7 @@ def train(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in parts(batch, "text"):
                 part = part.filter(pa.array([bool(_LETTER.search(t)) for t in part.column("text").to_pylist()], pa.bool_()))
                 made = features(texts_of(part, "text")).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.array([x.tobytes() for x in made], pa.binary())], ["lang", "place", "row"])
@@ -174,7 +183,7 @@ def identify(docs: DataFrame, model: Model | None = None, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in parts(batch, text):
                 lang, score, ambiguous = model.predict(texts_of(part, text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(ambiguous)], [*names, "lang_pred", "lang_score", "lang_ambiguous"])
 

@@ -1,9 +1,10 @@
 """License scans by voting on diagonals.
 
 All runs of three words of all texts are hashed and joined in Spark with the places of such runs in templates. A hit votes for
-the diagonal on which text and template would lie side by side. Diagonals that lie close together, as after a word was put in
-or left out, are merged, and a span counts if enough of the template's runs are found in it; a base phrase counts only where
-all its runs lie on one diagonal, side by side.
+the diagonal on which text and template would lie side by side. Each diagonal is merged with those at most LEAP words beside it,
+as after words were put in or left out; a run of the template counts once, however often a text says it. A merged span is
+verified word by word: enough of the template's words must stand in the text within LEAP words of their place. A base phrase
+counts only where all its runs lie on one diagonal, side by side.
 """
 
 from __future__ import annotations
@@ -39,10 +40,12 @@ TEMPLATES = (
 )
 #: Words of a run.
 K = 3
-#: Diagonals and words that a merged span may leap over, and the share of the template's runs that it must have.
+#: Diagonals to each side that are merged, and the shares of the template's runs and of its words that a span must have.
 LEAP = 4
-GAP = 12
 COVER = 0.6
+WORDS = 0.7
+#: Runs that a template may have: which were found are the bits of one number.
+MOST_RUNS = 60
 
 _BYTE = np.arange(256)
 #: Bytes that are in no word, once A-Z are lower case.
@@ -58,6 +61,8 @@ def template_places(spark: SparkSession) -> DataFrame:
     for n, (text, label) in enumerate((*PHRASES, *TEMPLATES)):
         words = Words([text.encode()], BLANK)
         runs = grams(words.hashes(), K)[: len(words.starts) - K + 1].view(np.int64).tolist()
+        if len(runs) > MOST_RUNS:
+            raise ValueError(f"template {n} has {len(runs)} runs, more than {MOST_RUNS}")
         rows += [(g, n, at, len(runs), n < len(PHRASES), label) for at, g in enumerate(runs)]
     return spark.createDataFrame(rows, "gram bigint, template int, at bigint, runs int, base boolean, label string")
 
@@ -93,17 +98,29 @@ def spans(docs: DataFrame) -> DataFrame:
     """
     places = F.broadcast(template_places(docs.sparkSession))
     hits = runs_of_words(docs).join(places, "gram").drop("gram").repartition("row_key")
+    bit = F.expr("shiftleft(1L, CAST(at AS INT))")
     diagonals = hits.groupBy("row_key", "template", "label", "base", "runs", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.max("doc_id").alias("doc_id"), F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    upto = Window.partitionBy("row_key", "template").orderBy("first", "diagonal")
-    # a base phrase and a document are spans of their own
-    apart = F.col("base") | (F.col("template") < 0) | F.lag("diagonal").over(upto).isNull()
-    apart |= (F.abs(F.col("diagonal") - F.lag("diagonal").over(upto)) > LEAP) | (F.col("first") - F.lag("last").over(upto) > GAP)
-    merged = diagonals.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    found = merged.groupBy("row_key", "template", "label", "base", "runs", "span").agg(
-        F.max("doc_id").alias("doc_id"), F.min("first").alias("start"), F.max("last").alias("stop"), F.least(F.lit(1.0), F.sum("votes") / F.col("runs")).alias("cover"))
-    good = (F.col("template") < 0) | (F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(COVER))
-    return found.filter(good).select("row_key", "doc_id", "label", "base", "start", F.when(F.col("template") < 0, F.col("stop")).otherwise(F.col("stop") + K).alias("stop"), "cover")
+        F.max("doc_id").alias("doc_id"), F.bit_or(bit).alias("own"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    # a base phrase and a document are spans of their own; all else is merged with its neighbours
+    alone = F.col("base") | (F.col("template") < 0)
+    beside = Window.partitionBy("row_key", "template").orderBy("diagonal").rangeBetween(-LEAP, LEAP)
+    merged = diagonals.withColumns({
+        "found": F.when(alone, F.col("own")).otherwise(F.bit_or("own").over(beside)),
+        "start": F.when(alone, F.col("first")).otherwise(F.min("first").over(beside)),
+        "end": F.when(alone, F.col("last")).otherwise(F.max("last").over(beside)),
+    })
+    covered = F.col("found")
+    for j in range(1, K):
+        covered = covered.bitwiseOR(F.shiftleft("found", j))
+    merged = merged.withColumns({
+        "cover": F.bit_count("found") / F.col("runs"), "words": F.bit_count(covered) / (F.col("runs") + K - 1),
+    })
+    good = F.when(alone, F.col("cover") >= 1).otherwise((F.col("cover") >= COVER) & (F.col("words") >= WORDS))
+    # of neighbours that are good, the best one stands for the place; of equals the first
+    rank = F.struct(good.alias("good"), "cover", "words", F.bit_count("own").alias("votes"), (-F.col("diagonal")).alias("back"))
+    best = merged.withColumn("best", alone | (rank == F.max(rank).over(beside)))
+    stop = F.when(F.col("template") < 0, F.col("end")).otherwise(F.col("end") + K)
+    return best.filter(good & F.col("best")).select("row_key", "doc_id", "label", "base", "start", stop.alias("stop"), "cover")
 
 
 def _joined(labels: Column) -> Column:

@@ -40,8 +40,7 @@ from pagewright.session import cut_lineage, shared_folder
 
 #: Ids of a block, beside a longer document.
 BLOCK_TOKENS = 1 << 20
-#: Rounds of replacing pairs, and occurrences that make a pair worth a rule.
-ROUNDS = 8
+#: Occurrences that make a pair worth a rule.
 LEAST = 8
 MAGIC = b"RPB1"
 NO_ID = -(1 << 63)
@@ -50,17 +49,16 @@ NO_ID = -(1 << 63)
 # ------------------------------------------------------------------ grammar
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Symbols, rules (pairs of symbols), first symbol of each document, and the first number of a rule.
 
-    starts: first id of each document, and the number of ids. Pairs across documents are never replaced.
+    starts: first id of each document, and the number of ids. Pairs across documents are never replaced. Rounds go on
+    until no pair is found `least` times; each leaves fewer symbols.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
     symbols, rules, sizes = ids.astype(np.uint32), [], 0
     starts = starts.astype(np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2 * least:
-            break
+    while len(symbols) >= 2 * least:
         width = base + sizes
         # a pair is one number, of 32 bits where that is enough
         wide = np.uint32 if width <= 1 << 16 else np.uint64

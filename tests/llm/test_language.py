@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from pagewright.llm import language
 
@@ -27,6 +28,12 @@ def test_labels_of_held_out_documents_teach_nothing(spark):
     assert {(r.doc_id % 2, r.lang_pred) for r in language.digest(docs).collect()} == {(0, "en"), (1, "de")}
 
 
+def test_many_tiny_texts_are_taken_in_bounded_runs():
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 2300)], ["text"])
+    got = [p.num_rows for p in language.parts(batch, "text")]
+    assert sum(got) == 2300 and max(got) == language.ROWS
+
+
 def test_codewords():
     for n in (1, 2, 4, 30, 200):
         codes = language.codewords(n)

@@ -40,6 +40,58 @@ def test_method_labels(spark):
     assert 0.6 <= got[1].score < 1 and got[2].score == 1 and got[3].score == 0 and not got[4].n_base
 
 
+def _labels(text):
+    """Labels and score by trying each place of each template in the text."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    runs = {}
+    for i in range(len(words) - 2):
+        runs.setdefault(tuple(words[i : i + 3]), []).append(i)
+    labels, score = set(), 0.0
+    for phrase, label in licenses.PHRASES:
+        n = len(phrase.split())
+        if any(words[i : i + n] == phrase.split() for i in range(len(words))):
+            labels.add(label)
+            score = 1.0
+    for template, label in licenses.TEMPLATES:
+        t = template.split()
+        places = [(i - at, at) for at in range(len(t) - 2) for i in runs.get(tuple(t[at : at + 3]), [])]
+        for d in {d for d, _ in places}:
+            found = {at for e, at in places if abs(e - d) <= licenses.LEAP}
+            said = {at + j for at in found for j in range(3)}
+            if len(found) / (len(t) - 2) >= licenses.COVER and len(said) / len(t) >= licenses.WORDS:
+                labels.add(label)
+                score = max(score, len(found) / (len(t) - 2))
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_equal_a_search_of_all_places(spark):
+    pick = random.Random(8)
+    rows = []
+    for i in range(600):
+        words = " ".join(pick.choice(licenses.TEMPLATES)[0] for _ in range(pick.randint(1, 3))).split()
+        for _ in range(pick.randint(0, 8)):
+            at = pick.randrange(len(words) + 1)
+            pick.choice([lambda: words.insert(at, "other"), lambda: words.__delitem__(slice(at, at + pick.randint(1, 6))), lambda: words.insert(at, words[at - 1] if words else "x")])()
+        rows.append((i, " ".join(words)))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len({r.labels for r in got}) > 10
+    for r in got:
+        assert (r.labels, r.score) == _labels(rows[r.doc_id][1])
+
+
+def test_a_run_counts_once(spark):
+    rows = [(1, "under the mit roof under the mit"), (2, "gnu general public " * 5_000), (3, "of the gnu of the gnu of the gnu general public"), (4, "under the mit " * 40_000)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.labels, r.score) for r in got] == [("", 0.0)] * 4
+
+
+def test_places_of_a_template(spark):
+    said = "this work is licensed under the gnu general public license version 3"
+    docs = spark.createDataFrame([(7, 1, f"{said} and {said}")], "row_key bigint, doc_id bigint, text string")
+    got = sorted((r.start, r.stop) for r in licenses.spans(docs).filter("label = 'gpl-3'").collect())
+    assert got == [(0, 12), (13, 25)]
+
+
 def test_hits_are_moved_once(spark):
     docs = spark.createDataFrame([(1, "cc by nc")], "doc_id bigint, text string")
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()

@@ -26,6 +26,17 @@ def test_grammar_round_trip(seed):
         assert np.array_equal(block.stretch(a, b), ids[a:b])
 
 
+def test_no_pair_worth_a_rule_is_left():
+    passage = np.random.default_rng(1).integers(0, 50_000, 260).astype(np.uint32)
+    ids = np.tile(passage, 4000)
+    symbols, rules, starts, base = tokenfile.compress(ids, np.array([0, len(ids)]))
+    assert len(symbols) < 200 and np.array_equal(tokenfile.expand(symbols, rules, base), ids)
+    mixed = np.random.default_rng(2).integers(0, 40, 60_000).astype(np.uint32)
+    symbols, rules, starts, base = tokenfile.compress(mixed, np.array([0, len(mixed)]))
+    pairs = np.stack([symbols[:-1], symbols[1:]], axis=1)
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < tokenfile.LEAST and np.array_equal(tokenfile.expand(symbols, rules, base), mixed)
+
+
 def test_files(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK_TOKENS", 50)
     pick = random.Random(3)
