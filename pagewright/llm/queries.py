@@ -33,7 +33,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
-_DRAW = "CAST('0x' || substr(md5({seed} || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+_DRAW = "CAST('0x' || substr(md5({seed} || ':' || mark), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 _TRIES = ", ".join(
     f"{{'gap': abs(floor(rate) * source_size + sum(CASE WHEN {_DRAW.format(seed=repr(str(s)))} < rate - floor(rate) THEN size ELSE 0 END) - target), 'seed': {s}}}"
     for s in range(16)
@@ -42,7 +42,8 @@ _TRIES = ", ".join(
 
 @_query("op2_mix_sources", f"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null') AS mark FROM documents
 ), per_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM sizes GROUP BY source
 ), weighted AS (

@@ -73,5 +73,14 @@ def test_rows_are_emitted_as_planned(spark, monkeypatch):
     assert got == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("name", [None, 7])
+def test_rows_without_ids_of_their_own(spark, name):
+    rows = [(name, f"text number {i} of a source", "abc"[i % 3], 1.0) for i in range(900)]
+    out = mixing.plan(_docs(spark, rows)).collect()
+    for s in "abc":
+        assert sum(r.taken for r in out if r.source == s) == pytest.approx(next(r.target for r in out if r.source == s), rel=0.05)
+    assert mixing.mix(_docs(spark, rows)).count() == sum(r.copies for r in out)
+
+
 def test_empty(spark):
     assert mixing.plan(_docs(spark, [])).count() == 0 and mixing.mix(_docs(spark, [])).count() == 0
