@@ -345,3 +345,23 @@ def eval_report(summary: DataFrame, gate: DataFrame, cases: DataFrame, rates: Da
     out = out.unionByName(rates.select(F.lit("category").alias("section"), F.col("category").alias("name"), F.col("pass_rate").cast("decimal(6,4)").cast("string").alias("value")))
     return out.unionByName(cases.select(F.lit("case").alias("section"), F.col("case_id").cast("string").alias("name"),
                                         F.concat_ws("|", "category", F.col("runs").cast("string"), F.col("passes").cast("string"), F.col("final_pass").cast("string")).alias("value")))
+
+
+def case_reports(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """One JSON document per case: its roll-up, and a diagnosis of each of its runs in order.
+
+    Holds classes and numbers only, no text of a document, question or model.  Cases stay rows (JSON lines when written), as there
+    may be as many as documents; a case has a few repeats.  A case without runs has an empty list of diagnoses.
+    """
+    failed = F.filter(F.array(*[F.when(~F.col(f"check_{c}"), F.lit(c)) for c in S.EVAL_CHECKS]), lambda c: c.isNotNull())
+    named = {"status": "terminalStatus", "failure_category": "failureCategory", "provider_error": "providerErrorCategory", "claim_count": "claimCount",
+             "citation_count": "citationCount", "latency": "latencySec", "explicit": "explicitSafetyViolation", "critical": "criticalCaseFailure"}
+    run = F.struct(F.col("run_index").alias("runIndex"), "passed", failed.alias("failedChecks"), *[F.col(c).alias(n) for c, n in named.items()])
+    each = results.groupBy("case_id").agg(F.array_sort(F.collect_list(run)).alias("runDiagnostics"))
+    rolled = {"case_id": "caseId", "category": "category", "safety_critical": "safetyCritical", "runs": "runs", "passes": "passes", "pass_rate": "passRate",
+              "statuses": "statuses", "last_status": "answerStatus", "claim_count": "claimCount", "citation_count": "citationCount", "mean_latency": "latencySec",
+              "unstable": "unstable", "safety_failed": "safetyFailed", "explicit": "explicitSafetyViolation", "critical": "criticalCaseFailure",
+              "violations": "safetyViolations", "final_pass": "finalPass"}
+    df = cases.join(each, "case_id", "left").withColumn("runDiagnostics", F.coalesce("runDiagnostics", F.array().cast(each.schema["runDiagnostics"].dataType)))
+    body = F.struct(*[F.col(c).alias(n) for c, n in rolled.items()], "runDiagnostics")
+    return df.select("case_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))

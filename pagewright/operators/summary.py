@@ -332,3 +332,15 @@ def latest_summary(runs: DataFrame, documents: DataFrame) -> DataFrame:
         (F.col("status").isNull() | F.col("status").isin("failed", "cancelled")).alias("can_retry"),
         F.when(F.col("error_code") == "SUMMARY_TIMEOUT", "timeout").when(F.col("error_code") == "SUMMARY_INVALID_RESPONSE", "invalid_response").alias("failure_category"),
     )
+
+
+def latest_artifacts(runs: DataFrame, artifacts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Artifacts (run_id, document_id, position, ...) of every document's newest successful run, as rows, and whether they are stale.
+
+    Of runs made at one time the one with the larger id counts, as in `latest_summary`.  A document whose runs all failed, or whose
+    newest successful one left nothing, has no row; artifacts of older runs are never shown in its place.
+    """
+    good = runs.filter("status = 'succeeded'").groupBy("document_id").agg(F.max(F.struct("created_at", "run_id", "source_revision")).alias("r"))
+    shown = good.join(documents.select("document_id", "content_revision"), "document_id").select(
+        "document_id", F.col("r.run_id").alias("run_id"), F.coalesce(F.col("r.source_revision") != F.col("content_revision"), F.lit(False)).alias("stale"))
+    return artifacts.join(shown, ["document_id", "run_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagewright import settings as S
@@ -9,8 +11,9 @@ from pagewright.functions import text as T
 from pagewright.operators import evaluation as E
 from pagewright.plans import oracle_views as V
 from pagewright.plans.registry import query
-from pagewright.session import cut_lineage, per_folder
+from pagewright.session import cut_lineage, per_folder, shared_folder
 from pagewright.sources import corpus as C
+from pagewright.sources import files as I
 
 VIEWS = V.VIEWS
 M = C.DATA_MARKERS
@@ -229,3 +232,31 @@ UNION ALL SELECT 'summary', unnest(['total_runs','protocol_rate','status_accurac
  unnest([total_runs::VARCHAR, protocol_rate::VARCHAR, status_accuracy::VARCHAR, answerable_valid::VARCHAR, not_found_hold::VARCHAR, total_cases::VARCHAR, safety_failure_cases::VARCHAR, explicit_cases::VARCHAR, critical_cases::VARCHAR, unstable_cases::VARCHAR, repeat::VARCHAR]) FROM o_sum""")
 def _eval_report(spark, folder):
     return E.eval_report(summary(spark, folder), gate(spark, folder), rolled(spark, folder), E.category_rates(rolled(spark, folder)))
+
+
+FAILED = "list_filter([" + ", ".join(f"CASE WHEN NOT c_{c} THEN '{c}' END" for c in S.EVAL_CHECKS) + "], lambda x: x IS NOT NULL)"
+
+
+@query("case_reports", f"""SELECT a.case_id, to_json(struct_pack(caseId := a.case_id, category := a.category, safetyCritical := a.safety_critical, runs := a.runs, passes := a.passes, passRate := a.pass_rate,
+ statuses := string_split(a.statuses, ';'), answerStatus := a.last_status, claimCount := a.claim_count, citationCount := a.citation_count, latencySec := a.mean_latency, unstable := a.unstable,
+ safetyFailed := a.safety_failed, explicitSafetyViolation := a.explicit, criticalCaseFailure := a.critical, safetyViolations := CASE WHEN b.violations IS NULL THEN [] ELSE string_split(b.violations, ';') END,
+ finalPass := a.final_pass, runDiagnostics := e.runs))::VARCHAR AS report
+FROM o_agg a LEFT JOIN o_broken b USING (case_id) JOIN (SELECT case_id, list(struct_pack(runIndex := run_index::BIGINT, passed := passed, failedChecks := {FAILED}, terminalStatus := status, failureCategory := failure_category,
+ providerErrorCategory := provider_error, claimCount := n, citationCount := k, latencySec := latency, explicitSafetyViolation := explicit, criticalCaseFailure := critical) ORDER BY run_index) AS runs FROM o_eval GROUP BY case_id) e USING (case_id)""")
+def _case_reports(spark, folder):
+    return E.case_reports(rolled(spark, folder), stored_results(spark, folder))
+
+
+@query("read_eval_cases", """SELECT case_id, category, expected_status, question, array_to_string(required_evidence, '|') AS evidence, array_to_string(forbidden_claims, '|') AS forbidden,
+ array_to_string(expected_numbers, '|') AS numbers, array_to_string(expected_units, '|') AS units, expected_polarity, expected_conflict, max_claims, safety_critical FROM o_cases""")
+def _read_eval_cases(spark, folder):
+    """Cases written as JSON lines, under the names that a file of cases has, and read again."""
+    names = {"category": "category", "expected_status": "expectedStatus", "question": "question", "required_evidence": "requiredEvidence", "forbidden_claims": "forbiddenClaims",
+             "expected_numbers": "expectedNumbers", "expected_units": "expectedUnits", "expected_polarity": "expectedPolarity", "expected_conflict": "expectedConflict",
+             "max_claims": "maximumAcceptedClaims", "safety_critical": "safetyCritical"}
+    files = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
+    cases(spark, folder).select(F.col("case_id").cast("string").alias("caseId"), *[F.col(c).alias(n) for c, n in names.items()]).write.json(files)
+    lists = {"required_evidence": "evidence", "forbidden_claims": "forbidden", "expected_numbers": "numbers", "expected_units": "units"}
+    read = I.read_eval_cases(spark, files)
+    columns = [F.array_join(n, "|").alias(lists[c]) if c in lists else F.col(n).alias(c) for c, n in names.items()]
+    return read.select(F.col("caseId").cast("bigint").alias("case_id"), *columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagewright import settings as S
@@ -9,8 +11,9 @@ from pagewright.functions import text as T
 from pagewright.operators import layout as L
 from pagewright.plans import oracle_views as V
 from pagewright.plans.registry import query
-from pagewright.session import per_folder
+from pagewright.session import per_folder, shared_folder
 from pagewright.sources import corpus as C
+from pagewright.sources import files as I
 
 VIEWS = V.VIEWS
 KEY = ["document_id", "page_number", "block_index"]
@@ -198,7 +201,68 @@ def _isolate_bad_pages(spark, folder):
 @query("read_layout", """SELECT document_id, page_shard, count(*) AS blocks, count(DISTINCT page_number) AS pages, sum(length(text))::BIGINT AS chars,
   count(*) FILTER (source_method='ocr') AS ocr_blocks, round(sum(x1-x0), 3) AS widths FROM v_blocks GROUP BY ALL""")
 def _read_layout(spark, folder):
-    return C.v_blocks(spark, folder).groupBy("document_id", "page_shard").agg(
+    return parser_output(spark, folder).blocks.groupBy("document_id", "page_shard").agg(
         F.count(F.lit(1)).alias("blocks"), F.count_distinct("page_number").alias("pages"), F.sum(F.length("text")).alias("chars"),
         F.count(F.when(F.col("source_method") == "ocr", 1)).alias("ocr_blocks"), F.round(F.sum(F.col("x1") - F.col("x0")), 3).alias("widths"),
     )
+
+
+@per_folder
+def parser_output(spark, folder):
+    """All pages as a parser writes them, in files of JSON lines, and read again.
+
+    Beside its good line, every third page has a second one with a fault, which must not reach any table.
+    """
+    at = ["document_id", "page_number"]
+
+    def gathered(df, name, *fields):
+        box = F.array("x0", "y0", "x1", "y1").alias("bbox")
+        return df.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct(*fields, box))).alias(name))
+
+    blocks = C.v_blocks(spark, folder)
+    line = F.array(F.struct(F.array("x0", "y0", "x1", "y1").alias("bbox"), "text", F.lit(0).alias("line_index"))).alias("lines")
+    tables = C.v_tables(spark, folder).select("*", F.col("markdown_text").alias("markdown"))
+    pages = C.v_pages(spark, folder).join(gathered(blocks, "blocks", "block_index", "text", "block_type", "source_method", line), at)
+    pages = pages.join(gathered(C.v_words(spark, folder), "words", "block_index", F.lit(0).alias("line_index"), "word_index", "text"), at, "left")
+    pages = pages.join(gathered(tables, "tables", "table_index", "markdown"), at, "left")
+    images = C.v_images(spark, folder).select(*at, F.array(F.array("x0", "y0", "x1", "y1")).alias("image_bboxes"))
+    pages = pages.join(images, at, "left").drop("page_shard")
+    good = F.to_json(F.struct(*pages.columns))
+    k = (F.col("document_id") + F.col("page_number")) % 15
+
+    def but(**changed):
+        return F.to_json(F.struct(*[changed[c].alias(c) if c in changed else F.col(c) for c in pages.columns]))
+
+    first = F.get("blocks", F.lit(0))
+    faulty = (
+        F.when(k == 0, F.substring(good, 1, 40)).when(k == 3, but(page_number=F.lit(0))).when(k == 6, but(width=F.lit(-1.0)))
+        .when(k == 9, but(blocks=F.array(first.withField("bbox", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))))).when(k == 12, but(blocks=F.array(first, first)))
+    )
+    files = f"{shared_folder(spark)}/layout-{uuid.uuid4().hex}"
+    pages.select(F.explode(F.array_compact(F.array(good, faulty))).alias("value")).write.text(files)
+    return I.read_layout(spark, files)
+
+
+@query("layout_quarantine", """SELECT ['malformed','no_page','bad_size','bad_box','bad_block'][k//3+1] AS reason, CASE WHEN k > 0 THEN document_id END AS document_id,
+  count(*) AS lines, min(CASE k WHEN 0 THEN NULL WHEN 3 THEN 0 ELSE page_number END) AS first_page
+FROM (SELECT document_id, page_number, (document_id + page_number) % 15 AS k FROM v_pages) WHERE k % 3 = 0 GROUP BY ALL""")
+def _layout_quarantine(spark, folder):
+    return parser_output(spark, folder).rejected.groupBy("reason", "document_id").agg(F.count(F.lit(1)).alias("lines"), F.min("page_number").alias("first_page"))
+
+
+@query("layout_parts", """SELECT part, document_id, page_shard, count(*) AS n, sum(length(text))::BIGINT AS chars, round(sum(x1-x0), 2) AS widths, round(sum(y1-y0), 2) AS heights FROM (
+  SELECT 'line' AS part, document_id, page_shard, text, x0, y0, x1, y1 FROM v_blocks
+  UNION ALL SELECT 'word', document_id, page_shard, text, x0, y0, x1, y1 FROM v_words
+  UNION ALL SELECT 'table', document_id, page_shard, markdown_text, x0, y0, x1, y1 FROM v_tables
+  UNION ALL SELECT 'image', document_id, page_shard, '', x0, y0, x1, y1 FROM v_images) GROUP BY ALL""")
+def _layout_parts(spark, folder):
+    found = parser_output(spark, folder)
+
+    def part(name, df, text):
+        return df.select(F.lit(name).alias("part"), "document_id", "page_shard", text.alias("text"), "x0", "y0", "x1", "y1")
+
+    rows = part("line", found.lines, F.col("text")).unionByName(part("word", found.words, F.col("text")))
+    rows = rows.unionByName(part("table", found.tables, F.col("markdown"))).unionByName(part("image", found.images, F.lit("")))
+    return rows.groupBy("part", "document_id", "page_shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"),
+        F.round(F.sum(F.col("x1") - F.col("x0")), 2).alias("widths"), F.round(F.sum(F.col("y1") - F.col("y0")), 2).alias("heights"))

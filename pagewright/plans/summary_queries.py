@@ -265,3 +265,11 @@ def _latest_summary(spark, folder):
     return U.latest_summary(runs(spark, folder), C.v_documents(spark, folder))
 
 
+@query("latest_artifacts", """WITH g AS (SELECT * FROM o_runs WHERE status='succeeded' QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, run_id DESC)=1)
+SELECT a.document_id, g.run_id, a.kind AS artifact_type, a.title, a.text, a.position, coalesce(g.source_revision <> d.content_revision, false) AS stale
+FROM o_built a JOIN g ON g.document_id = a.document_id AND g.run_id % 5 = a.item_no % 5 JOIN v_documents d ON d.document_id = a.document_id""")
+def _latest_artifacts(spark, folder):
+    """Every run leaves a fifth of what its document's summary may hold."""
+    fifth = runs(spark, folder).select("document_id", "run_id", (F.col("run_id") % 5).alias("fifth"))
+    left = built(spark, folder).withColumn("fifth", F.col("item_no") % 5).join(fifth, ["document_id", "fifth"]).drop("fifth", "item_no")
+    return U.latest_artifacts(runs(spark, folder), left, C.v_documents(spark, folder))
