@@ -193,6 +193,26 @@ def recover_answers(messages: DataFrame) -> DataFrame:
     )
 
 
+def recover_interrupted(documents: DataFrame, jobs: DataFrame, pages: DataFrame, messages: DataFrame) -> DataFrame:
+    """All that a restart settles, in one table: kind (document, page, job, answer), key, status, restart, failure_code.
+
+    `key` is the document, the document and page, the job, or the thread and sequence number.  Jobs are judged by the pages that
+    still wait, so that an OCR job with work left goes on.  Rows of deleted documents and of pages that don't wait are left out;
+    jobs and answers that nothing interrupted stay, with their status as it was.
+    """
+    none = F.lit(None).cast("string")
+    waiting = recover_pages(pages, documents)
+
+    def part(kind, df, key, status="status", restart=none, failure=none):
+        columns = F.array(*[F.col(k).cast("bigint") for k in key])
+        return df.select(F.lit(kind).alias("kind"), columns.alias("key"), F.col(status).alias("status"), restart.alias("restart"), failure.alias("failure_code"))
+
+    found = part("document", recover_documents(documents, jobs), ["document_id"], "new_status", F.col("restart"), F.col("failure_code"))
+    found = found.unionByName(part("page", waiting, ["document_id", "page_number"], "ocr_status"))
+    found = found.unionByName(part("job", recover_jobs(jobs, waiting), ["job_id"], failure=F.col("failure_code")))
+    return found.unionByName(part("answer", recover_answers(messages), ["thread_id", "sequence_number"], failure=F.col("error_code")))
+
+
 def needs_extraction(documents: DataFrame, engine: str, version: str, schema_version: int, force: bool = False) -> DataFrame:
     """Documents to extract: not yet done with this engine, version and schema (all with `force`)."""
     current = (

@@ -168,20 +168,9 @@ UNION ALL SELECT 'answer', thread_id*1000000+sequence_number, CASE WHEN role='as
 
 @query("recover_interrupted", RECOVER_SQL)
 def _recover_interrupted(spark, folder):
-    docs, jobs = C.v_documents(spark, folder), C.v_jobs(spark, folder)
-    none = F.lit(None).cast("string")
-    waiting = Y.recover_pages(waiting_pages(spark, folder), docs)
-    parts = (
-        Y.recover_documents(docs, jobs).select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), F.col("new_status").alias("status"), "restart", "failure_code"),
-        waiting.select(F.lit("page").alias("kind"), C.message_id().alias("id"), F.col("ocr_status").alias("status"), none.alias("restart"), none.alias("failure_code")),
-        Y.recover_jobs(jobs, waiting).select(F.lit("job").alias("kind"), F.col("job_id").alias("id"), "status", none.alias("restart"), "failure_code"),
-        Y.recover_answers(C.v_messages(spark, folder)).select(F.lit("answer").alias("kind"), C.message_id("thread_id", "sequence_number").alias("id"), "status", none.alias("restart"),
-                                                              F.col("error_code").alias("failure_code")),
-    )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = Y.recover_interrupted(C.v_documents(spark, folder), C.v_jobs(spark, folder), waiting_pages(spark, folder), C.v_messages(spark, folder))
+    at = [F.get("key", F.lit(i)) for i in range(2)]
+    return found.select("kind", F.when(at[1].isNull(), at[0]).otherwise(at[0] * 1_000_000 + at[1]).alias("id"), "status", "restart", "failure_code")
 
 
 @query("needs_extraction", """SELECT document_id FROM v_documents WHERE processing_status IN ('ready','extracted','partially_extracted','ocr_required','extraction_failed')

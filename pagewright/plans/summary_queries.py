@@ -169,12 +169,21 @@ def tokens(spark, folder):
         "document_id", p.alias("item_no"), F.posexplode(F.array(g, more, F.lit("g0"))).alias("token_pos", "token"))
 
 
+def resolved(spark, folder):
+    g = grouped(spark, folder)
+    groups = g.select("document_id", F.concat(F.lit("g"), F.col("position").cast("string")).alias("token"), "chunk_id", F.col("chunk_index").alias("chunk_pos"))
+    return U.resolve_group_sources(tokens(spark, folder), groups)
+
+
 @query("resolve_group_sources", """SELECT DISTINCT g.document_id, g.position AS item_no, s.chunk_id FROM (SELECT DISTINCT document_id, position FROM o_grouped WHERE document_id%7<>2) g
 JOIN o_grouped s ON s.document_id=g.document_id AND s.position IN (g.position, 0)""")
 def _resolve_group_sources(spark, folder):
-    g = grouped(spark, folder)
-    groups = g.select("document_id", F.concat(F.lit("g"), F.col("position").cast("string")).alias("token"), "chunk_id", F.col("chunk_index").alias("chunk_pos"))
-    return U.resolve_group_sources(tokens(spark, folder), groups)[0].select("document_id", "item_no", "chunk_id")
+    return resolved(spark, folder)[0].select("document_id", "item_no", "chunk_id")
+
+
+@query("rejected_group_sources", "SELECT DISTINCT document_id FROM o_grouped WHERE document_id%7=2")
+def _rejected_group_sources(spark, folder):
+    return resolved(spark, folder)[1]
 
 
 VIEWS["o_raw"] = f"""

@@ -4,6 +4,7 @@ import json
 
 from pagewright import settings as S
 from pagewright.operators import evaluation as E
+from pagewright.operators import lifecycle as Y
 from pagewright.operators import summary as U
 from pagewright.sources import files as I
 
@@ -89,3 +90,20 @@ def test_a_case_report_holds_its_runs_in_order(spark):
     assert report["statuses"] == ["completed", "failed"] and report["answerStatus"] == "failed" and report["unstable"] is True
     alone = json.loads(E.case_reports(cases, results.limit(0)).first().report)
     assert alone["runDiagnostics"] == []
+
+
+def test_a_restart_settles_everything_in_one_table(spark):
+    documents = spark.createDataFrame([(1, "queued", None), (2, "ready", 5), (3, "extracting", None)], "document_id long, processing_status string, deleted_at long")
+    jobs = spark.createDataFrame(
+        [(10, 1, "ocr_document", "running", 1, 0, 3, None), (11, 3, "ocr_document", "running", 1, 0, 3, None), (12, 3, "extract_document", "running", 1, 3, 3, None)],
+        "job_id long, document_id long, job_type string, status string, created_at long, attempt_count long, max_attempts long, failure_code string")
+    pages = spark.createDataFrame([(1, 1, "running"), (1, 2, "ocr_completed"), (2, 1, "running")], "document_id long, page_number long, ocr_status string")
+    messages = spark.createDataFrame([(7, 1, "assistant", "streaming", None), (7, 2, "user", "pending", None)], "thread_id long, sequence_number long, role string, status string, error_code string")
+    got = {(r.kind, tuple(r.key)): (r.status, r.restart, r.failure_code) for r in Y.recover_interrupted(documents, jobs, pages, messages).collect()}
+    assert got == {
+        ("document", (1,)): ("queued", "validate", None), ("document", (3,)): ("extraction_failed", None, "EXTRACTION_ATTEMPTS_EXHAUSTED"),
+        ("page", (1, 1)): ("pending", None, None), ("job", (10,)): ("running", None, None), ("job", (11,)): ("failed", None, "INTERRUPTED"), ("job", (12,)): ("running", None, None),
+        ("answer", (7, 1)): ("interrupted", None, "APP_RESTARTED"), ("answer", (7, 2)): ("pending", None, None),
+    }
+    empty = Y.recover_interrupted(documents.limit(0), jobs.limit(0), pages.limit(0), messages.limit(0))
+    assert empty.count() == 0
