@@ -6,6 +6,7 @@ from pagewright import settings as S
 from pagewright.operators import evaluation as E
 from pagewright.operators import lifecycle as Y
 from pagewright.operators import summary as U
+from pagewright.plans import layout_queries
 from pagewright.sources import files as I
 
 BLOCK = {"bbox": [700, 5, 10.004, 20], "text": "a", "block_index": 0, "lines": [{"bbox": [0, 0, 1, 1], "text": "a", "line_index": 0}]}
@@ -107,3 +108,21 @@ def test_a_restart_settles_everything_in_one_table(spark):
     }
     empty = Y.recover_interrupted(documents.limit(0), jobs.limit(0), pages.limit(0), messages.limit(0))
     assert empty.count() == 0
+
+
+def test_a_line_is_parsed_once(spark):
+    out = I.parse_layout(lines(spark, json.dumps(PAGE)))
+    for table in (out.rejected, out.blocks, out.words):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        # the filter on the fault must not be pushed below the parser, once for each field that it looks at
+        assert plan.count("from_json") == 1
+
+
+def test_parser_output_is_moved_and_written_small(spark, tmp_path):
+    folder = tmp_path / "documents.parquet"
+    text = "\n".join(" ".join(f"word{i % 7}" for i in range(40)) for _ in range(16))
+    spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").write.parquet(str(folder))
+    out = layout_queries.parser_output(spark, str(tmp_path))
+    files = out.words.inputFiles()
+    assert files and all(f.endswith(".gz") for f in files)
+    assert out.words.count() == 40 * 16 * 40
