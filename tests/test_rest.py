@@ -233,6 +233,20 @@ def test_ingest_newest_revision_and_blank_documents(spark, tmp_path):
     assert batch((1, "text after that is stale", 2)) == first[1:]
 
 
+def test_ingest_reads_a_table_of_part_files(spark, tmp_path):
+    rows = [(i, f"line one of {i}\nand a second one", "en", "web", 30) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    docs.write.parquet(str(tmp_path / "parts" / "other.parquet"))
+    out = str(tmp_path / "chunks")
+    N.incremental_ingest(spark, str(tmp_path / "parts"), out, str(tmp_path / "state"), "documents.parquet").awaitTermination()
+    assert {r.document_id for r in read_document_rows(spark, out).collect()} == set(range(6))
+    # a folder of single files, as before
+    flat = str(tmp_path / "parts" / "other.parquet")
+    N.incremental_ingest(spark, flat, out + "2", str(tmp_path / "state2")).awaitTermination()
+    assert {r.document_id for r in read_document_rows(spark, out + "2").collect()} == set(range(6))
+
+
 def test_a_killed_ingestion_goes_on(spark, tmp_path, monkeypatch):
     """Death in each step, one after the other: what was committed stays, the next run does the rest, and nothing is there twice."""
     from pagewright.operators import index as I_
