@@ -10,7 +10,7 @@ from pagewright.plans import oracle_views as V
 from pagewright.plans.layout_queries import laid_out
 from pagewright.plans.registry import query
 from pagewright.plans.text_queries import LONG_SQL
-from pagewright.session import cut_lineage, per_folder
+from pagewright.session import per_folder, stored
 from pagewright.sources import corpus as C
 
 VIEWS = V.VIEWS
@@ -95,7 +95,7 @@ def chunk_table(spark, folder):
 @per_folder
 def stored_chunks(spark, folder):
     """The chunk table as later steps read it: written once, then scanned."""
-    return cut_lineage(chunk_table(spark, folder))
+    return stored(chunk_table(spark, folder))
 
 
 @query("select_chunk_blocks", "SELECT document_id, page_number, block_index, reading_order, source_method FROM o_sel")

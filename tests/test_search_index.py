@@ -93,6 +93,21 @@ def test_index_follows_documents(spark, tmp_path, monkeypatch):
     assert index.lexicon.count() == index.lexicon.distinct().count()
 
 
+def test_postings_are_made_without_a_shuffle(spark, tmp_path):
+    rows = [(1, "1:0", 0, "b a b\n a c a", "a d"), (1, "1:1", 1, "", None), (2, "2:0", 0, " \t", ""), (None, "3:0", 0, "b", "b")]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    words = I.chunk_words(chunks)
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    summed = words.groupBy("word", "chunk_id").agg(F.sum("in_body"), F.sum("in_head"))
+    assert {tuple(r) for r in summed.collect()} == {("a", "1:0", 3, 1), ("b", "1:0", 2, 0), ("c", "1:0", 1, 0), ("d", "1:0", 0, 1), ("b", "3:0", 1, 1)}
+    # one write is read without its ledger; rows without a document are not part of it
+    I.write_index(chunks, str(tmp_path / "index"))
+    index = I.read_index(spark, str(tmp_path / "index"))
+    assert "Join" not in index.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.chunk_id for r in index.stats.collect()) == ["1:0", "1:1", "2:0"]
+    assert {r.word for r in index.postings.collect()} == {"a", "b", "c", "d"}
+
+
 def test_one_plan_and_no_job_for_it(spark, tmp_path):
     path = str(tmp_path / "index")
     I.write_index(spark.createDataFrame(_table(), CHUNKS), path)
