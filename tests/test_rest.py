@@ -233,6 +233,21 @@ def test_ingest_newest_revision_and_blank_documents(spark, tmp_path):
     assert batch((1, "text after that is stale", 2)) == first[1:]
 
 
+def test_texts_are_looked_at_once(spark):
+    df = spark.createDataFrame([("It is  NOT so",), ("plain",), (None,), ("no",)], "text string")
+    found = df.select(T.negation_markers("text", (" not ", " no ", "n't")).alias("m"))
+    # white space is collapsed once for all markers
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r.m for r in found.collect()] == [[" not "], [], [], [" no "]]
+    answers = spark.createDataFrame([(1, "a", "answered", ["f"])], "message_id long, answer string, answer_status string, follow_ups array<string>")
+    claims = spark.createDataFrame([(1, 1, "the red big pump runs", ["c"]), (1, 2, "the red big pump no runs", ["c"])], "message_id long, claim_no long, text string, source_chunk_ids array<string>")
+    context = spark.createDataFrame([(1, 0, "c", "the red big pump runs or no runs")], "message_id long, rank long, chunk_id string, text string")
+    result = Q.verify_answers(answers, claims, context)[0]
+    assert len([ln for ln in result._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in ln and "raw_no" in ln]) == 1
+    row = result.first()
+    assert (row.status, row.n_claims, row.n_supported) == ("conflicting_evidence", 2, 2)
+
+
 def test_ingest_reads_a_table_of_part_files(spark, tmp_path):
     rows = [(i, f"line one of {i}\nand a second one", "en", "web", 30) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
