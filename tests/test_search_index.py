@@ -98,8 +98,8 @@ def test_postings_are_made_without_a_shuffle(spark, tmp_path):
     chunks = spark.createDataFrame(rows, CHUNKS)
     words = I.chunk_words(chunks)
     assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
-    summed = words.groupBy("word", "chunk_id").agg(F.sum("in_body"), F.sum("in_head"))
-    assert {tuple(r) for r in summed.collect()} == {("a", "1:0", 3, 1), ("b", "1:0", 2, 0), ("c", "1:0", 1, 0), ("d", "1:0", 0, 1), ("b", "3:0", 1, 1)}
+    assert words.count() == 5
+    assert {tuple(r) for r in words.select("word", "chunk_id", "in_body", "in_head").collect()} == {("a", "1:0", 3, 1), ("b", "1:0", 2, 0), ("c", "1:0", 1, 0), ("d", "1:0", 0, 1), ("b", "3:0", 1, 1)}
     # one write is read without its ledger; rows without a document are not part of it
     I.write_index(chunks, str(tmp_path / "index"))
     index = I.read_index(spark, str(tmp_path / "index"))
