@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pagewright import settings as S
 from pagewright.functions import text as T
 from pagewright.operators import folds
-from pagewright.session import cut_lineage
+from pagewright.session import cut_lineage, stored
 
 FAN = S.REDUCE_FAN_IN
+#: Positions that meet in one task: whole batches of FAN, and what documents' keys are spread by.
+NODE_RUN = FAN**4
 
 
 def group_chunks(chunks: DataFrame, limit: int = S.GROUP_MAX_CHARS, minimum: int = S.GROUP_MIN_CHARS) -> DataFrame:
@@ -75,21 +77,32 @@ def _input_hash(key: Column, level, lines: Column) -> Column:
     return F.sha2(F.concat(key, F.lit(f"\u001fL{level}\u001f"), body), 256)
 
 
-def _line(order, ident, text) -> Column:
-    return F.struct(F.col(order).alias("order"), F.concat(F.col(ident), F.lit(":"), F.sha2(F.col(text), 256)).alias("line"))
+def _lines(ident: str) -> Column:
+    """Hash lines of gathered parts; hashes are made here, behind the shuffle."""
+    return F.transform("parts", lambda p: F.struct(p["order"].alias("order"), F.concat(p[ident], F.lit(":"), F.sha2(p["text"], 256)).alias("line")))
+
+
+def _run() -> Column:
+    return F.floor(F.col("position") / NODE_RUN).alias("run")
 
 
 def map_nodes(grouped: DataFrame, keys: DataFrame) -> DataFrame:
-    """Level-0 nodes: joined text of each group (bounded by its size limit), title and input hash."""
-    df = grouped.join(keys, "document_id")
-    part = F.struct(F.col("chunk_index").alias("order"), F.col("normalized_text").alias("text"), "section_title")
-    rows = df.groupBy("document_id", "position").agg(
-        F.min("context_key").alias("context_key"), F.array_sort(F.collect_list(part)).alias("parts"),
-        F.collect_list(_line("chunk_index", "chunk_id", "normalized_text")).alias("lines"), F.count(F.lit(1)).alias("n_sources"),
+    """Level-0 nodes: joined text of each group (bounded by its size limit), title and input hash.
+
+    `keys` are (document_id, context_key) and, where it is known, n_chunks: no document has more groups than that.
+    A key is spread over the runs of its document, so that join and grouping share one shuffle of the texts.
+    """
+    if "n_chunks" not in keys.columns:
+        keys = keys.join(grouped.groupBy("document_id").agg((F.max("position") + 1).alias("n_chunks")), "document_id")
+    runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_chunks") - 1) / NODE_RUN))
+    df = grouped.select("*", _run()).join(keys.select("document_id", "context_key", F.explode(runs).alias("run")), ["document_id", "run"])
+    part = F.struct(F.col("chunk_index").alias("order"), F.col("normalized_text").alias("text"), "section_title", "chunk_id")
+    rows = df.groupBy("document_id", "run", "position").agg(
+        F.min("context_key").alias("context_key"), F.array_sort(F.collect_list(part)).alias("parts"), F.count(F.lit(1)).alias("n_sources"),
     )
     return rows.select(
         "document_id", "position", F.lit(0).alias("level"), "context_key",
-        _input_hash(F.col("context_key"), 0, F.col("lines")).alias("input_hash"),
+        _input_hash(F.col("context_key"), 0, _lines("chunk_id")).alias("input_hash"),
         F.col("parts")[0]["section_title"].alias("section_title"),
         F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("source_text"), "n_sources",
     )
@@ -121,15 +134,16 @@ def reuse_nodes(plan: DataFrame, store: DataFrame, summarizer=None) -> DataFrame
 def reduce_level(nodes: DataFrame, level: int, store: DataFrame | None = None, summarizer=None) -> DataFrame:
     """The next level of documents that still have more than eight nodes: batches of eight, in order."""
     big = nodes.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FAN).select("document_id")
-    part = F.struct(F.col("position").alias("order"), F.col("summary").alias("text"), "section_title")
+    # the runs of these documents, so that the nodes themselves are moved once, for their grouping
+    runs = nodes.select("document_id", _run()).distinct().join(big, "document_id")
+    part = F.struct(F.col("position").alias("order"), F.col("summary").alias("text"), "section_title", "input_hash")
     up = F.floor(F.col("position") / FAN)
-    rows = nodes.join(big, "document_id", "left_semi").groupBy("document_id", up.alias("position")).agg(
-        F.min("context_key").alias("context_key"), F.array_sort(F.collect_list(part)).alias("parts"),
-        F.collect_list(_line("position", "input_hash", "summary")).alias("lines"), F.sum("n_sources").alias("n_sources"),
+    rows = nodes.select("*", _run()).join(runs, ["document_id", "run"], "left_semi").groupBy("document_id", "run", up.alias("position")).agg(
+        F.min("context_key").alias("context_key"), F.array_sort(F.collect_list(part)).alias("parts"), F.sum("n_sources").alias("n_sources"),
     )
     plan = rows.select(
         "document_id", "position", F.lit(level).alias("level"), "context_key",
-        _input_hash(F.col("context_key"), level, F.col("lines")).alias("input_hash"),
+        _input_hash(F.col("context_key"), level, _lines("input_hash")).alias("input_hash"),
         F.col("parts")[0]["section_title"].alias("section_title"),
         F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("source_text"), "n_sources",
     )
@@ -140,17 +154,17 @@ def reduce_level(nodes: DataFrame, level: int, store: DataFrame | None = None, s
 
 def summary_tree(level0: DataFrame, store: DataFrame | None = None, summarizer=None) -> DataFrame:
     """All nodes of all levels.  The driver only learns the largest node count (one number), and every
-    level is checkpointed, so a lost executor never replays the tree."""
+    level is stored in the shared folder, so a lost executor never replays the tree and a reader takes the columns it needs."""
     nodes = reuse_nodes(level0, store, summarizer) if store is not None else summarize_groups(level0, summarizer).withColumns(
         {"reused": F.lit(False), "attempts": F.lit(1)}
     )
-    nodes = cut_lineage(nodes)
+    nodes = stored(nodes)
     top = nodes.agg(F.max("position")).first()[0]
     count = 0 if top is None else top + 1
     everything, level = nodes, 0
     while count > FAN:
         level += 1
-        nodes = cut_lineage(reduce_level(nodes, level, store, summarizer))
+        nodes = stored(reduce_level(nodes, level, store, summarizer))
         everything = everything.unionByName(nodes)
         count = -(-count // FAN)
     return everything

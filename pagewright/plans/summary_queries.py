@@ -30,17 +30,18 @@ SMALL_MAX, SMALL_MIN = 300, 250
 
 @per_folder
 def small_groups(spark, folder):
-    chunks = C.v_chunks(spark, folder)
+    chunks = C.v_chunks(spark, folder).select("document_id", "chunk_id", "chunk_index", "section_title", "normalized_text")
     return U.group_chunks(chunks, SMALL_MAX, SMALL_MIN)
 
 
 @per_folder
 def keys(spark, folder):
+    """The key of each document, and how many chunks it has."""
     hashes = Q.chunk_set_hash(C.v_chunks(spark, folder)).join(C.v_documents(spark, folder), "document_id")
     lit = F.lit
     key = U.context_key(lit("deterministic"), lit("deterministic-test-v1"), lit(S.PROMPT_VERSION), lit(S.SCHEMA_VERSION), lit("nursing_student"), lit("ko"),
                         "content_revision", "set_hash")
-    return hashes.select("document_id", key.alias("context_key"))
+    return hashes.select("document_id", key.alias("context_key"), "n_chunks")
 
 
 @per_folder
@@ -108,7 +109,7 @@ def _plan_levels(spark, folder):
 
 @query("context_key", "SELECT document_id, context_key FROM o_key")
 def _context_key(spark, folder):
-    return keys(spark, folder)
+    return keys(spark, folder).select("document_id", "context_key")
 
 
 @query("map_node_hash", "SELECT document_id, position, input_hash, section_title, n_sources FROM o_n0")
