@@ -59,3 +59,18 @@ def test_node_hash_is_of_sorted_lines(spark):
     keys = spark.createDataFrame([(1, "k")], "document_id long, context_key string")
     lines = f"a:{sha('one')}\nb:{sha('two')}"
     assert U.map_nodes(grouped, keys).first()["input_hash"] == sha(f"k\u001fL0\u001f{lines}")
+
+
+def test_ocr_lines_are_split_once_and_odd_numbers_cast_to_nothing(spark):
+    from pagewright.sources import files as I
+
+    def line(level="5", word="3", conf="90", text="w", more=""):
+        return "\t".join([level, "1", "2", "0", "0", word, "10", "20", "18", "10", conf, text]) + more
+
+    good = [line(), line(" +5 "), line("05\x7f"), line(conf=" 9e1 "), line(word="\n7\r"), line(more="\tmore"), line(text="é a")]
+    bad = [line("x"), line("5.0"), line("4"), line(""), line("+"), line("٥"), line("5 5"), line(word="2147483648"), line(conf="high"), line(conf="-1"), line(text=" "), "5\t1", "", line()[:-2], None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(good + bad)], "n long, value string")
+    out = I.parse_ocr_tsv(df, 300)
+    assert sorted(r.n for r in out.collect()) == list(range(len(good)))
+    assert [(r.word_index, r.text) for r in out.orderBy("n").collect()][4:] == [(7, "w"), (3, "w"), (3, "é a")]
+    assert plan(out).count("split(") == 1
