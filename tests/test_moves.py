@@ -74,3 +74,33 @@ def test_ocr_lines_are_split_once_and_odd_numbers_cast_to_nothing(spark):
     assert sorted(r.n for r in out.collect()) == list(range(len(good)))
     assert [(r.word_index, r.text) for r in out.orderBy("n").collect()][4:] == [(7, "w"), (3, "w"), (3, "é a")]
     assert plan(out).count("split(") == 1
+
+
+def test_bands_leave_the_sheet_where_it_is(spark):
+    import re
+
+    from pagewright.operators import layout as L
+
+    rows = [(d, p // 4, p, b, "text", "block", f"Head {p}" if b == 0 and d != 3 else chr(97 + p) * (b + 1), 20.0 + 100 * b, 40.0 + 100 * b, 792.0)
+            for d in (1, 2, 3, None) for p in range(9) for b in range(3)]
+    names = "document_id long, page_shard long, page_number long, block_index long, block_type string, role string, text string, y0 double, y1 double, page_height double"
+    df = spark.createDataFrame(rows, names).repartition("document_id", "page_shard")
+    with joins_shuffle(spark):
+        out = L.detect_bands(df)
+        assert not re.search(r"hashpartitioning\(document_id#\w+, page_shard#\w+, zone", plan(out))
+        found = out.filter("is_header or is_footer").select("document_id", "page_number", "block_index").collect()
+    # document 3 has a head of its own on each page; rows without a document are not counted together
+    assert sorted((r.document_id, r.page_number, r.block_index) for r in found) == [(d, p, 0) for d in (1, 2) for p in range(9)]
+
+
+def test_refs_put_texts_together_once(spark):
+    from pagewright.operators import chunks as K
+
+    parts = spark.createDataFrame(
+        [(1, i, 0, i, 0, f"{d}-{i}", 0.0, 0.0, 1.0, 1.0, 0, "digital", "t", None, False, 1) for i, d in enumerate("abac")],
+        "document_id long, chunk_index long, part_no int, draft_no long, k int, block_id string, x0 double, y0 double, x1 double, y1 double, reading_order long, "
+        "source_method string, part_text string, section_title string, is_table boolean, page_number long")
+    parts = parts.withColumn("part_text", parts["block_id"].substr(1, 1))
+    out = K.chunk_refs(parts, K.assemble_chunks(parts))
+    assert "ArrowEvalPython" not in plan(out)
+    assert sorted((r.chunk_index, r.block_id) for r in out.collect()) == [(0, "a-0"), (0, "a-2"), (1, "b-1"), (3, "c-3")]
