@@ -104,3 +104,22 @@ def test_refs_put_texts_together_once(spark):
     out = K.chunk_refs(parts, K.assemble_chunks(parts))
     assert "ArrowEvalPython" not in plan(out)
     assert sorted((r.chunk_index, r.block_id) for r in out.collect()) == [(0, "a-0"), (0, "a-2"), (1, "b-1"), (3, "c-3")]
+
+
+def test_lines_of_a_model_are_parsed_once(spark):
+    import json
+
+    from pagewright.sources import files as I
+
+    def frame(text):
+        return "data: " + json.dumps({"choices": [{"delta": {"content": text}}]})
+
+    event = json.dumps({"type": "claim", "text": "é", "sourceChunkIds": ["a"]}) + "\n"
+    values = [frame(event[:9]), ": keep-alive", "{broken", "", None, "[1]", frame(""), frame(event[9:]), frame('{"type":"final","answerStatus":"answered"}\n'), "data: [DONE]", frame(event)]
+    lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "file string, line_no long, value string")
+    out = I.parse_model_stream(lines)
+    assert [(r.seq, r.type, r.text, r.answerStatus) for r in out.orderBy("seq").collect()] == [(1, "claim", "é", None), (2, "final", None, "answered")]
+    assert plan(out).count("from_json(") == 2
+    alone = I.parse_model_lines(spark.createDataFrame([(1, event), (2, "data: " + event), (3, "[1]"), (4, ": x"), (5, "{broken"), (6, None)], "n long, value string"))
+    assert sorted((r.n, r.text, r.sourceChunkIds) for r in alone.collect()) == [(1, "é", ["a"]), (2, "é", ["a"])]
+    assert plan(alone).count("from_json(") == 1
