@@ -123,3 +123,30 @@ def test_lines_of_a_model_are_parsed_once(spark):
     alone = I.parse_model_lines(spark.createDataFrame([(1, event), (2, "data: " + event), (3, "[1]"), (4, ": x"), (5, "{broken"), (6, None)], "n long, value string"))
     assert sorted((r.n, r.text, r.sourceChunkIds) for r in alone.collect()) == [(1, "é", ["a"]), (2, "é", ["a"])]
     assert plan(alone).count("from_json(") == 1
+
+
+def test_rare_pairs_of_ids_are_not_sorted(monkeypatch):
+    import numpy as np
+
+    from pagewright.llm import tokenfile as K
+
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 40000, 50000).astype(np.uint32)
+    ids[::10] = 7
+    ids[1::10] = 9
+    sizes, sort = [], np.sort
+    monkeypatch.setattr(K.np, "sort", lambda x: sizes.append(len(x)) or sort(x))
+    symbols, rules, starts, base = K.compress(ids, np.array([0, 20000, len(ids)]))
+    assert max(sizes) < len(ids) // 2
+    assert (7, 9) in {tuple(r) for r in rules.tolist()} and len(symbols) <= len(ids) - 5000
+    assert np.array_equal(K.expand(symbols, rules, base), ids)
+    assert np.array_equal(K.expand(symbols[: starts[1]], rules, base), ids[:20000])
+
+
+def test_odd_white_space_is_cut_as_the_vocabulary_cuts_it():
+    from pagewright.llm import tokenfile as K
+
+    model = K.library(K.vocabulary_path())
+    texts = ["a \x1cb c", "a  b", "a \nb", "end ", " start", "a  b", "a \x85b", "a   b", "plain words only"]
+    for text, ids in zip(texts, model.encode(texts)):
+        assert ids.tolist() == model.tokens.encode(text, add_special_tokens=False).ids
