@@ -59,3 +59,43 @@ def test_files(spark, monkeypatch):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert tokenfile.read(spark, tokenfile.write(docs)).count() == 0
+
+
+def test_the_library_gets_short_runs_of_pieces(monkeypatch):
+    model, given = tokenfile.Library(vocabulary_path()), []
+    plain = model.tokens
+
+    class Seen:
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **kw)
+
+    model.tokens = Seen()
+    texts = [" ".join(f"w{i}.\nÄ{j}日" for i in range(700)) for j in range(3)] + [None, "", " a", "x  y \n z", "the <|endoftext|> of"]
+    for _ in range(2):
+        got = model.encode(texts)
+        assert [x.tolist() for x in got] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    # long texts take the library half as long again for the same pieces
+    assert max(t.count(" ") for t in given) <= 64
+
+
+def test_chosen_pairs_of_one_hash_are_told_apart():
+    # two pairs that are frequent alike and have one hash
+    width = 60_001
+    pairs = np.arange(1, 60_000, dtype=np.uint32)
+    marks = tokenfile._mark(np.uint32(7) * np.uint32(width) + pairs)
+    by, first = {}, None
+    for p, m in zip(pairs.tolist(), marks.tolist()):
+        if m in by:
+            first = (by[m], p)
+            break
+        by[m] = p
+    assert first
+    once = iter(range(60_000, 59_800, -1))
+    ids = np.array([x for _ in range(40) for p in first for x in (7, p, next(once))], np.uint32)
+    symbols, rules, _, base = tokenfile.compress(ids, np.array([0, len(ids)]))
+    assert base == width and np.array_equal(tokenfile.expand(symbols, rules, base), ids) and len(symbols) == 160
+    assert {(7, p) for p in first} == {tuple(r) for r in rules.tolist()}
