@@ -10,11 +10,13 @@ without having seen it follows from the same solution, and gives its weight.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ BUCKETS = 4096
 ROWS = 500
 #: Bits of a codeword, at least.
 BITS = 15
+#: Rows of the sample that are multiplied at once, in double precision.
+BLOCK = 256
 RIDGE = 0.05
 #: Gap between the two best losses, per unit of weight, below which a text is ambiguous.
 GAP = 0.02
@@ -111,8 +115,30 @@ class Model:
         return names, np.where(known, 1 / likely.sum(axis=1), 0.0), np.where(known, second - least < GAP, False)
 
 
+def _kernel(rows: np.ndarray) -> np.ndarray:
+    """Products of all pairs of rows; a block of them at a time is in double precision."""
+    out = np.empty((len(rows), len(rows)))
+    for i in range(0, len(rows), BLOCK):
+        some = rows[i : i + BLOCK].astype(np.float64)
+        for j in range(0, i + 1, BLOCK):
+            out[i : i + BLOCK, j : j + BLOCK] = some @ rows[j : j + BLOCK].astype(np.float64).T
+            out[j : j + BLOCK, i : i + BLOCK] = out[i : i + BLOCK, j : j + BLOCK].T
+    return out
+
+
+def _solve(kernel: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse times `right`, and the diagonal of the inverse; by halves, so that no second matrix of this size is made."""
+    h = len(kernel) // 2
+    first = np.linalg.inv(kernel[:h, :h])
+    across = first @ kernel[:h, h:]
+    second = np.linalg.inv(kernel[h:, h:] - kernel[h:, :h] @ across)
+    low = second @ (right[h:] - across.T @ right[:h])
+    diagonal = np.concatenate([np.diag(first) + ((across @ second) * across).sum(axis=1), np.diag(second)])
+    return np.concatenate([first @ right[:h] - across @ low, low]), diagonal
+
+
 def fit(rows: np.ndarray, langs: list[str]) -> Model:
-    """Classifiers for all bits from feature rows and their languages."""
+    """Classifiers for all bits from feature rows and their languages. Beside the rows, one matrix of all pairs is held."""
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.empty((0, BITS)), np.zeros((BUCKETS, BITS), np.float32), np.zeros(BITS, np.float32), np.ones(BITS))
@@ -121,14 +147,15 @@ def fit(rows: np.ndarray, langs: list[str]) -> Model:
     # the sample counts each language alike
     share = np.array([1 / langs.count(x) for x in languages])[[languages.index(x) for x in langs]]
     bias = (target * share[:, None]).sum(axis=0) / share.sum()
-    kernel = rows.astype(np.float64) @ rows.T.astype(np.float64)
-    inverse = np.linalg.inv(kernel + RIDGE * np.diag(1 / (share / share.mean())))
-    alpha = inverse @ (target - bias)
-    left_out = target - alpha / np.diag(inverse)[:, None]
+    kernel = _kernel(rows)
+    kernel[np.diag_indices(len(rows))] += RIDGE / (share / share.mean())
+    alpha, diagonal = _solve(kernel, target - bias)
+    left_out = target - alpha / diagonal[:, None]
     right = ((left_out * target > 0) * share[:, None]).sum(axis=0) / share.sum()
     right = np.clip(right, 0.01, 0.99)
     weight = np.maximum(np.log(right / (1 - right)), 0.01)
-    return Model(languages, codes, (rows.T.astype(np.float64) @ alpha).astype(np.float32), bias.astype(np.float32), weight)
+    weights = sum(rows[i : i + BLOCK].astype(np.float64).T @ alpha[i : i + BLOCK] for i in range(0, len(rows), BLOCK))
+    return Model(languages, codes, weights.astype(np.float32), bias.astype(np.float32), weight)
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -140,14 +167,15 @@ def train(docs: DataFrame) -> Model:
     """A model from the labelled documents that are not held out; without any, it knows no language.
 
     Of each language the documents with the smallest hashes of their ids are the sample, in equal shares of SAMPLE. Counting
-    reads ids and labels only; the texts of the sample are looked at whole, and turned to features where they are.
+    reads ids and labels only; the texts of the sample are looked at whole, and turned to features where they are. The driver
+    sees neither texts nor features.
     """
     usable = ~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     counts = docs.select("doc_id", "lang", "text").filter(usable).groupBy("lang").count()
     # languages are few; each needs some documents of the sample, so no more than SAMPLE can be told apart
     per_lang = {r["lang"]: r["count"] for r in counts.orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()}
     if not per_lang:
-        return fit(np.empty((0, BUCKETS), np.float32), [])
+        return _fitted([], 0)
     each = max(1, SAMPLE // len(per_lang))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = F.create_map(*(x for lang, n in per_lang.items() for x in (F.lit(lang), F.lit(min(1.0, (each + 4 * each**0.5 + 4) / n)))))
@@ -160,15 +188,26 @@ def train(docs: DataFrame) -> Model:
                 made = features(texts_of(part, "text")).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.array([x.tobytes() for x in made], pa.binary())], ["lang", "place", "row"])
 
-    got = sorted(rows.mapInArrow(run, "lang string, place double, row binary").toArrow().to_pylist(), key=lambda r: (r["lang"], r["place"], r["row"]))
-    taken: dict[str, int] = {}
-    sample = []
-    for r in got:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each:
-            sample.append(r)
-    stacked = np.frombuffer(b"".join(r["row"] for r in sample), np.float16).reshape(len(sample), BUCKETS)
-    return fit(stacked.astype(np.float32), [r["lang"] for r in sample])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(_fitted(list(batches), each)))], pa.binary())], ["model"])
+
+    # the sample is bounded, so one task fits; the driver gets the model alone
+    made = rows.mapInArrow(run, "lang string, place double, row binary").repartition(1).mapInArrow(learn, "model binary").first()
+    return Model(**pickle.loads(made["model"])) if made else _fitted([], each)
+
+
+def _fitted(batches: list[pa.RecordBatch], each: int) -> Model:
+    """A model from feature rows (lang, place, row); of each language the `each` with the smallest places count."""
+    if not sum(b.num_rows for b in batches):
+        return fit(np.empty((0, BUCKETS), np.float32), [])
+    got = pa.Table.from_batches(batches)
+    got = got.take(pc.sort_indices(got, sort_keys=[("lang", "ascending"), ("place", "ascending"), ("row", "ascending")]))
+    langs = got.column("lang").to_pylist()
+    firsts = {lang: i for i, lang in reversed(list(enumerate(langs)))}
+    got = got.filter(pa.array([i - firsts[lang] < each for i, lang in enumerate(langs)], pa.bool_()))
+    langs = got.column("lang").to_pylist()
+    sample = np.concatenate([np.frombuffer(x.as_buffer(), np.float16) for x in got.column("row")])
+    return fit(sample.reshape(len(langs), BUCKETS), langs)
 
 
 def identify(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:

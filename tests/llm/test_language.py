@@ -1,5 +1,6 @@
 """Held-out accuracy, codes, and odd rows."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -34,6 +35,17 @@ def test_many_tiny_texts_are_taken_in_bounded_runs():
     assert sum(got) == 2300 and max(got) == language.ROWS
 
 
+def test_the_driver_gets_no_features(spark, monkeypatch):
+    rows = [(i, "die katze und der hund" if i % 2 else "the cat and the dog", "de" if i % 2 else "en") for i in range(40)]
+
+    def forbidden(self):
+        raise AssertionError("the sample was gathered on the driver")
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(type(docs), "toArrow", forbidden)
+    assert language.train(docs).languages == ["de", "en"]
+
+
 def test_codewords():
     for n in (1, 2, 4, 30, 200):
         codes = language.codewords(n)
@@ -51,6 +63,28 @@ def test_wrong_bits_are_mended():
         assert loss.argmin() == i
 
 
+def test_fitting_holds_little_beside_the_sample():
+    draw = np.random.default_rng(0)
+    rows = (draw.random((language.SAMPLE, language.BUCKETS), np.float32) / 100).astype(np.float16)
+    tracemalloc.start()
+    language.fit(rows, ["a", "b", "c", "d"] * (language.SAMPLE // 4))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6  # 168 MB when the whole sample and its transpose were in double precision at once
+
+
+def test_fitting_by_halves_and_blocks_is_the_plain_solution():
+    draw = np.random.default_rng(1)
+    for n in (1, 2, 3, language.BLOCK + 1, 2 * language.BLOCK + 5):
+        rows = draw.random((n, 50)).astype(np.float16)
+        kernel, wide = language._kernel(rows), rows.astype(np.float64)
+        assert np.allclose(kernel, wide @ wide.T)
+        kernel[np.diag_indices(n)] += 0.5
+        right = draw.random((n, 3))
+        found, diagonal = language._solve(kernel, right)
+        assert np.allclose(found, np.linalg.inv(kernel) @ right) and np.allclose(diagonal, np.diag(np.linalg.inv(kernel)))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", "x"), (2, "", "en", "x"), (3, "123 --- …", "de", "x"), (4, "日本語の文", None, "x"), (None, "the cat", "en", "x"), (6, "the " * 100_000, "en", None), (6, "the " * 100_000, "en", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string")
