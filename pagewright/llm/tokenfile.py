@@ -59,34 +59,41 @@ def compress(ids: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[n
     until no pair is found `least` times; each leaves fewer symbols.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
-    symbols, rules, sizes = ids.astype(np.uint32), [], 0
+    symbols, rules, sizes, recent = ids.astype(np.uint32), [], 0, 0
     starts = starts.astype(np.int64)
     while len(symbols) >= 2 * least:
         width = base + sizes
         # a pair is one number, of 32 bits where that is enough
         wide = np.uint32 if width <= 1 << 16 else np.uint64
-        pairs = symbols[:-1] * wide(width) + symbols[1:]
         border = np.zeros(len(symbols) + 1, bool)
         border[starts] = True
         inner = ~border[1:-1]
+        if recent:
+            # all pairs found `least` times were replaced, so only those with a symbol of the last round can be frequent
+            new = symbols >= recent
+            inner &= new[1:] | new[:-1]
+        places = np.flatnonzero(inner)
+        pairs = symbols[places] * wide(width) + symbols[places + 1]
         # a pair is counted only if its hash is frequent enough; the most frequent pair of the fullest hash tells how frequent that is
         hashes = _mark(pairs).astype(np.intp)
         filled = np.bincount(hashes, minlength=1 << 18)
-        fullest = np.sort(pairs[(hashes == filled.argmax()) & inner])
+        fullest = np.sort(pairs[hashes == filled.argmax()])
         ends = np.append(np.flatnonzero(fullest[1:] != fullest[:-1]) + 1, len(fullest))
-        some = int(np.diff(ends, prepend=0).max())
-        order = np.sort(pairs[(filled >= max(least, some // 16))[hashes] & inner])
+        some = int(np.diff(ends, prepend=0).max()) if len(fullest) else 0
+        order = np.sort(pairs[(filled >= max(least, some // 16))[hashes]])
         first = np.concatenate([[0], np.flatnonzero(order[1:] != order[:-1]) + 1]) if len(order) else np.empty(0, np.int64)
         counts = np.diff(np.append(first, len(order)))
         if not len(counts) or (most := counts.max()) < least:
             break
-        chosen = order[first[counts >= max(least, most // 16)]]
+        enough = max(least, most // 16)
+        chosen = order[first[counts >= enough]]
+        recent = width if enough == least else 0
         # few pairs are chosen: a table by hash leaves out most others and tells which pair it is, but for two with one hash
         slots = np.full(1 << 18, -1, np.int32)
         slots[_mark(chosen)] = np.arange(len(chosen), dtype=np.int32)
         at = slots[hashes]
-        where = np.flatnonzero((at >= 0) & inner)
-        at, hit = at[where], pairs[where]
+        where = np.flatnonzero(at >= 0)
+        at, hit, where = at[where], pairs[where], places[where]
         other = np.flatnonzero(chosen[at] != hit)
         at[other] = np.minimum(np.searchsorted(chosen, hit[other]), len(chosen) - 1)
         exact = chosen[at] == hit
@@ -198,7 +205,7 @@ class Library:
     hold a special token go through the library whole.
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000) -> None:
+    def __init__(self, path: str, remembered: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given out the cores
         from tokenizers import Tokenizer
 
