@@ -1,8 +1,10 @@
 """The stored text index: against plain substring search, over replacements, failed writes and repeated words."""
 
+import collections
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,45 @@ def test_a_limit_beyond_the_bound_is_an_error(spark):
     with pytest.raises(Exception, match="above 50"):
         R.search_topk(df).collect()
     assert R.search_topk(df, 60).count() == 1
+
+
+def _plain_trigrams(chunks):
+    """(trigram, document_id, row of the chunk) of plain texts."""
+    return {(s[i : i + 3], d, n) for n, (d, _, t, h) in enumerate(chunks) if t is not None for s in (t.lower(), (h or "").lower()) for i in range(len(s) - 2)}
+
+
+def _trigram_chunks():
+    draw = random.Random(5)
+    words = ["abab", "aba", "x", "\U0001f600ab", "é\0é", "심장 질환", "", "ABAB"]
+    ids = [*draw.choices([1, 2, 3, 4, 5, None], k=120), *[6] * 60]
+    return [(d, f"c{i}", draw.choice([" ".join(draw.choices(words, k=draw.randrange(9))), None]), draw.choice([*words, None])) for i, d in enumerate(ids)]
+
+
+def test_trigrams_are_counted_where_they_are_made(spark):
+    chunks = _trigram_chunks()
+    want = _plain_trigrams(chunks)
+    df = spark.createDataFrame(chunks, "document_id long, chunk_id string, normalized_text string, section_title string")
+    index = R.build_trigram_index(df).collect()
+    assert sorted((r.trigram, r.chunk_id) for r in index) == sorted((t, f"c{n}") for t, _, n in want)
+    assert all(chunks[int(r.chunk_id[1:])][0] == r.document_id for r in index)
+    counted = R.count_trigram_index(df)
+    documents = collections.Counter(t for t, _ in {(t, d) for t, d, _ in want if d is not None})
+    assert {r.trigram: (r.chunks, r.documents) for r in counted.collect()} == {t: (n, documents[t]) for t, n in collections.Counter(t for t, _, _ in want).items()}
+    # no row for a trigram of a chunk
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_documents_that_go_on_in_the_next_batch_count_once(monkeypatch, size):
+    monkeypatch.setattr(R, "PIECE_CHARS", 40)
+    chunks = _trigram_chunks()
+    want = _plain_trigrams(chunks)
+    kept = [(d, t.lower(), (h or "").lower()) for d, _, t, h in chunks if t is not None]
+    given = pa.table([pa.array(c, k) for c, k in zip(zip(*kept), (pa.int64(), pa.string(), pa.string()))], ["document_id", "text", "title"])
+    rows = pa.Table.from_batches(R._counted_rows(given.to_batches(7))).sort_by([("document_id", "ascending"), ("part", "ascending")])
+    found = collections.defaultdict(lambda: [0, 0])
+    for r in pa.Table.from_batches(R._sums(rows.combine_chunks().to_batches(size))).to_pylist():
+        found[r["trigram"]][0] += r["chunks"]
+        found[r["trigram"]][1] += r["documents"]
+    documents = collections.Counter(t for t, _ in {(t, d) for t, d, _ in want if d is not None})
+    assert found == {t: [n, documents[t]] for t, n in collections.Counter(t for t, _, _ in want).items()}
