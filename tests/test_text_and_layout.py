@@ -1,12 +1,18 @@
 """Hand-written cases for text, layout and folds."""
 
+import random
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from pagewright import settings as S
+from pagewright.functions import geometry as G
 from pagewright.functions import text as T
 from pagewright.operators import chunks as K
 from pagewright.operators import folds
 from pagewright.operators import layout as L
+from pagewright.operators import ocr as O
 from pagewright.operators import summary as U
 
 
@@ -155,3 +161,52 @@ def test_chunks_do_not_depend_on_the_shard_width(spark, monkeypatch):
     narrow = sheet.withColumn("page_shard", C.page_shard())
     b = K.dedupe_chunks(K.assemble_chunks(K.draft_chunks(narrow))).select(*cols).collect()
     assert sorted(a) == sorted(b) and len(a) > 100
+
+
+def _plain_normalized(t):
+    t = unicodedata.normalize("NFC", t)
+    t = re.sub(r"\r\n?", "\n", re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "", t) if re.search(r"[\x00-\x08\x0B-\x1F\x7F]", t) else t)
+    t = re.sub(r"[ \t\xa0]{2,}|[\t\xa0]", " ", re.sub(r"([a-z])-\n([a-z])", r"\1\2", t))
+    t = "\n".join(line.strip(T.SPACE_CHARS) for line in t.split("\n"))
+    return re.sub(r"\n{3,}", "\n\n", t).strip(T.SPACE_CHARS)
+
+
+def test_normalize_guards_leave_nothing_out(spark):
+    draw = random.Random(3)
+    parts = ["a", "b-", "é", "e\u0301", "\u2019", "\U0001f600", " ", "\t", "\xa0", "\n", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x7f", "\x85", "\u2003", "\u3000", "한"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_text("t").alias("n"))
+    assert [(r.t, r.n) for r in df.collect() if r.n != _plain_normalized(r.t)] == []
+    # no test of every character where a search for a text tells as much
+    assert r"[ \t\x{A0}]{2}|" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_meet_every_box_of_a_page(spark):
+    draw = random.Random(4)
+
+    def box():
+        x, y = draw.choice([0.0, 5.0, 30.0]), draw.choice([0.0, 7.0, None])
+        return x, y, draw.choice([x, x + 10, x + 25, None, float("nan")]), draw.choice([9.0, 20.0, None])
+
+    words = [(draw.choice([1, None]), 0, draw.randrange(4), 0, i, "w", *box()) for i in range(300)]
+    # page 1 holds fewer boxes than are looked at first, pages 2 and 3 more
+    boxes = [(draw.choice([1, None]), 0, p, n, "text", "digital", "x", *box()) for p, k in ((1, 3), (2, 20), (3, 40)) for n in range(k)]
+    edges = "x0 double, y0 double, x1 double, y1 double"
+    w = spark.createDataFrame(words, f"document_id long, page_shard long, page_number long, block_index long, word_index long, text string, {edges}")
+    b = spark.createDataFrame(boxes, f"document_id long, page_shard long, page_number long, block_index long, block_type string, source_method string, text string, {edges}")
+    kept = O.dedupe_ocr_words(w, b)
+    pairs = w.join(b.select(*[F.col(c).alias(f"b_{c}") for c in ("document_id", "page_number", "x0", "y0", "x1", "y1")]),
+                   F.col("document_id").eqNullSafe(F.col("b_document_id")) & (F.col("page_number") == F.col("b_page_number")))
+    hit = {r.word_index for r in pairs.filter(G.overlap_ratio(G.box(), G.box("b_")) >= S.OCR_DEDUPE_OVERLAP).collect()}
+    assert 20 < len(hit) < 280
+    assert sorted(r.word_index for r in kept.collect()) == [i for i in range(300) if i not in hit]
+    # the first boxes are not left to a lambda
+    assert re.search(rf"boxes#\d+\[{O.FIRST_BOXES - 1}\]", kept._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_clamped_edges_round_as_decimals_do(spark):
+    values = [0.0, 1.0, 2.5, 7.005, 7.015, 611.996, 611.995, 612.0, 700.0, -3.0, None, float("nan"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    box = G.clamp_bbox((F.col("v"), F.lit(0.0), F.lit(0.0), F.lit(1.0)), F.lit(612.0), F.lit(792.0))
+    plain = F.bround(F.greatest(F.lit(0.0), F.least("v", F.lit(612.0))), 2)
+    assert [str(r.a) for r in df.select(box["x1"].alias("a")).collect()] == [str(r.a) for r in df.select(F.coalesce(plain, F.lit(0.0)).alias("a")).collect()]
