@@ -1,10 +1,12 @@
 """Hand-written cases for search, answers, summaries, evaluation, sources and streams."""
 
+import datetime
 import hashlib
 import itertools
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagewright import settings as S
@@ -396,6 +398,31 @@ def test_live_answers_end_in_real_statuses(spark, tmp_path):
     assert [x[1:3] for x in shown if x[0] == 6] == [(i + 1, i) for i in range(20)]
 
 
+def test_a_new_live_answer_takes_one_look_at_the_state():
+    """Each look is a round trip; an answer that begins and ends in one batch has nothing stored to read or to clear."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            return lambda *args: calls.append(f"{self.name}.{call}")
+
+    class Handle:
+        getValueState = getListState = lambda self, name, schema: State(name)
+
+    state = W.AnswerState()
+    state.init(Handle())
+    event = Row("message_id", "event_seq", "event_time", "type", "answer_status", "claim_text", "reason", "had_context", "negated", "subject")
+    at = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+    rows = [event(1, 3, at, "final", "answered", None, None, True, None, None), event(1, 2, at, "claim", None, None, "empty_text", True, None, None),
+            event(1, 1, at, "claim", None, "a b", None, True, False, ["a", "b"])]
+    out = [r.asDict() for r in state.handleInputRows((1,), iter(rows), None)]
+    assert [(r["kind"], r["seq"], r["text"], r["status"]) for r in out] == [("claim", 1, "a b", None), ("terminal", 1, "a b", "completed")]
+    assert calls == ["progress.get", "progress.update"]
+
+
 def test_live_answers_over_many_batches_and_silence(spark, tmp_path):
     """State lives on between micro-batches; an answer that falls silent fails once, by its timer."""
     events = [(m, s, 1000 + s, "claim", f"alpha {s}", ["k"], None) for m in (1, 2) for s in range(1, 7)] + [(1, 7, 1007, "final", None, None, "answered")]
