@@ -110,6 +110,47 @@ def test_postings_are_made_without_a_shuffle(spark, tmp_path):
     assert {r.word for r in index.postings.collect()} == {"a", "b", "c", "d"}
 
 
+def test_a_chunk_is_one_row_and_its_id_counts_once(spark):
+    """Rows of one id, and of the unknown id, are one chunk; a word in text and title is one word."""
+    rows = [(1, "a", 0, "banana x", "Banana"), (1, "a", 0, "ananas", None), (2, "a", 3, "x", "y"), (2, None, 1, "anan", None), (3, None, 1, "anan", None), (3, "c", 1, "none", ""),
+            (None, "d", 1, "anana", None), (4, "", 0, "anan", None), (5, "e", 0, None, "banana")]
+    index = I.index_of(spark.createDataFrame(rows, CHUNKS))
+    assert index.rows.count() == len(rows)
+    words = I.matching_words(spark.createDataFrame([("anan",), ("none",), ("zzz",)], "term string"), index)
+    assert {tuple(r) for r in words.collect()} == {("anan", "banana"), ("anan", "ananas"), ("anan", "anan"), ("anan", "anana"), ("none", "none")}
+    # a pair that comes twice changes nothing
+    found = I.chunk_counts(words.unionAll(words), index)
+    assert {r.term: r.n for r in found.collect()} == {"anan": 4, "none": 1}
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_places_of_chunks_are_counted_once_over_blocks_and_batches(monkeypatch, size):
+    monkeypatch.setattr(I, "MERGED_ROWS", 70)
+    draw = random.Random(3)
+    rows = [(draw.choice("abcd"), draw.choice([1, 2, 1 << 33]), draw.sample(range(1 << 16), draw.randint(1, 4)) + [7]) for _ in range(300)]
+    want = collections.Counter(term for term, *_ in {(t, b, n) for t, b, places in rows for n in places})
+
+    def batches(rows, size):
+        kinds = pa.string(), pa.int64(), pa.binary()
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["term", "block", "chunks"]).to_batches(size)
+
+    given = [(t, b, b"".join(n.to_bytes(2, "little") for n in places)) for t, b, places in rows]
+    merged = pa.Table.from_batches(I._merged_lists(iter(batches(given, 13))))
+    assert merged.num_rows < 100
+    found = collections.Counter()
+    for r in pa.Table.from_batches(I._list_counts(iter(batches(sorted(tuple(r.values()) for r in merged.to_pylist()), size)))).to_pylist():
+        found[r["term"]] += r["n"]
+    assert found == want
+
+
+def test_blocks_end_between_ids(monkeypatch):
+    monkeypatch.setattr(I, "BLOCK_CHUNKS", 2)
+    rows = [("", "a b"), ("", "b c"), ("=1", "a"), ("=1", "d"), ("=1", "d"), ("=2", "e"), ("=3", "f"), ("=3", "g")]
+    for size in (1, 3, 8):
+        found = list(I._blocks(pa.table([pa.array(c) for c in zip(*rows)], ["id", "words"]).to_batches(size)))
+        assert [[set(t.split()) for t in block] for block in found] == [[{"a", "b", "c"}, {"a", "d"}], [{"e"}, {"f", "g"}]]
+
+
 def test_one_plan_and_no_job_for_it(spark, tmp_path):
     path = str(tmp_path / "index")
     I.write_index(spark.createDataFrame(_table(), CHUNKS), path)
